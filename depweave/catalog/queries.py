@@ -248,7 +248,7 @@ def release_stream(spark, sf_dir):
     tasks, graph = _graph(spark, sf_dir)
     indegree = edges.degrees(tasks, graph).where("n_dependencies > 0")
     stream = release.release_stream(_completions(spark, sf_dir, tasks), graph, indegree)
-    return streams.drain(stream).drop("batch")
+    return streams.drain(stream, "update").drop("batch")
 
 
 def run_progress_stream(spark, sf_dir):

@@ -3,13 +3,11 @@
 An edge row (dependent_id, dependency_id) says: the dependent waits for the dependency.
 """
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from depweave.functions.handles import is_valid_id
 from depweave.plans.limits import limit
-from depweave.plans.skew import keys_above, running_totals, same_keys, sized_broadcast
+from depweave.plans.skew import key_join, keys_above, running_totals, sized_broadcast
 
 EDGE = ["graph_id", "dependent_id", "dependency_id"]
 OFFER = ["dependent_graph_id", "dependent_id", "dependency_graph_id", "dependency_id"]
@@ -35,12 +33,10 @@ def classify_edges(cand, tasks, graphs=None):
     firsts = (
         cand.groupBy(*OFFER)
         .agg(F.min("seq").alias("seq"))
-        .select(*[F.col(c).alias(f"_{c}") for c in ["seq", *OFFER]], F.lit(True).alias("_first"))
+        .withColumn("_first", F.lit(True))
     )
-    is_first = reduce(lambda a, b: a & b, [cand[c].eqNullSafe(firsts[f"_{c}"]) for c in ["seq", *OFFER]])
     checked = (
-        cand.join(firsts, is_first, "left")
-        .drop(*[f"_{c}" for c in ["seq", *OFFER]])
+        key_join(cand, firsts, ["seq", *OFFER], "left")
         .join(exists("dependent"), ["dependent_graph_id", "dependent_id"], "left")
         .join(exists("dependency"), ["dependency_graph_id", "dependency_id"], "left")
     )
@@ -117,10 +113,10 @@ def _list_parts(entries, keys):
     if hubs is None:
         return parted
     hubs = sized_broadcast(hubs)
-    long_lists = entries.join(hubs, same_keys(entries, hubs, keys), "left_semi")
+    long_lists = key_join(entries, hubs, keys, "left_semi")
     ranked = running_totals(long_lists, keys, ["edge_seq"], _rank=F.lit(1))
     ranked = ranked.withColumn("part", F.expr(f"(_rank - 1) div {most}")).drop("_rank")
-    return parted.join(hubs, same_keys(parted, hubs, keys), "left_anti").unionByName(ranked)
+    return key_join(parted, hubs, keys, "left_anti").unionByName(ranked)
 
 
 def adjacency(tasks, edges):

@@ -35,7 +35,7 @@ def levels(tasks, edges):
 
     A dependency that is not among the tasks never completes, so its dependents stay NULL.
     """
-    return _placed(tasks, edges).select("graph_id", "task_id", "level")
+    return _placed(tasks, edges, ordered=False).select("graph_id", "task_id", "level")
 
 
 def fifo_order(tasks, edges):
@@ -43,7 +43,7 @@ def fifo_order(tasks, edges):
 
     Roots queue by ``seq``; a finished task offers its dependents in ``edge_seq`` order.
     """
-    placed = _placed(tasks, edges)
+    placed = _placed(tasks, edges, ordered=True)
     placed = Scratch(tasks.sparkSession, "order").put(placed, "placed")[0]
     released = placed.where("level IS NOT NULL")
     ranked = running_totals(released, ["graph_id"], ["level", "place", "link"], position=F.lit(1))
@@ -79,8 +79,8 @@ def _with_default(df, column, default):
     return df if column in df.columns else df.withColumn(column, default.cast("long"))
 
 
-def _placed(tasks, edges):
-    """Level, place and link of every task, by packs of small graphs or by rounds."""
+def _placed(tasks, edges, ordered):
+    """Level of every task, by packs of small graphs or by rounds; place and link if ``ordered``."""
     tasks = _with_default(tasks, "seq", F.col("task_id")).select("graph_id", "task_id", "seq")
     edges = _with_default(edges, "edge_seq", F.lit(0))
     edges = edges.select("graph_id", "edge_seq", "dependent_id", "dependency_id")
@@ -89,7 +89,7 @@ def _placed(tasks, edges):
     if tiers.any_small:
         results.append(tiers.run(_place_pack, PLACED, tiers.small(tasks), tiers.small(edges)))
     if tiers.any_large:
-        results.append(_place_by_rounds(tiers.large(tasks), tiers.large(edges)))
+        results.append(_place_by_rounds(tiers.large(tasks), tiers.large(edges), ordered))
     if not results:
         return tasks.select([F.col(c).alias(c) if c in tasks.columns else F.lit(None).cast("long").alias(c) for c in PLACED.fieldNames()])
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
@@ -127,7 +127,7 @@ def _place_pack(tasks, edges):
     }
 
 
-def _place_by_rounds(tasks, edges):
+def _place_by_rounds(tasks, edges, ordered):
     """One join round per level, each written once.
 
     The state of a round is split into tasks that become ready and tasks that wait. Only the
@@ -172,18 +172,20 @@ def _place_by_rounds(tasks, edges):
             edges, kept = scratch.put(rest, f"edges-{compacted + 1}")
             scratch.drop(f"edges-{compacted}")
             compacted, used, unused = compacted + 1, 0, kept["rows"]
-        wave = running_totals(
-            ready.select("graph_id", "task_id", "place", "link"),
-            ["graph_id"],
-            ["place", "link"],
-            known_rows=seen["ready"],
-            rank=F.lit(1),
-        ).select("graph_id", F.col("task_id").alias("dependency_id"), "rank")
+        wave = ready.select("graph_id", "task_id", "place", "link")
+        if ordered:
+            wave = running_totals(wave, ["graph_id"], ["place", "link"], known_rows=seen["ready"], rank=F.lit(1))
+        else:
+            wave = wave.withColumn("rank", F.lit(0).cast("long"))
+        wave = wave.select("graph_id", F.col("task_id").alias("dependency_id"), "rank")
         if seen["rows"] + unused <= fits:
             done.append(_finish_in_packs(wave, waiting, edges, depth))
             break
-        released = edges.join(wave, ["graph_id", "dependency_id"]).groupBy("graph_id", F.col("dependent_id").alias("task_id")).agg(
-            F.count(F.lit(1)).alias("met"), F.max(F.struct("rank", "edge_seq")).alias("last")
+        last = F.max(F.struct("rank", "edge_seq")) if ordered else F.lit(None).cast("struct<rank:bigint,edge_seq:bigint>")
+        released = (
+            edges.join(wave, ["graph_id", "dependency_id"])
+            .groupBy("graph_id", F.col("dependent_id").alias("task_id"))
+            .agg(F.count(F.lit(1)).alias("met"), last.alias("last"))
         )
         state = waiting.drop("ready").join(released, ["graph_id", "task_id"], "left").select(
             "graph_id",
@@ -225,4 +227,4 @@ def _finish_in_packs(wave, waiting, edges, depth):
             "link": nullable(np.zeros(len(late)), late),
         }
 
-    return packed(kernel, PLACED, ready.unionByName(rest).withColumn(PACK, one), edges.withColumn(PACK, one))
+    return packed(kernel, PLACED, 1, ready.unionByName(rest).withColumn(PACK, one), edges.withColumn(PACK, one))

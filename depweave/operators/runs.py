@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from depweave.functions.report import report_line
 from depweave.plans.limits import limit
 from depweave.plans.scratch import Scratch
-from depweave.plans.skew import keys_above, running_totals, same_keys, sized_broadcast
+from depweave.plans.skew import key_join, keys_above, running_totals, sized_broadcast
 
 
 def ready_tasks(tasks, edges, completed):
@@ -110,59 +110,51 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     ``merge(frame of all part results)`` gives the group's result; the group fails if any
     part fails. ``errors`` has the keys, ``status`` and ``error``.
     """
-    error_schema = T.StructType(
-        [df.schema[key] for key in keys]
-        + [T.StructField("status", T.StringType(), True), T.StructField("error", T.StringType(), True)]
-    )
+    spark = df.sparkSession
     if fn is None:
-        return df, df.sparkSession.createDataFrame([], error_schema)
+        no_errors = df.select(*keys, F.lit("").alias("status"), F.lit("").alias("error")).where(F.lit(False))
+        return df, no_errors
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    scratch = Scratch(df.sparkSession, "guarded")
-    parted = df.withColumn(PART, F.lit(0))
-    hot = None if merge is None else keys_above(df.select(*keys), keys, limit(df.sparkSession, "hotRows"))
+    fields, marks = schema.fieldNames(), [f"_key_{i}" for i in range(len(keys))]
+    part = F.lit(0)
+    hot = None if merge is None else keys_above(df.select(*keys), keys, limit(spark, "hotRows"))
+    rows = df
     if hot is not None:
+        width = df.count() // limit(spark, "hotRows") + 2
         hot = sized_broadcast(hot.withColumn("_hot", F.lit(True)))
-        spread = F.xxhash64(*df.columns) + F.spark_partition_id()
-        width = df.count() // limit(df.sparkSession, "hotRows") + 2
-        part = F.when(F.col("_hot"), F.pmod(spread, F.lit(width)).cast("int")).otherwise(0)
-        joined = df.join(hot, same_keys(df, hot, keys), "left")
-        parted = joined.select(*[df[c] for c in df.columns], part.alias(PART))
-    ran = _guarded(parted, [*keys, PART], fn, schema)
-    ran, _ = scratch.put(ran, "ran")
-    if hot is None:
-        failed = ran.where("error IS NOT NULL")
-        return _results(ran, schema), _errors(failed, keys)
-    failures = ran.where("error IS NOT NULL").groupBy(*keys).agg(F.min_by("error", PART).alias("error"))
-    sound = ran.where("error IS NULL")
-    keyed = same_keys(sound, failures, keys)
-    parts = sound.join(failures, keyed, "left_anti").select(*keys, "row.*")
-    merged = scratch.put(_guarded(parts, keys, merge, schema), "merged")[0]
-    failed = failures.unionByName(merged.where("error IS NOT NULL").select(*keys, "error"))
-    return _results(merged, schema), _errors(failed, keys)
-
-
-def _guarded(df, keys, fn, schema):
-    """Run ``fn`` per group into rows (keys, row, error); a failure leaves one row with a text."""
-    wrapped = T.StructType(
-        [*[df.schema[key] for key in keys], T.StructField("row", schema, True), T.StructField("error", T.StringType(), True)]
-    )
-    names = schema.fieldNames()
-
-    def apply(key, group):
-        head = dict(zip(keys, key))
-        try:
-            made = fn(group.drop(columns=[PART], errors="ignore"))
-            rows = made[names].to_dict("records")
-            return pd.DataFrame({**head, "row": rows, "error": None}, columns=[*keys, "row", "error"])
-        except Exception as problem:  # any failure of user code belongs to its group alone
-            return pd.DataFrame({**{k: [v] for k, v in head.items()}, "row": [None], "error": [str(problem)]})
-
-    return df.groupBy(*keys).applyInPandas(apply, wrapped)
-
+        rows = key_join(df, hot, keys, "left")
+        # Equal rows are told apart by the task that read them.
+        spread = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(width)).cast("int")
+        part = F.when(F.col("_hot"), spread).otherwise(0)
+    marked = rows.withColumns({**dict(zip(marks, map(F.col, keys))), PART: part}).drop("_hot")
+    scratch = Scratch(spark, "guarded")
+    ran = scratch.put(_guarded(marked, [*marks, PART], fn, schema), "ran")[0]
+    failed = ran.where("_failed").groupBy(*marks).agg(F.min_by("_error", PART).alias("_error"))
+    done = ran.where("NOT _failed")
+    if hot is not None:
+        parts = key_join(done, failed, marks, "left_anti").select(*marks, *fields)
+        merged = scratch.put(_guarded(parts, marks, merge, schema), "merged")[0]
+        done = merged.where("NOT _failed")
+        failed = failed.unionByName(merged.where("_failed").select(*marks, "_error"))
+    named = [F.col(mark).alias(key) for mark, key in zip(marks, keys)]
+    errors = failed.select(*named, F.lit("TaskFailed").alias("status"), F.col("_error").alias("error"))
+    return done.select(*fields), errors
 
-def _results(ran, schema):
-    return ran.where("error IS NULL").select("row.*").select(*schema.fieldNames())
 
+def _guarded(df, by, fn, schema):
+    """Run ``fn`` per group, its rows beside the group's key; a failure leaves one flagged row."""
+    verdict = [T.StructField("_failed", T.BooleanType(), True), T.StructField("_error", T.StringType(), True)]
+    shape = T.StructType([*[df.schema[name] for name in by], *verdict, *schema.fields])
+    names, columns = schema.fieldNames(), shape.fieldNames()
 
-def _errors(failed, keys):
-    return failed.select(*keys, F.lit("TaskFailed").alias("status"), "error")
+    def apply(key, group):
+        try:
+            made = fn(group.drop(columns=by))[names]
+            head = {**dict(zip(by, key)), "_failed": False, "_error": None}
+        except Exception as problem:  # whatever user code raises belongs to its group alone
+            made = pd.DataFrame({name: [None] for name in names})
+            head = {**dict(zip(by, key)), "_failed": True, "_error": str(problem)}
+        return made.assign(**head)[columns]
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *by).groupBy(*by).applyInPandas(apply, shape)

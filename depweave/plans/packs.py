@@ -14,6 +14,8 @@ from depweave.plans.scratch import Scratch
 from depweave.plans.skew import sized_broadcast
 
 PACK = "_pack"
+# Shuffle partitions of a packed step; beyond that, a task takes several packs in turn.
+MOST_PARTITIONS = 20_000
 
 
 def graph_sizes(*tables):
@@ -59,26 +61,30 @@ class Tiers:
 
     def run(self, kernel, schema, *tables):
         """Apply ``kernel`` to every pack of groups, given each table as numpy columns."""
-        pack = F.pmod(F.xxhash64(*self.keys), F.lit(self.packs))
-        return packed(kernel, schema, *[table.withColumn(PACK, pack) for table in tables])
+        pack = F.pmod(F.xxhash64(*self.keys), F.lit(self.packs)).cast("int")
+        return packed(kernel, schema, self.packs, *[table.withColumn(PACK, pack) for table in tables])
 
 
-def packed(kernel, schema, *tables):
+def packed(kernel, schema, packs, *tables):
     """Group one table by pack, or cogroup two, and run ``kernel`` on plain numpy columns."""
-    names = schema.fieldNames()
+    names, expected = schema.fieldNames(), [table.columns for table in tables]
 
     def apply(*parts):
-        result = kernel(*[columns(part) for part in parts])
+        result = kernel(*[columns(part, wanted) for part, wanted in zip(parts, expected)])
         return pa.table([result[name] for name in names], names=names)
 
-    grouped = [table.groupBy(PACK) for table in tables]
+    # Placed by pack number: balanced, and not merged into few tasks for being few bytes.
+    grouped = [table.repartitionById(min(packs, MOST_PARTITIONS), PACK).groupBy(PACK) for table in tables]
     if len(grouped) == 1:
         return grouped[0].applyInArrow(lambda part: apply(part), schema)
     return grouped[0].cogroup(grouped[1]).applyInArrow(lambda left, right: apply(left, right), schema)
 
 
-def columns(table):
-    return {name: table.column(name).to_numpy() for name in table.column_names if name != PACK}
+def columns(table, wanted):
+    """Numpy columns by name; a side without rows in a pack arrives without columns."""
+    if not table.num_rows:
+        return {name: np.empty(0, dtype=np.int64) for name in wanted if name != PACK}
+    return {name: table.column(name).to_numpy() for name in wanted if name != PACK}
 
 
 def nullable(values, missing):

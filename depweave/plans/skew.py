@@ -17,9 +17,12 @@ from depweave.plans.scratch import Scratch
 SLICE = "_slice"
 
 
-def same_keys(left, right, keys):
-    """Null-safe equality of ``keys`` on both sides."""
-    return reduce(lambda a, b: a & b, [left[key].eqNullSafe(right[key]) for key in keys])
+def key_join(left, right, keys, how="inner"):
+    """Join on null-safe equality of ``keys``; the result has the keys once, from the left."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    on = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys])
+    joined = left.join(renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{key}" for key in keys])
 
 
 def keys_above(df, keys, rows):
@@ -47,9 +50,8 @@ def _slices(df, keys, order):
     if hot_keys is None:
         return df.withColumn(SLICE, F.lit(0)), None
     hot_keys = sized_broadcast(hot_keys)
-    on = same_keys(df, hot_keys, keys)
-    cold = df.join(hot_keys, on, "left_anti").withColumn(SLICE, F.lit(0))
-    hot = df.join(hot_keys, on, "left_semi")
+    cold = key_join(df, hot_keys, keys, "left_anti").withColumn(SLICE, F.lit(0))
+    hot = key_join(df, hot_keys, keys, "left_semi")
     wanted = hot.count() // most * 2 + 2
     cut = hot.repartitionByRange(wanted, *keys, *order).withColumn(SLICE, F.spark_partition_id() + 1)
     # Written once: range bounds come from a sample and must not be drawn a second time.
@@ -86,11 +88,9 @@ def running_totals(df, keys, order, known_rows=None, **totals):
             *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_before_{name}") for name in values],
         )
     )
-    carried = sized_broadcast(carried)
-    sliced = within_slices(hot)
-    shifted = sliced.join(carried, same_keys(sliced, carried, [*keys, SLICE])).select(
+    shifted = key_join(within_slices(hot), sized_broadcast(carried), [*keys, SLICE]).select(
         *df.columns,
-        *[(sliced[name] + carried[f"_before_{name}"]).alias(name) for name in values],
+        *[(F.col(name) + F.col(f"_before_{name}")).alias(name) for name in values],
     )
     return within_slices(cold).drop(SLICE).unionByName(shifted)
 
@@ -106,6 +106,6 @@ def previous_value(df, keys, order, value, name):
     lasts = lasts.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)))
     lasts = sized_broadcast(lasts.select(*keys, SLICE, "_carry"))
     marked = hot.withColumns({"_in": F.lag(value).over(window), "_row": F.row_number().over(window)})
-    joined = marked.join(lasts, same_keys(marked, lasts, [*keys, SLICE]))
     carried = F.when(F.col("_row") == 1, F.col("_carry")).otherwise(F.col("_in"))
-    return inside.unionByName(joined.select(*[marked[c] for c in df.columns], carried.alias(name)))
+    joined = key_join(marked, lasts, [*keys, SLICE])
+    return inside.unionByName(joined.select(*df.columns, carried.alias(name)))

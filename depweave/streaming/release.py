@@ -4,52 +4,11 @@ Completions may be delivered more than once. Repeats are removed first, with sta
 over (graph, task), so what follows may simply count.
 """
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
-
-from depweave.schemas import LONG
 
 TASK = ["graph_id", "task_id"]
 # Microseconds since 1970, the same in every session time zone.
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
-PARTIAL = T.StructType(
-    [T.StructField(c, LONG, True) for c in ("graph_id", "dependent_id", "needed", "met", "last_us")]
-)
-RELEASED = T.StructType([T.StructField(c, LONG, True) for c in ("graph_id", "task_id", "released_us")])
-COUNTED = T.StructType([T.StructField(c, LONG, True) for c in ("met", "last_us")])
-
-
-def _combine(batches):
-    """Fold the completions of one dependent inside each Arrow batch, ahead of the shuffle."""
-    for batch in batches:
-        grouped = batch.groupby(["graph_id", "dependent_id"], as_index=False)
-        yield grouped.agg(needed=("needed", "max"), met=("met", "sum"), last_us=("last_us", "max"))
-
-
-class ReleaseCounter(StatefulProcessor):
-    """Counts met dependencies of one task and emits it when the last one is met."""
-
-    def init(self, handle):
-        self.progress = handle.getValueState("progress", COUNTED)
-
-    def handleInputRows(self, key, rows, timer_values):
-        met, last_us = self.progress.get() if self.progress.exists() else (0, None)
-        needed = 0
-        for batch in rows:
-            met += int(batch["met"].sum())
-            needed = int(batch["needed"].max())
-            newest = int(batch["last_us"].max())
-            last_us = newest if last_us is None else max(last_us, newest)
-        if met < needed:
-            self.progress.update((met, last_us))
-            return
-        self.progress.clear()
-        yield pd.DataFrame({"graph_id": [key[0]], "task_id": [key[1]], "released_us": [last_us]})
-
-    def close(self):
-        pass
 
 
 def release_stream(completions, edges, indegree):
@@ -57,21 +16,25 @@ def release_stream(completions, edges, indegree):
 
     ``completions`` is a stream (graph_id, task_id, ts, failed); failed tasks release
     nothing. ``edges`` are distinct, and ``indegree`` holds (graph_id, task_id,
-    n_dependencies). The state of a waiting task is one count and one time, and it is
-    cleared on release. ``released_us`` is the time of the last completion. Roots wait for
+    n_dependencies). ``released_us`` is the time of the last completion. Roots wait for
     nothing and are not part of the stream.
+
+    Run it in update mode: a count reaches the number of dependencies in one batch only, and
+    changes no more, so each task passes the last filter once. The state of a waiting task is
+    one count and one time, and counts are combined before the shuffle.
     """
-    needed = indegree.select("graph_id", F.col("task_id").alias("dependent_id"), F.col("n_dependencies").alias("needed"))
+    needed = indegree.select(
+        "graph_id", F.col("task_id").alias("dependent_id"), F.col("n_dependencies").alias("needed")
+    )
     links = edges.select("graph_id", "dependent_id", F.col("dependency_id").alias("task_id"))
     links = links.join(needed, ["graph_id", "dependent_id"])
     done = completions.where("NOT failed").dropDuplicates(TASK)
-    met = done.join(links, TASK).select(
-        "graph_id", "dependent_id", "needed", F.lit(1).cast("long").alias("met"), F.expr(MICROS).alias("last_us")
-    )
     return (
-        met.mapInPandas(_combine, PARTIAL)
-        .groupBy("graph_id", "dependent_id")
-        .transformWithStateInPandas(ReleaseCounter(), RELEASED, outputMode="Append", timeMode="None")
+        done.join(links, TASK)
+        .groupBy("graph_id", "dependent_id", "needed")
+        .agg(F.count(F.lit(1)).alias("met"), F.max(F.expr(MICROS)).alias("released_us"))
+        .where("met = needed")
+        .select("graph_id", F.col("dependent_id").alias("task_id"), "released_us")
     )
 
 
