@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.handles import is_valid_id
 from depweave.plans.limits import limit
-from depweave.plans.skew import key_join, keys_above, running_totals, sized_broadcast
+from depweave.plans.skew import attach, key_join, keys_above, running_totals, sized_broadcast
 
 EDGE = ["graph_id", "dependent_id", "dependency_id"]
 OFFER = ["dependent_graph_id", "dependent_id", "dependency_graph_id", "dependency_id"]
@@ -45,7 +45,7 @@ def classify_edges(cand, tasks, graphs=None):
         finalised = graphs.where("finalised").select(
             F.col("graph_id").alias("dependent_graph_id"), F.lit(True).alias("_frozen")
         )
-        checked = checked.join(finalised.distinct(), "dependent_graph_id", "left")
+        checked = attach(checked, finalised.distinct(), ["dependent_graph_id"], sized_by=cand)
         frozen = F.col("_frozen").isNotNull()
     same_graph = F.col("dependent_graph_id").eqNullSafe(F.col("dependency_graph_id"))
     verdict = (

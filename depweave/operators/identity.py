@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from depweave.functions.handles import is_valid_id
-from depweave.plans.skew import running_totals
+from depweave.plans.skew import attach, running_totals
 from depweave.schemas import INVALID_TASK_ID, MAX_TASK_ID
 
 HANDLE = ["graph_id", "task_id"]
@@ -59,11 +59,8 @@ def append_tasks(tasks, graphs, new, order_by=("seq",)):
     """
     highest = tasks.groupBy("graph_id").agg(F.max("task_id").alias("_highest"))
     frozen = graphs.where("finalised").select("graph_id", F.lit(True).alias("_frozen")).distinct()
-    offered = (
-        new.join(frozen, "graph_id", "left")
-        .join(highest, "graph_id", "left")
-        .withColumn("_open", F.col("_frozen").isNull().cast("long"))
-    )
+    known = frozen.join(highest, "graph_id", "full_outer")
+    offered = attach(new, known, ["graph_id"]).withColumn("_open", F.col("_frozen").isNull().cast("long"))
     ranked = running_totals(offered, ["graph_id"], list(order_by), _rank=F.col("_open"))
     first_free = F.coalesce("_highest", F.lit(0)) + 1
     task_id = F.when(F.col("_open") == 1, _nth_id(F.col("_rank"), first_free))

@@ -21,7 +21,8 @@ def _search_sizes(edges, searches):
     return (
         ones.unionAll(searches.select("graph_id", F.lit(0), F.lit(1)))
         .groupBy("graph_id")
-        .agg(((F.sum("s") + 1) * (F.sum("e") + 1)).alias("weight"))
+        .agg((F.sum("s") + 1.0).alias("s"), (F.sum("e") + 1.0).alias("e"))
+        .select("graph_id", F.least(F.col("s") * F.col("e"), F.lit(1e18)).cast("long").alias("weight"))
     )
 
 

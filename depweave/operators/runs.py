@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from depweave.functions.report import report_line
 from depweave.plans.limits import limit
 from depweave.plans.scratch import Scratch
-from depweave.plans.skew import key_join, keys_above, running_totals, sized_broadcast
+from depweave.plans.skew import attach, key_join, keys_above, running_totals, sized_broadcast
 
 
 def ready_tasks(tasks, edges, completed):
@@ -44,7 +44,7 @@ def run_outcome(order, outcomes):
         .when(position == stop, "failed")
         .otherwise("not_started")
     )
-    return run.join(stops, "graph_id", "left").withColumn("outcome", outcome).drop("_stop")
+    return attach(run, stops, ["graph_id"], sized_by=order).withColumn("outcome", outcome).drop("_stop")
 
 
 def run_summary(run, validity):

@@ -74,7 +74,9 @@ def packed(kernel, schema, packs, *tables):
         return pa.table([result[name] for name in names], names=names)
 
     # Placed by pack number: balanced, and not merged into few tasks for being few bytes.
-    grouped = [table.repartitionById(min(packs, MOST_PARTITIONS), PACK).groupBy(PACK) for table in tables]
+    placed = [table.repartitionById(min(packs, MOST_PARTITIONS), PACK) for table in tables]
+    # Fresh column identities, as both tables may stem from the same one.
+    grouped = [table.select([F.col(c).alias(c) for c in table.columns]).groupBy(PACK) for table in placed]
     if len(grouped) == 1:
         return grouped[0].applyInArrow(lambda part: apply(part), schema)
     return grouped[0].cogroup(grouped[1]).applyInArrow(lambda left, right: apply(left, right), schema)

@@ -6,6 +6,9 @@ over (graph, task), so what follows may simply count.
 
 from pyspark.sql import functions as F
 
+from depweave.plans.limits import limit
+from depweave.plans.skew import keys_above, sized_broadcast
+
 TASK = ["graph_id", "task_id"]
 # Microseconds since 1970, the same in every session time zone.
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
@@ -29,8 +32,9 @@ def release_stream(completions, edges, indegree):
     links = edges.select("graph_id", "dependent_id", F.col("dependency_id").alias("task_id"))
     links = links.join(needed, ["graph_id", "dependent_id"])
     done = completions.where("NOT failed").dropDuplicates(TASK)
+    done, links = _spread_hubs(done, links)
     return (
-        done.join(links, TASK)
+        done.join(links, [*TASK, "_part"])
         .groupBy("graph_id", "dependent_id", "needed")
         .agg(F.count(F.lit(1)).alias("met"), F.max(F.expr(MICROS)).alias("released_us"))
         .where("met = needed")
@@ -38,6 +42,25 @@ def release_stream(completions, edges, indegree):
     )
 
 
+def _spread_hubs(done, links):
+    """Cut the links of a dependency that very many tasks wait for into parts.
+
+    Its completion is repeated once per part, so that the join to its links spreads over as
+    many tasks. All other dependencies have the single part 0.
+    """
+    most = limit(links.sparkSession, "listEntries")
+    hubs = keys_above(links.select(*TASK), TASK, most)
+    whole = F.lit(0)
+    if hubs is None:
+        return done.withColumn("_part", whole), links.withColumn("_part", whole)
+    sizes = links.join(hubs, TASK, "left_semi").groupBy(*TASK).agg(F.expr(f"CAST(count(1) div {most} + 1 AS INT)").alias("_parts"))
+    sizes = sized_broadcast(sizes)
+    parts = F.coalesce("_parts", F.lit(1))
+    links = links.join(sizes, TASK, "left").withColumn("_part", F.pmod(F.xxhash64("dependent_id"), parts).cast("int"))
+    repeated = F.explode(F.sequence(whole, parts - 1))
+    return done.join(sizes, TASK, "left").withColumn("_part", repeated).drop("_parts"), links.drop("_parts")
+
+
 def run_progress_stream(completions, totals):
     """Executed tasks and status per graph so far: ``Success`` once all tasks are through,
     ``TaskFailed`` from the first failure on, ``Unknown`` while the run goes on.

@@ -101,8 +101,7 @@ def dirty_offers(rng, n_graphs, n_tasks, n):
 )
 def test_admission_equals_one_by_one(spark, limits, plan):
     rng = random.Random(8)
-    small = plan.get("admitRows") == 4
-    n_graphs, n_tasks, n = (1, 6, 14) if small else (3, 9, 120)
+    n_graphs, n_tasks, n = {4: (1, 5, 40), 10: (1, 8, 40)}.get(min(plan.values(), default=0), (3, 9, 120))
     offers = dirty_offers(rng, n_graphs, n_tasks, n)
     tasks = [(g, t, t) for g in range(1, n_graphs + 1) for t in range(1, n_tasks + 1)]
     expected = admit({(g, t) for g, t, _ in tasks}, offers)
@@ -130,3 +129,15 @@ def test_accepted_edges_are_acyclic_and_frozen_graphs_refuse(spark):
     assert {r[0] for r in rows(judged.where("dependent_graph_id = 1"), "verdict")} == {"finalised"}
     kept = rows(edge_ops.as_edges(judged.where("accepted")))
     assert all(level is not None for level, _ in queue_run(tasks, kept).values())
+
+
+def test_halving_is_used_and_exact(spark, limits, monkeypatch):
+    calls = []
+    halves = cycles._admit_halves
+    monkeypatch.setattr(cycles, "_admit_halves", lambda *args: calls.append(1) or halves(*args))
+    offers = [(i, 1, late, 1, early) for i, (late, early) in enumerate([(2, 1), (3, 2), (1, 3), (4, 3), (1, 4), (3, 4), (4, 2)])]
+    tasks = [(1, t, t) for t in range(1, 5)]
+    with limits(admitRows=3):
+        found = rows(cycles.admit_edges(offers_df(spark, offers), tasks_df(spark, tasks)), "seq", "verdict")
+    assert dict(found) == admit({(1, t) for t in range(1, 5)}, offers)
+    assert calls
