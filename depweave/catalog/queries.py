@@ -137,10 +137,8 @@ def reachable(spark, sf_dir):
 
 
 def probe_cycles(spark, sf_dir):
-    tasks, graph = _graph(spark, sf_dir)
-    judged = edges.classify_edges(fx.event_candidates(spark, sf_dir), tasks)
-    probes = edges.as_edges(judged.where("verdict = 'ok'"))
-    return reach.probe_cycles(graph, probes)
+    tasks, probes = _good_edges(spark, sf_dir)
+    return reach.probe_cycles(_settled(spark, fx.event_edges(tasks), "edges"), probes)
 
 
 def cyclic_core(spark, sf_dir):

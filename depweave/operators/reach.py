@@ -8,6 +8,7 @@ from depweave.operators.order import levels
 from depweave.plans import kernels
 from depweave.plans.packs import Tiers
 from depweave.plans.scratch import Scratch
+from depweave.plans.skew import running_totals
 from depweave.schemas import BOOL, LONG
 
 REACHED = T.StructType([T.StructField(c, LONG, True) for c in ("graph_id", "seed_id", "task_id", "hops")])
@@ -99,87 +100,97 @@ def probe_cycles(edges, cand):
     """Whether each candidate, added alone to the present graph, would close a cycle.
 
     That is so if the dependent is among the direct or indirect dependencies of the
-    dependency. On a search path levels only fall, so a task that is not above the dependent
-    is never entered; tasks without a level (behind a cycle) are always entered.
+    dependency. Candidates with the same dependency share one search. On a search path levels
+    only fall, so nothing below the lowest dependent sought is entered; tasks without a level
+    (behind a cycle) always are.
     """
     edges = edges.select("graph_id", F.col("dependent_id").alias("source"), F.col("dependency_id").alias("target"))
     probes = cand.select(*PROBE).distinct()
-    tiers = Tiers(_search_sizes(edges, probes))
-
-    def kernel(probes, edges):
-        (graphs, ids), links, starts = _search_space(
-            edges,
-            np.concatenate([probes["graph_id"]] * 2),
-            np.concatenate([probes["dependency_id"], probes["dependent_id"]]),
-        )
-        starts, goals = np.split(starts, 2)
-        source = np.repeat(np.arange(len(ids)), np.diff(links.first))
-        waiting = np.bincount(source, minlength=len(ids))
-        level, _ = kernels.release(
-            kernels.Links(len(ids), links.target, source), np.flatnonzero(waiting == 0), waiting
-        )
-        goal_level = level[goals]
-
-        def allowed(search, node):
-            unknown = (level[node] < 0) | (goal_level[search] < 0)
-            return unknown | (level[node] > goal_level[search]) | (node == goals[search])
-
-        offsets, spans = _graph_spans(graphs, starts)
-        search, node, _ = kernels.spread(links, starts, spans, offsets, allowed)
-        hit = np.zeros(len(starts), dtype=bool)
-        hit[search[node == goals[search]]] = True
-        return {**probes, "would_cycle": hit}
-
+    tiers = Tiers(_search_sizes(edges, probes.select("graph_id", "dependency_id").distinct()))
     probed = None
     if tiers.any_small:
-        probed = tiers.run(kernel, PROBED, tiers.small(probes), tiers.small(edges))
+        probed = tiers.run(_probe_pack, PROBED, tiers.small(probes), tiers.small(edges))
     if tiers.any_large:
         large = _probe_by_rounds(tiers.large(edges), tiers.large(probes))
         probed = large if probed is None else probed.unionByName(large)
     if probed is None:
         return cand.withColumn("would_cycle", F.lit(False))
     return cand.join(probed, PROBE, "left").select(
-        *[cand[c] for c in cand.columns], F.coalesce("would_cycle", F.lit(False)).alias("would_cycle")
+        *cand.columns, F.coalesce("would_cycle", F.lit(False)).alias("would_cycle")
     )
 
 
+def _probe_pack(probes, edges):
+    (graphs, ids), links, ends = _search_space(
+        edges,
+        np.concatenate([probes["graph_id"]] * 2),
+        np.concatenate([probes["dependency_id"], probes["dependent_id"]]),
+    )
+    sources, goals = np.split(ends, 2)
+    starts, search_of = np.unique(sources, return_inverse=True)
+    waits_for = np.repeat(np.arange(len(ids)), np.diff(links.first))
+    waiting = np.bincount(waits_for, minlength=len(ids))
+    level, _ = kernels.release(
+        kernels.Links(len(ids), links.target, waits_for), np.flatnonzero(waiting == 0), waiting
+    )
+    floor = np.full(len(starts), np.iinfo(np.int64).max)
+    np.minimum.at(floor, search_of, level[goals])  # -1, below all levels, where a goal has none
+
+    def allowed(search, node):
+        return (level[node] < 0) | (level[node] >= floor[search])
+
+    offsets, spans = _graph_spans(graphs, starts)
+    search, node, _ = kernels.spread(links, starts, spans, offsets, allowed)
+    met = search * len(ids) + node
+    return {**probes, "would_cycle": np.isin(search_of * len(ids) + goals, met)}
+
+
 def _probe_by_rounds(edges, probes):
-    """All searches move one hop per round; a search ends at its first hit."""
+    """All searches move one hop per round, 64 searches to a row.
+
+    A row (block, node, mask) says which of the 64 searches of a block are at a node, so
+    overlapping searches travel, meet and are stored as bits of one LONG. Searches are put
+    into blocks by the level they may stop at, which keeps the pruning of a block sharp.
+    """
     scratch = Scratch(edges.sparkSession, "probe")
     edges = scratch.put(edges, "edges")[0]
     graph = edges.select("graph_id", F.col("source").alias("dependent_id"), F.col("target").alias("dependency_id"))
     level_of = scratch.put(levels(endpoints(graph), graph), "levels")[0]
-    goal_level = level_of.select("graph_id", F.col("task_id").alias("dependent_id"), F.col("level").alias("goal_level"))
-    node_level = level_of.select("graph_id", F.col("task_id").alias("target"), F.col("level").alias("node_level"))
-    edges = scratch.put(edges.join(node_level, ["graph_id", "target"], "left"), "levelled")[0]
-    start_level = node_level.withColumnsRenamed({"target": "dependency_id"})
-    may_lead = F.expr("node = dependent_id OR coalesce(node_level > goal_level, true)")
-    start = (
-        probes.join(goal_level, ["graph_id", "dependent_id"], "left")
-        .join(start_level, ["graph_id", "dependency_id"], "left")
-        .withColumn("node", F.col("dependency_id"))
-        .where(may_lead)
-        .select(*PROBE, "goal_level", "node")
+    goal = level_of.select("graph_id", F.col("task_id").alias("dependent_id"), F.col("level").alias("goal_level"))
+    start_key = ["graph_id", "dependency_id"]
+    starts = (
+        probes.join(goal, ["graph_id", "dependent_id"], "left")
+        .groupBy(*start_key)
+        .agg(F.min(F.coalesce("goal_level", F.lit(-1))).alias("floor"))
+    )
+    starts = scratch.put(starts, "starts")[0]
+    starts = running_totals(starts, ["graph_id"], ["floor", "dependency_id"], rank=F.lit(1)).select(
+        *start_key, "floor", F.expr("(rank - 1) div 64 AS block"), F.expr("shiftleft(1L, CAST((rank - 1) % 64 AS INT)) AS mask")
     )
-    hop = 0
-    wave, seen = scratch.put(start, "met/hop=0", hits=F.count_if(F.expr("node = dependent_id")))
-    schema = T.StructType([*wave.schema.fields, T.StructField("hop", LONG, True)])
-    any_hit = seen["hits"] > 0
+    starts = scratch.put(starts, "blocks")[0]
+    floors = starts.groupBy("graph_id", "block").agg(F.min("floor").alias("floor"))
+    target_level = level_of.select("graph_id", F.col("task_id").alias("target"), F.col("level").alias("target_level"))
+    edges = scratch.put(edges.join(target_level, ["graph_id", "target"], "left"), "levelled")[0]
+    place = ["graph_id", "block", "node"]
+    start = starts.drop("floor").join(floors, ["graph_id", "block"]).withColumnRenamed("dependency_id", "node")
+    wave, seen = scratch.put(start.select(*place, "floor", "mask"), "met/hop=0")
+    schema, hop = T.StructType([*wave.schema.fields, T.StructField("hop", LONG, True)]), 0
     while seen["rows"]:
-        met = scratch.get("met", schema)
+        met = scratch.get("met", schema).groupBy(*place).agg(F.bit_or("mask").alias("old"))
         step = (
             wave.withColumnRenamed("node", "source")
             .join(edges, ["graph_id", "source"])
-            .withColumnRenamed("target", "node")
-            .where(may_lead)
-            .select(*PROBE, "goal_level", "node")
-            .distinct()
-            .join(met.select(*PROBE, "node"), [*PROBE, "node"], "left_anti")
+            .where(F.coalesce(F.col("target_level") >= F.col("floor"), F.lit(True)))
+            .groupBy("graph_id", "block", F.col("target").alias("node"))
+            .agg(F.min("floor").alias("floor"), F.bit_or("mask").alias("new"))
+            .join(met, place, "left")
+            .select(*place, "floor", F.expr("new & ~coalesce(old, 0L) AS mask"))
+            .where("mask <> 0")
         )
-        if any_hit:
-            step = step.join(met.where("node = dependent_id").select(*PROBE), PROBE, "left_anti")
         hop += 1
-        wave, seen = scratch.put(step, f"met/hop={hop}", hits=F.count_if(F.expr("node = dependent_id")))
-        any_hit = any_hit or seen["hits"] > 0
-    hits = scratch.get("met", schema).where("node = dependent_id").select(*PROBE, F.lit(True).alias("would_cycle"))
-    return probes.join(hits, PROBE, "left").select(*PROBE, F.coalesce("would_cycle", F.lit(False)).alias("would_cycle"))
+        wave, seen = scratch.put(step, f"met/hop={hop}")
+    met = scratch.get("met", schema).groupBy(*place).agg(F.bit_or("mask").alias("old"))
+    sought = probes.join(starts.drop("floor"), start_key).withColumn("node", F.col("dependent_id"))
+    return sought.join(met, place, "left").select(
+        *PROBE, F.expr("coalesce(mask & old, 0L) <> 0 AS would_cycle")
+    )

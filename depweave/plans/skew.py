@@ -15,6 +15,7 @@ from depweave.plans.limits import limit
 from depweave.plans.scratch import Scratch
 
 SLICE = "_slice"
+BUCKETS = 1 << 20
 
 
 def key_join(left, right, keys, how="inner"):
@@ -26,13 +27,21 @@ def key_join(left, right, keys, how="inner"):
 
 
 def keys_above(df, keys, rows):
-    """The keys with more than ``rows`` rows, as a written table; None if there are none."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    if largest is None or largest <= rows:
+    """The keys with more than ``rows`` rows, as a written table; None if there are none.
+
+    Rows are first counted per hash bucket, so a map task sends a bounded number of counts
+    however many keys there are. Keys are counted exactly only inside overfull buckets.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+    buckets = df.select(bucket).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
+    if (buckets.agg(F.max("n")).first()[0] or 0) <= rows:
         return None
-    hot, _ = Scratch(df.sparkSession, "hot").put(sizes.where(F.col("n") > rows), "keys")
-    return hot.select(*keys)
+    scratch = Scratch(df.sparkSession, "hot")
+    full = scratch.put(buckets.where(F.col("n") > rows).select("_bucket"), "buckets")[0]
+    suspects = df.select(*keys, bucket).join(sized_broadcast(full), "_bucket", "left_semi")
+    sizes = suspects.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot, seen = scratch.put(sizes.where(F.col("n") > rows).select(*keys), "keys")
+    return hot if seen["rows"] else None
 
 
 def attach(df, lookup, keys, sized_by=None):

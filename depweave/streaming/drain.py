@@ -5,8 +5,13 @@ from pyspark.sql import types as T
 
 from depweave.plans.scratch import Scratch
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on executor disks instead of in their heaps, saved as changes only per batch.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def drain(stream, mode="append"):
@@ -23,8 +28,9 @@ def drain(stream, mode="append"):
     def write(rows, batch):
         rows.write.mode("overwrite").parquet(scratch.path(f"out/batch={batch}"))
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         query = (
             stream.writeStream.outputMode(mode)
@@ -35,7 +41,8 @@ def drain(stream, mode="append"):
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return scratch.get("out", T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType(), True)]))
 
 

@@ -7,6 +7,7 @@ over (graph, task), so what follows may simply count.
 from pyspark.sql import functions as F
 
 from depweave.plans.limits import limit
+from depweave.plans.scratch import Scratch
 from depweave.plans.skew import keys_above, sized_broadcast
 
 TASK = ["graph_id", "task_id"]
@@ -32,6 +33,8 @@ def release_stream(completions, edges, indegree):
     links = edges.select("graph_id", "dependent_id", F.col("dependency_id").alias("task_id"))
     links = links.join(needed, ["graph_id", "dependent_id"])
     done = completions.where("NOT failed").dropDuplicates(TASK)
+    # Written once, so that no micro-batch derives the static side again.
+    links = Scratch(edges.sparkSession, "links").put(links, "rows")[0]
     done, links = _spread_hubs(done, links)
     return (
         done.join(links, [*TASK, "_part"])
