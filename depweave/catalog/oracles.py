@@ -165,6 +165,18 @@ def _with(ctes, select, recursive=False):
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
 
 
+PIPELINE = _with(
+    FRAMES
+    + f""",
+seen AS (
+  SELECT frame_id, uploaded_bytes, {CULLED.format(xs=MOVED)} AS visible
+  FROM frames JOIN uploads USING (frame_id))""",
+    f"""SELECT frame_id, len(visible) AS n_visible, uploaded_bytes,
+  CAST(xor({FOLD.format(xs='visible', seed='uploaded_bytes')},
+    CAST(len(visible) AS HUGEINT) * 4294967296) AS VARCHAR) AS presented_checksum{{more}}
+FROM seen""",
+)
+
 ORACLES = {
     "assign_ids": _with(TASKS, "SELECT graph_id, task_id, seq, name FROM tasks_ev"),
     "valid_handles": _with(
@@ -384,16 +396,6 @@ FROM frames""",
         """SELECT frame_id, uploaded_bytes, CASE WHEN uploaded_bytes < 2000 THEN 'too little uploaded' END AS stage_error
 FROM uploads""",
     ),
-    "frame_pipeline": _with(
-        FRAMES
-        + f""",
-seen AS (
-  SELECT frame_id, uploaded_bytes, {CULLED.format(xs=MOVED)} AS visible
-  FROM frames JOIN uploads USING (frame_id))""",
-        f"""SELECT frame_id, len(visible) AS n_visible, uploaded_bytes,
-  CAST(xor({FOLD.format(xs='visible', seed='uploaded_bytes')},
-    CAST(len(visible) AS HUGEINT) * 4294967296) AS VARCHAR) AS presented_checksum,
-  true AS frame_presented
-FROM seen""",
-    ),
+    "frame_pipeline": PIPELINE.format(more=", true AS frame_presented"),
+    "object_pipeline": PIPELINE.format(more=""),
 }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.checksum import limbs_to_decimal, rolling_checksum, seal_frame as seal
 from depweave.functions.handles import handle_key as key_of
-from depweave.operators import cycles, edges, frames, identity, order, reach, runs
+from depweave.operators import cycles, edges, frames, identity, objects, order, reach, runs
 from depweave.plans.scratch import Scratch
 from depweave.schemas import COMPLETIONS
 from depweave.sources import fixtures as fx
@@ -317,6 +317,14 @@ def frame_pipeline(spark, sf_dir):
     )
 
 
+def object_pipeline(spark, sf_dir):
+    table = fx.frames(spark, sf_dir)
+    pairs = table.select("frame_id", F.posexplode(F.arrays_zip("positions", "velocities")).alias("idx", "pair"))
+    rows = pairs.select("frame_id", "idx", F.col("pair.positions").alias("position"), F.col("pair.velocities").alias("velocity"))
+    done = objects.object_pipeline(table, rows, fx.resources(spark, sf_dir), limit=CULL_LIMIT)
+    return done.select("frame_id", "n_visible", "uploaded_bytes", F.col("presented_checksum").cast("string").alias("presented_checksum"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -326,7 +334,7 @@ QUERIES = {
         validate_graphs, levels, levels_one_graph, fifo_order,
         ready_tasks, run_outcome, run_summary, run_timeline, render_report, guarded_apply,
         release_stream, run_progress_stream,
-        init_frames, integrate, upload_total, cull, seal_frame, require_stage, frame_pipeline,
+        init_frames, integrate, upload_total, cull, seal_frame, require_stage, frame_pipeline, object_pipeline,
     )
 }
 QUERIES["rolling_checksum"] = checksum

@@ -49,9 +49,14 @@ def _fold(state, position):
     )
 
 
+def continue_checksum(pair, positions):
+    """Fold ``positions`` in array order into a checksum held as two limbs."""
+    return F.aggregate(positions, pair, _fold)
+
+
 def rolling_checksum(seed, positions):
     """Fold ``positions`` in array order into ``seed``; two limbs, see `limbs_to_decimal`."""
-    return F.aggregate(positions, limbs(seed), _fold)
+    return continue_checksum(limbs(seed), positions)
 
 
 def seal_frame(checksum, visible_count):

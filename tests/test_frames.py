@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.checksum import limbs_to_decimal, rolling_checksum, seal_frame
 from depweave.operators import frames as ops
+from depweave.operators import objects
 
 POSITIONS = [-1.4, -0.7, -0.1, 0.35, 0.9, 1.3]
 VELOCITIES = [0.8, 0.2, -0.1, 0.4, -0.3, -0.6]
@@ -80,3 +81,17 @@ def test_guards_stop_or_flag_rows_that_come_too_early(frame, stage):
     assert rows(ops.require_stage(flagged, "false", "later", mode="flag"), "stage_error") == [(message,)]
     with pytest.raises(Exception, match=message):
         ops.require_stage(early, condition, message).collect()
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_long_frames_give_the_same_checksums(spark, limits, most):
+    rng = random.Random(1)
+    frames = [(i, [rng.uniform(-2, 2) for _ in range(n)], [rng.uniform(-1, 1) for _ in range(n)]) for i, n in enumerate([0, 1, 3, 4, 11, 20])]
+    df = spark.createDataFrame(frames, FRAME)
+    sizes = spark.createDataFrame([(4, 0, 99), (4, 1, 2**40), (5, 0, 7)], "frame_id long, idx long, size_bytes long")
+    rows_of = [(i, k, xs[k], vs[k]) for i, xs, vs in frames for k in range(len(xs))]
+    long = spark.createDataFrame(rows_of, "frame_id long, idx long, position float, velocity float").repartition(3)
+    columns = ["frame_id", "uploaded_bytes", "render_checksum", "presented_checksum"]
+    expected = rows(ops.frame_pipeline(df, sizes), *columns, F.size("visible").alias("n_visible"))
+    with limits(**({"listEntries": most, "hotRows": 6} if most else {})):
+        assert rows(objects.object_pipeline(df, long, sizes), *columns, "n_visible") == expected
