@@ -13,6 +13,7 @@ from depweave.plans.scratch import Scratch
 from depweave.plans.skew import running_totals
 from depweave.schemas import LONG
 
+ORDERED = T.StructType([T.StructField(c, LONG, True) for c in ("graph_id", "task_id", "level", "position")])
 # A released task's place among the tasks of its level: the place of its last-visited
 # dependency in the level before, then the order of the link. Roots go by insertion order.
 PLACED = T.StructType(
@@ -35,7 +36,7 @@ def levels(tasks, edges):
 
     A dependency that is not among the tasks never completes, so its dependents stay NULL.
     """
-    return _placed(tasks, edges, ordered=False).select("graph_id", "task_id", "level")
+    return _ordered(tasks, edges, ranked=False).select("graph_id", "task_id", "level")
 
 
 def fifo_order(tasks, edges):
@@ -43,12 +44,7 @@ def fifo_order(tasks, edges):
 
     Roots queue by ``seq``; a finished task offers its dependents in ``edge_seq`` order.
     """
-    placed = _placed(tasks, edges, ordered=True)
-    placed = Scratch(tasks.sparkSession, "order").put(placed, "placed")[0]
-    released = placed.where("level IS NOT NULL")
-    ranked = running_totals(released, ["graph_id"], ["level", "place", "link"], position=F.lit(1))
-    stuck = placed.where("level IS NULL").withColumn("position", F.lit(None).cast("long"))
-    return ranked.unionByName(stuck).select("graph_id", "task_id", "level", "position")
+    return Scratch(tasks.sparkSession, "order").put(_ordered(tasks, edges, ranked=True), "ordered")[0]
 
 
 def validate_graphs(graphs, tasks, edges):
@@ -79,22 +75,38 @@ def _with_default(df, column, default):
     return df if column in df.columns else df.withColumn(column, default.cast("long"))
 
 
-def _placed(tasks, edges, ordered):
-    """Level of every task, by packs of small graphs or by rounds; place and link if ``ordered``."""
+def _ordered(tasks, edges, ranked):
+    """Level and position of every task, by packs of small graphs and by rounds for large ones.
+
+    Without ``ranked``, rounds leave the position NULL and spare the ranking.
+    """
     tasks = _with_default(tasks, "seq", F.col("task_id")).select("graph_id", "task_id", "seq")
     edges = _with_default(edges, "edge_seq", F.lit(0))
     edges = edges.select("graph_id", "edge_seq", "dependent_id", "dependency_id")
     tiers = Tiers(graph_sizes(tasks, edges))
     results = []
     if tiers.any_small:
-        results.append(tiers.run(_place_pack, PLACED, tiers.small(tasks), tiers.small(edges)))
+        results.append(tiers.run(_order_pack, ORDERED, tiers.small(tasks), tiers.small(edges)))
     if tiers.any_large:
-        results.append(_place_by_rounds(tiers.large(tasks), tiers.large(edges), ordered))
+        placed = _place_by_rounds(tiers.large(tasks), tiers.large(edges), ranked)
+        results.append(_rank_placed(placed) if ranked else placed.select(*ORDERED.fieldNames()[:3], _nothing("position")))
     if not results:
-        return tasks.select([F.col(c).alias(c) if c in tasks.columns else F.lit(None).cast("long").alias(c) for c in PLACED.fieldNames()])
+        return tasks.select("graph_id", "task_id", _nothing("level"), _nothing("position"))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
+def _nothing(name):
+    return F.lit(None).cast("long").alias(name)
+
+
+def _rank_placed(placed):
+    placed = Scratch(placed.sparkSession, "placed").put(placed, "placed")[0]
+    released = placed.where("level IS NOT NULL")
+    ranked = running_totals(released, ["graph_id"], ["level", "place", "link"], position=F.lit(1))
+    stuck = placed.where("level IS NULL").withColumn("position", _nothing("position"))
+    return ranked.unionByName(stuck).select(*ORDERED.fieldNames())
+
+
 def _release(tasks, edges, start, waiting):
     find = kernels.finder(tasks["graph_id"], tasks["task_id"])
     dependent = find(edges["graph_id"], edges["dependent_id"])
@@ -108,7 +120,7 @@ def _release(tasks, edges, start, waiting):
     return kernels.release(links, start(waiting), waiting)
 
 
-def _place_pack(tasks, edges):
+def _order_pack(tasks, edges):
     """All graphs of one pack at once; separate graphs do not disturb each other's order."""
 
     def start(waiting):
@@ -116,18 +128,19 @@ def _place_pack(tasks, edges):
         return roots[np.argsort(tasks["seq"][roots], kind="stable")]
 
     level, order = _release(tasks, edges, start, None)
-    place = np.zeros(len(level), dtype=np.int64)
-    place[order] = np.arange(len(order))
+    order = order[np.argsort(tasks["graph_id"][order], kind="stable")]
+    graphs = tasks["graph_id"][order]
+    position = np.zeros(len(level), dtype=np.int64)
+    position[order] = np.arange(len(order)) - np.searchsorted(graphs, graphs) + 1
     return {
         "graph_id": tasks["graph_id"],
         "task_id": tasks["task_id"],
         "level": nullable(level, level < 0),
-        "place": nullable(place, level < 0),
-        "link": nullable(np.zeros(len(level)), level < 0),
+        "position": nullable(position, level < 0),
     }
 
 
-def _place_by_rounds(tasks, edges, ordered):
+def _place_by_rounds(tasks, edges, ranked):
     """One join round per level, each written once.
 
     The state of a round is split into tasks that become ready and tasks that wait. Only the
@@ -159,12 +172,14 @@ def _place_by_rounds(tasks, edges, ordered):
             ready=F.count_if(F.col("waiting") == 0),
             used=F.sum("used"),
         )
+        if depth:
+            scratch.drop(f"state-{depth - 1}/ready=false")
         unused, used = unused - seen["used"], used + seen["used"]
         ready, waiting = table.where("ready"), table.where("NOT ready")
         done.append(ready.select("graph_id", "task_id", F.lit(depth).cast("long").alias("level"), "place", "link"))
         n_waiting = seen["rows"] - seen["ready"]
         if seen["ready"] == 0 or n_waiting == 0:
-            done.append(waiting.select("graph_id", "task_id", *[F.lit(None).cast("long").alias(c) for c in ("level", "place", "link")]))
+            done.append(waiting.select("graph_id", "task_id", *map(_nothing, ("level", "place", "link"))))
             break
         if used > unused:
             live = table.select("graph_id", F.col("task_id").alias("dependency_id"))
@@ -173,7 +188,7 @@ def _place_by_rounds(tasks, edges, ordered):
             scratch.drop(f"edges-{compacted}")
             compacted, used, unused = compacted + 1, 0, kept["rows"]
         wave = ready.select("graph_id", "task_id", "place", "link")
-        if ordered:
+        if ranked:
             wave = running_totals(wave, ["graph_id"], ["place", "link"], known_rows=seen["ready"], rank=F.lit(1))
         else:
             wave = wave.withColumn("rank", F.lit(0).cast("long"))
@@ -181,7 +196,7 @@ def _place_by_rounds(tasks, edges, ordered):
         if seen["rows"] + unused <= fits:
             done.append(_finish_in_packs(wave, waiting, edges, depth))
             break
-        last = F.max(F.struct("rank", "edge_seq")) if ordered else F.lit(None).cast("struct<rank:bigint,edge_seq:bigint>")
+        last = F.max(F.struct("rank", "edge_seq")) if ranked else F.lit(None).cast("struct<rank:bigint,edge_seq:bigint>")
         released = (
             edges.join(wave, ["graph_id", "dependency_id"])
             .groupBy("graph_id", F.col("dependent_id").alias("task_id"))
@@ -204,7 +219,6 @@ def _place_by_rounds(tasks, edges, ordered):
 
 def _finish_in_packs(wave, waiting, edges, depth):
     """The rest of the run from the ready ``wave``, when all of it fits one task."""
-    nothing = F.lit(None).cast("long")
     ready = wave.select("graph_id", F.col("dependency_id").alias("task_id"), "rank", F.lit(0).cast("long").alias("waiting"))
     rest = waiting.select("graph_id", "task_id", F.lit(0).cast("long").alias("rank"), "waiting")
     one = F.lit(0)

@@ -47,16 +47,16 @@ def keys_above(df, keys, rows):
 def attach(df, lookup, keys, sized_by=None):
     """Left join of a table with one row per key, for keys of any size in ``df``.
 
-    The few keys above the limit take their lookup row by broadcast; at most one row in
+    NULL keys find nothing, whatever the lookup holds. The few keys above the limit take their lookup row by broadcast; at most one row in
     ``hotRows`` is such a key. ``sized_by`` is a cheaper table with the same rows per key.
     """
     hot = keys_above((df if sized_by is None else sized_by).select(*keys), keys, limit(df.sparkSession, "hotRows"))
     if hot is None:
-        return key_join(df, lookup, keys, "left")
+        return df.join(lookup, keys, "left")
     hot = sized_broadcast(hot)
-    few = sized_broadcast(key_join(lookup, hot, keys, "left_semi"))
-    cold = key_join(key_join(df, hot, keys, "left_anti"), lookup, keys, "left")
-    return cold.unionByName(key_join(key_join(df, hot, keys, "left_semi"), few, keys, "left"))
+    few = sized_broadcast(lookup.join(hot, keys, "left_semi"))
+    cold = key_join(df, hot, keys, "left_anti").join(lookup, keys, "left")
+    return cold.unionByName(key_join(df, hot, keys, "left_semi").join(few, keys, "left"))
 
 
 def sized_broadcast(lookup):
