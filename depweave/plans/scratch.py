@@ -26,11 +26,16 @@ def shared_folder(spark):
 
 
 class Scratch:
-    """A private subfolder of the shared folder, holding the tables of one operator call."""
+    """A private subfolder of the shared folder, holding the tables of one operator call.
+
+    Results are lazy and may read these tables at any later time, so they stay until the
+    application's folder is removed.
+    """
 
     def __init__(self, spark, label):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/depweave-{label}-{uuid.uuid4().hex}"
+        application = spark.sparkContext.applicationId
+        self.root = f"{shared_folder(spark)}/depweave-{application}/{label}-{uuid.uuid4().hex}"
 
     def put(self, df, name, partition_by=(), **metrics):
         """Write ``df`` and return the written table with its observed metrics.
