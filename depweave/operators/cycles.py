@@ -22,8 +22,13 @@ KNOT = T.StructType(
         T.StructField("in_cycle", BOOL, True),
     ]
 )
-LABELLED = T.StructType([T.StructField(c, LONG, True) for c in ("graph_id", "task_id", "scc_id")])
-DECIDED = T.StructType([T.StructField("graph_id", LONG, True), T.StructField("edge_seq", LONG, True), T.StructField("accepted", BOOL, True)])
+DECIDED = T.StructType(
+    [
+        T.StructField("graph_id", LONG, True),
+        T.StructField("edge_seq", LONG, True),
+        T.StructField("accepted", BOOL, True),
+    ]
+)
 
 
 def cyclic_core(tasks, edges):
@@ -185,12 +190,10 @@ def admit_edges(cand, tasks, graphs=None):
     offers = as_edges(judged.where("verdict = 'ok'"))
     decided = _admit(offers.withColumn("fixed", F.lit(False)), scratch, "a")
     decided = decided.where("NOT accepted").select(
-        F.col("graph_id").alias("dependent_graph_id"), F.col("edge_seq").alias("seq"), F.lit(True).alias("_refused")
+        F.col("graph_id").alias("dependent_graph_id"), F.col("edge_seq").alias("seq")
     )
-    refused = scratch.put(
-        judged.where("verdict = 'ok'").join(decided, ["dependent_graph_id", "seq"], "left_semi").select(*OFFER, F.lit(True).alias("_refused")),
-        "refused",
-    )[0]
+    refused = judged.where("verdict = 'ok'").join(decided, ["dependent_graph_id", "seq"], "left_semi")
+    refused = scratch.put(refused.select(*OFFER, F.lit(True).alias("_refused")), "refused")[0]
     structural = ~F.col("verdict").isin("ok", "repeat")
     verdict = (
         F.when(structural, F.col("verdict"))
