@@ -1,7 +1,22 @@
 """One query per corpus operator over its whole table, and DuckDB SQL where SQL can say it."""
 
-from depweave.llm import mixture
-from depweave.llm.common import table
+from pyspark.sql import functions as F
+
+from depweave.llm import langid, mixture, quality
+from depweave.llm.common import fold, table
+
+
+def op2_quality(spark, sf_dir):
+    """Quality score of every document, learned from the labels of four folds of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.learn(docs.where(fold("doc_id", 5) != 0), labels.where(fold("doc_id", 5) != 0))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"),
+    )
 
 
 def op5_mixing(spark, sf_dir):
@@ -9,8 +24,19 @@ def op5_mixing(spark, sf_dir):
     return mixture.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op10_language_id(spark, sf_dir):
+    """Language of every document, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.LanguageModel.fit(docs.where(fold("doc_id", 5) != 0).select("lang", "text"))
+    return langid.identify(docs, model, keep=("doc_id",)).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "languages", "shares"
+    )
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op5_mixing": op5_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {}
