@@ -1,11 +1,17 @@
 """One query per corpus operator over its whole table, and DuckDB SQL where SQL can say it."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, mixture, quality
+from depweave.llm import langid, mixture, pieces, quality
 from depweave.llm.common import fold, table
 
 
+# The vocabulary files lie outside the repository.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op2_quality(spark, sf_dir):
     """Quality score of every document, learned from the labels of four folds of five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +30,11 @@ def op5_mixing(spark, sf_dir):
     return mixture.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op8_pieces(spark, sf_dir):
+    """The four best segmentations of every document into pieces, decoded again."""
+    return pieces.round_trips(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op10_language_id(spark, sf_dir):
     """Language of every document, learned from four folds of five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -36,6 +47,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op2_quality": op2_quality,
     "op5_mixing": op5_mixing,
+    "op8_pieces": op8_pieces,
     "op10_language_id": op10_language_id,
 }
 
