@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, mixture, pieces, quality
+from depweave.llm import langid, mixture, personal, pieces, quality
 from depweave.llm.common import fold, table
 
 
@@ -30,6 +30,12 @@ def op5_mixing(spark, sf_dir):
     return mixture.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op6_personal(spark, sf_dir):
+    """Base and added personal data spans of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal.find(docs, personal.learn(docs))
+
+
 def op8_pieces(spark, sf_dir):
     """The four best segmentations of every document into pieces, decoded again."""
     return pieces.round_trips(table(spark, sf_dir, "documents"), PIECE_MODEL)
@@ -47,6 +53,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op2_quality": op2_quality,
     "op5_mixing": op5_mixing,
+    "op6_personal": op6_personal,
     "op8_pieces": op8_pieces,
     "op10_language_id": op10_language_id,
 }
