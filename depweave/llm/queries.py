@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, mixture, personal, pieces, quality
+from depweave.llm import langid, mixture, personal, pieces, quality, syncmers
 from depweave.llm.common import fold, table
 
 
@@ -25,6 +25,11 @@ def op2_quality(spark, sf_dir):
     )
 
 
+def op3_syncmers(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark, sf_dir):
     """Words that a mix of all documents by source weights 1, 2, 3 takes from each document."""
     return mixture.Mix(table(spark, sf_dir, "documents")).taken()
@@ -52,6 +57,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_syncmers": op3_syncmers,
     "op5_mixing": op5_mixing,
     "op6_personal": op6_personal,
     "op8_pieces": op8_pieces,
