@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, mixture, personal, pieces, quality, syncmers
+from depweave.llm import langid, mixture, personal, pieces, quality, syncmers, topk
 from depweave.llm.common import fold, table
 
 
@@ -12,6 +12,12 @@ from depweave.llm.common import fold, table
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_pivot_search(spark, sf_dir):
+    """The 20 highest inner products of every twentieth vector with all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return topk.top_k(rows, F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark, sf_dir):
     """Quality score of every document, learned from the labels of four folds of five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +62,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pivot_search": op1_pivot_search,
     "op2_quality": op2_quality,
     "op3_syncmers": op3_syncmers,
     "op5_mixing": op5_mixing,
@@ -64,4 +71,18 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op1_pivot_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
