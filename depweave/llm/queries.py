@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, mixture, personal, pieces, quality, syncmers, topk
+from depweave.llm import langid, mixture, personal, pieces, quality, repeats, syncmers, topk
 from depweave.llm.common import fold, table
 
 
@@ -47,6 +47,11 @@ def op6_personal(spark, sf_dir):
     return personal.find(docs, personal.learn(docs))
 
 
+def op7_repeats(spark, sf_dir):
+    """Words of every document that repeat a window of 50 words of an earlier document."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_pieces(spark, sf_dir):
     """The four best segmentations of every document into pieces, decoded again."""
     return pieces.round_trips(table(spark, sf_dir, "documents"), PIECE_MODEL)
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_syncmers": op3_syncmers,
     "op5_mixing": op5_mixing,
     "op6_personal": op6_personal,
+    "op7_repeats": op7_repeats,
     "op8_pieces": op8_pieces,
     "op10_language_id": op10_language_id,
 }
