@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, mixture, personal, pieces, quality, repeats, syncmers, topk
+from depweave.llm import langid, mixture, ngram_join, personal, pieces, quality, repeats, syncmers, topk
 from depweave.llm.common import fold, table
 
 
@@ -57,6 +57,11 @@ def op8_pieces(spark, sf_dir):
     return pieces.round_trips(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_ngram_join(spark, sf_dir):
+    """Groups of documents linked by 85 per cent Jaccard similarity of their four-word shingles."""
+    return ngram_join.NgramJoin(table(spark, sf_dir, "documents")).grouped()
+
+
 def op10_language_id(spark, sf_dir):
     """Language of every document, learned from four folds of five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -74,6 +79,7 @@ QUERIES = {
     "op6_personal": op6_personal,
     "op7_repeats": op7_repeats,
     "op8_pieces": op8_pieces,
+    "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
 }
 

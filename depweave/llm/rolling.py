@@ -60,3 +60,59 @@ def inside(edges, n_starts, size):
     """Row of each start position, -1 where ``size`` words do not fit into the row."""
     owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[:n_starts]
     return np.where(np.arange(n_starts) + size <= edges[owner + 1], owner, -1)
+
+
+_GAP = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_TURNS = (np.arange(1, 129, dtype=np.uint64) * _ODD[0]) | np.uint64(1)
+SLAB_BYTES = 1 << 21
+
+
+def word_slabs(texts, most=SLAB_BYTES):
+    """(first row, word hashes, row edges) of groups of rows of a string column without NULLs.
+
+    Works on the UTF-8 bytes: A-Z count as a-z, words end at ASCII white space.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    row, n = 0, len(texts)
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+        starts = offsets[row : stop + 1] - offsets[row]
+        points = _LOWER[data[offsets[row] : offsets[stop]]]
+        word = ~_GAP[points]
+        fresh = np.ones(len(points), dtype=bool)
+        fresh[1:] = ~word[:-1]
+        fresh[starts[:-1][starts[:-1] < len(points)]] = True
+        begins = np.flatnonzero(word & fresh)
+        place = np.flatnonzero(word)
+        to = np.searchsorted(place, begins)
+        at = np.arange(len(place)) - np.repeat(to, np.diff(np.append(to, len(place))))
+        terms = (points[place].astype(np.uint64) + np.uint64(7)) * _TURNS[at & 127] + (at >> 7).astype(np.uint64)
+        terms = (terms ^ (terms >> np.uint64(29))) * _MIX
+        hashes = mixed(np.add.reduceat(terms, to)) if len(to) else np.zeros(0, dtype=np.uint64)
+        yield row, hashes, np.searchsorted(begins, starts)
+        row = stop
+
+
+def shingle_sets(words, edges, size):
+    """Distinct shingle hashes of each row, ascending, and their row edges.
+
+    A row with fewer words than a shingle has its whole sequence as one; a row without words none.
+    """
+    grams = sequence_hashes(words, size)
+    owner = inside(edges, len(grams), size) if len(grams) else np.zeros(0, dtype=np.int64)
+    values, owner = grams[owner >= 0], owner[owner >= 0]
+    counts = np.diff(edges)
+    for short in range(1, size):
+        rows = np.flatnonzero(counts == short)
+        if len(rows):
+            values = np.concatenate([values, mixed(sequence_hashes(words, short)[edges[rows]] + np.uint64(short))])
+            owner = np.concatenate([owner, rows])
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    values, owner = values[new], owner[new]
+    return values, np.searchsorted(owner, np.arange(len(edges)))
