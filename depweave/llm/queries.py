@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from depweave.llm import langid, mixture, ngram_join, personal, pieces, quality, repeats, syncmers, topk
+from depweave.llm import class_model, langid, mixture, ngram_join, personal, pieces, quality, repeats, syncmers, topk
 from depweave.llm.common import fold, table
 
 
@@ -36,6 +36,14 @@ def op3_syncmers(spark, sf_dir):
     return syncmers.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_class_model(spark, sf_dir):
+    """Log probability of every document under a class bigram model of six folds of seven."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = class_model.ClassLanguageModel(docs.where(fold("doc_id", 7) != 2).select("text"))
+    held_out = (fold("doc_id", 7) == 2).alias("held_out")
+    return model.score(docs).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mixing(spark, sf_dir):
     """Words that a mix of all documents by source weights 1, 2, 3 takes from each document."""
     return mixture.Mix(table(spark, sf_dir, "documents")).taken()
@@ -75,6 +83,7 @@ QUERIES = {
     "op1_pivot_search": op1_pivot_search,
     "op2_quality": op2_quality,
     "op3_syncmers": op3_syncmers,
+    "op4_class_model": op4_class_model,
     "op5_mixing": op5_mixing,
     "op6_personal": op6_personal,
     "op7_repeats": op7_repeats,

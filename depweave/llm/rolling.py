@@ -70,7 +70,13 @@ SLAB_BYTES = 1 << 21
 
 
 def word_slabs(texts, most=SLAB_BYTES):
-    """(first row, word hashes, row edges) of groups of rows of a string column without NULLs.
+    """(first row, word hashes, row edges) of groups of rows of a string column without NULLs."""
+    for row, hashes, edges, *_ in byte_slabs(texts, most):
+        yield row, hashes, edges
+
+
+def byte_slabs(texts, most=SLAB_BYTES):
+    """As ``word_slabs``, with the lower-cased bytes and where in them each word begins and ends.
 
     Works on the UTF-8 bytes: A-Z count as a-z, words end at ASCII white space.
     """
@@ -92,7 +98,8 @@ def word_slabs(texts, most=SLAB_BYTES):
         terms = (points[place].astype(np.uint64) + np.uint64(7)) * _TURNS[at & 127] + (at >> 7).astype(np.uint64)
         terms = (terms ^ (terms >> np.uint64(29))) * _MIX
         hashes = mixed(np.add.reduceat(terms, to)) if len(to) else np.zeros(0, dtype=np.uint64)
-        yield row, hashes, np.searchsorted(begins, starts)
+        ends = place[np.append(to[1:], len(place)) - 1] + 1 if len(to) else begins
+        yield row, hashes, np.searchsorted(begins, starts), points, begins, ends
         row = stop
 
 
