@@ -1,6 +1,47 @@
-"""A corpus pipeline of five operators, each stage written and read again by the next."""
+"""A corpus pipeline of five operators, each stage written and read again by the next.
 
-from depweave.llm import mixture
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the
+last return the columns of the documents table.
+"""
+
+from pyspark.sql import functions as F
+
+from depweave.llm import langid, mixture, ngram_join, personal, pieces
+from depweave.llm.queries import PIECE_MODEL
+from depweave.plans.scratch import Scratch
+
+# Near duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def identify_languages(spark, docs, sf_dir):
+    """Documents with a language; ``lang`` becomes the prediction. Documents without a letter go."""
+    columns = docs.columns
+    model = langid.LanguageModel.fit(docs.select("lang", "text"))
+    found = langid.identify(docs.withColumnRenamed("lang", "given"), model, keep=[c if c != "lang" else "given" for c in columns])
+    kept = found.where(F.col("lang_pred") != langid.NO_LANGUAGE).withColumn("lang", F.col("lang_pred"))
+    return kept.select(*columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of near duplicates: the one with the smallest id."""
+    groups = ngram_join.NgramJoin(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    copies = groups.grouped().where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti")
+    # Rows without an id take no part in the join and stay.
+    return kept.select(*docs.columns) if not groups.repeated_ids else first_of_each_id(kept.select(*docs.columns))
+
+
+def first_of_each_id(docs):
+    """One row per id; rows without an id stay."""
+    rest = [F.col(c) for c in docs.columns if c != "doc_id"]
+    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def mask_personal_data(spark, docs, sf_dir):
+    """Personal data replaced by its kind."""
+    return personal.mask(docs, personal.learn(docs))
 
 
 def mix_sources(spark, docs, sf_dir):
@@ -8,14 +49,29 @@ def mix_sources(spark, docs, sf_dir):
     return mixture.Mix(docs).texts(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def encode_pieces(spark, docs, sf_dir):
+    """The best segmentation into pieces of every document, and the scores of the four best."""
+    paths = pieces.encode(docs, PIECE_MODEL, most=4, keep=("doc_id", "lang", "source"))
+    best = F.col("paths")[0]
+    return paths.select(
+        "doc_id", "lang", "source", F.size(best["ids"]).alias("n_pieces"), best["ids"].alias("ids"), F.col("paths.score").alias("scores")
+    )
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("near_copies", drop_near_copies),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+# Mixture inference, drawing and lattice search are beyond SQL; tests compare with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """All stages over the documents table; each stage's result is a written table."""
-    from depweave.plans.scratch import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
