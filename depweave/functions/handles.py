@@ -6,9 +6,9 @@ from depweave.schemas import INVALID_TASK_ID, MAX_TASK_ID
 
 
 def is_valid_id(task_id):
-    """True for a task id that is neither missing nor the reserved invalid id."""
+    """True for a task id in range that is neither missing nor the reserved invalid id."""
     task_id = F.col(task_id) if isinstance(task_id, str) else task_id
-    return task_id.isNotNull() & (task_id != INVALID_TASK_ID)
+    return task_id.isNotNull() & (task_id != INVALID_TASK_ID) & in_range(task_id)
 
 
 def in_range(value):
@@ -20,6 +20,8 @@ def in_range(value):
 def handle_key(graph_id, task_id):
     """One LONG per handle: graph id in the high half, task id in the low half.
 
-    Unique for all in-range handles; graph ids from 2^31 upwards give negative keys.
+    NULL for a handle out of range. Unique for all others; graph ids from 2^31 upwards give negative
+    keys.
     """
-    return F.shiftleft(graph_id, 32).bitwiseOR(F.col(task_id) if isinstance(task_id, str) else task_id)
+    task = F.col(task_id) if isinstance(task_id, str) else task_id
+    return F.when(in_range(graph_id) & in_range(task), F.shiftleft(graph_id, 32).bitwiseOR(task))

@@ -31,29 +31,37 @@ DECIDED = T.StructType(
 )
 
 
-def cyclic_core(tasks, edges):
+def cyclic_core(tasks, edges, plan=None):
     """Tasks a run never reaches (``stuck``), and those also left when leaves are removed
-    from these again and again (``core``: the tasks on cycles or between cycles)."""
-    return _knots(tasks, edges).select("graph_id", "task_id", "stuck", "core")
+    from these again and again (``core``: the tasks on cycles or between cycles).
 
+    A task listed twice counts once, and rows with a NULL graph or task are none.
+    ``plan="rounds"`` sends graphs of any size through the rounds meant for large ones."""
+    return _knots(tasks, edges, plan).select("graph_id", "task_id", "stuck", "core")
 
-def cycle_members(tasks, edges):
-    """Strongly connected component of every task, named by its smallest task id."""
-    return _knots(tasks, edges).select("graph_id", "task_id", "scc_id", "in_cycle")
 
+def cycle_members(tasks, edges, plan=None):
+    """Strongly connected component of every task, named by its smallest task id.
 
-def _knots(tasks, edges):
-    tasks = tasks.select("graph_id", "task_id")
-    edges = edges.select("graph_id", "dependent_id", "dependency_id")
-    tiers = Tiers(graph_sizes(tasks, edges))
+    Rows and ``plan`` as in `cyclic_core`.
+    """
+    return _knots(tasks, edges, plan).select("graph_id", "task_id", "scc_id", "in_cycle")
+
+
+def _knots(tasks, edges, plan):
+    tasks = tasks.select("graph_id", "task_id").dropna()
+    edges = edges.select("graph_id", "dependent_id", "dependency_id").dropna()
+    tiers = Tiers(graph_sizes(tasks, edges), plan=plan)
     small = tiers.run(_knot_pack, KNOT, tiers.small(tasks), tiers.small(edges))
     if not tiers.any_large:
         return small
-    large = _knots_by_rounds(tiers.large(tasks), tiers.large(edges))
+    large = _knots_by_rounds(tiers.large(tasks).distinct(), tiers.large(edges))
     return small.unionByName(large) if tiers.any_small else large
 
 
 def _knot_pack(tasks, edges):
+    graphs, ids = kernels.nodes_of(tasks["graph_id"], tasks["task_id"])
+    tasks = {"graph_id": graphs, "task_id": ids}
     n = len(tasks["task_id"])
     find = kernels.finder(tasks["graph_id"], tasks["task_id"])
     dependent, dependency = find(edges["graph_id"], edges["dependent_id"]), find(edges["graph_id"], edges["dependency_id"])

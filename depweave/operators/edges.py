@@ -5,8 +5,7 @@ An edge row (dependent_id, dependency_id) says: the dependent waits for the depe
 
 from pyspark.sql import functions as F
 
-from depweave.functions.handles import is_valid_id
-from depweave.plans.limits import limit
+from depweave.functions.handles import in_range, is_valid_id
 from depweave.plans.skew import attach, key_join, keys_above, running_totals, sized_broadcast
 
 EDGE = ["graph_id", "dependent_id", "dependency_id"]
@@ -47,10 +46,13 @@ def classify_edges(cand, tasks, graphs=None):
         )
         checked = attach(checked, finalised.distinct(), ["dependent_graph_id"], sized_by=cand)
         frozen = F.col("_frozen").isNotNull()
+    # A missing graph id is no handle out of range; its tasks are missing.
+    off = ~in_range("dependent_graph_id") | ~in_range("dependency_graph_id")
+    invalid = ~(is_valid_id("dependent_id") & is_valid_id("dependency_id")) | F.coalesce(off, F.lit(False))
     same_graph = F.col("dependent_graph_id").eqNullSafe(F.col("dependency_graph_id"))
     verdict = (
         F.when(frozen, "finalised")
-        .when(~(is_valid_id("dependent_id") & is_valid_id("dependency_id")), "invalid_handle")
+        .when(invalid, "invalid_handle")
         .when(~same_graph, "cross_graph")
         .when(F.col("dependent_id") == F.col("dependency_id"), "self")
         .when(F.col("_has_dependent").isNull() | F.col("_has_dependency").isNull(), "missing")
@@ -105,9 +107,8 @@ def degrees(tasks, edges):
     )
 
 
-def _list_parts(entries, keys):
-    """Add ``part``: 0, except that a list above the ``listEntries`` limit is cut by rank."""
-    most = limit(entries.sparkSession, "listEntries")
+def _list_parts(entries, keys, most):
+    """Add ``part``: 0, except that a list of more than ``most`` entries is cut by rank."""
     parted = entries.withColumn("part", F.lit(0).cast("long"))
     hubs = keys_above(entries.select(*keys), keys, most)
     if hubs is None:
@@ -119,11 +120,12 @@ def _list_parts(entries, keys):
     return key_join(parted, hubs, keys, "left_anti").unionByName(ranked)
 
 
-def adjacency(tasks, edges):
+def adjacency(tasks, edges, part_size=100_000):
     """Ordered dependency and dependent lists of every task, empty lists included.
 
-    ``part`` is 0 for every task. Only a task whose lists exceed the ``listEntries`` limit
-    continues on rows with part 1, 2, ..., each with the next stretch of its lists.
+    A list of n entries is on ceil(n / part_size) rows: ``part`` is 0 on the first, and each
+    further row has the next ``part_size`` entries. The key is (graph_id, task_id, part) at any
+    size of the data, and no session setting has a part in it.
     """
     ends = F.explode(
         F.array(
@@ -132,7 +134,7 @@ def adjacency(tasks, edges):
         )
     )
     entries = edges.select("graph_id", "edge_seq", ends.alias("end")).select("graph_id", "edge_seq", "end.*")
-    parted = _list_parts(entries, ["graph_id", "task_id", "waits"]).withColumn("known", F.lit(False))
+    parted = _list_parts(entries, ["graph_id", "task_id", "waits"], part_size).withColumn("known", F.lit(False))
     base = tasks.select("graph_id", "task_id", F.lit(0).cast("long").alias("part"), F.lit(True).alias("known"))
 
     def listed(side):

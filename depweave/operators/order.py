@@ -7,13 +7,14 @@ from pyspark.sql import types as T
 from depweave.operators.edges import degrees
 from depweave.operators.identity import task_counts
 from depweave.plans import kernels
-from depweave.plans.limits import limit
 from depweave.plans.packs import PACK, Tiers, graph_sizes, nullable, packed
 from depweave.plans.scratch import Scratch
 from depweave.plans.skew import running_totals
 from depweave.schemas import LONG
 
 ORDERED = T.StructType([T.StructField(c, LONG, True) for c in ("graph_id", "task_id", "level", "position")])
+# Stands for a missing seq, behind all others.
+LAST = (1 << 63) - 1
 # A released task's place among the tasks of its level: the place of its last-visited
 # dependency in the level before, then the order of the link. Roots go by insertion order.
 PLACED = T.StructType(
@@ -31,25 +32,35 @@ def roots_and_leaves(tasks, edges):
     )
 
 
-def levels(tasks, edges):
+def levels(tasks, edges, plan=None):
     """Longest distance from the roots; NULL for a task that is never released.
 
     A dependency that is not among the tasks never completes, so its dependents stay NULL.
+    ``plan="rounds"`` sends graphs of any size through the rounds meant for large ones.
     """
-    return _ordered(tasks, edges, ranked=False).select("graph_id", "task_id", "level")
+    return _ordered(tasks, edges, False, plan).select("graph_id", "task_id", "level")
 
 
-def fifo_order(tasks, edges):
+def fifo_order(tasks, edges, plan=None):
     """Level and exact run position (from 1) of every task under a first-in-first-out queue.
 
     Roots queue by ``seq``; a finished task offers its dependents in ``edge_seq`` order.
     """
-    return Scratch(tasks.sparkSession, "order").put(_ordered(tasks, edges, ranked=True), "ordered")[0]
+    return Scratch(tasks.sparkSession, "order").put(_ordered(tasks, edges, True, plan), "ordered")[0]
 
 
 def validate_graphs(graphs, tasks, edges):
-    """Whether each graph can be frozen: it needs a task, a root, and no cycle."""
-    return validity_from_levels(graphs, tasks, levels(tasks, edges))
+    """Whether each graph can be frozen: it needs a task, a root, and no cycle.
+
+    A graph that ``graphs.finalised`` marks as frozen stays so without another look at it.
+    """
+    if "finalised" not in graphs.columns:
+        return validity_from_levels(graphs, tasks, levels(tasks, edges))
+    frozen = graphs.where("finalised").select("graph_id").distinct()
+    open_graphs = graphs.select("graph_id").join(frozen, "graph_id", "left_anti")
+    tasks, edges = (t.join(frozen, "graph_id", "left_anti") for t in (tasks, edges))
+    judged = validity_from_levels(open_graphs, tasks, levels(tasks, edges))
+    return judged.unionByName(frozen.select("graph_id", F.lit(True).alias("finalised"), F.lit("ok").alias("reason")))
 
 
 def validity_from_levels(graphs, tasks, levelled):
@@ -75,20 +86,24 @@ def _with_default(df, column, default):
     return df if column in df.columns else df.withColumn(column, default.cast("long"))
 
 
-def _ordered(tasks, edges, ranked):
+def _ordered(tasks, edges, ranked, plan=None):
     """Level and position of every task, by packs of small graphs and by rounds for large ones.
 
-    Without ``ranked``, rounds leave the position NULL and spare the ranking.
+    Without ``ranked``, rounds leave the position NULL and spare the ranking. Both plans get the same
+    totally ordered input: rows with a NULL graph or task are no tasks or edges, a task
+    listed twice counts once with its smallest ``seq``, a NULL ``seq`` or ``edge_seq`` comes last, and equal
+    ones go by task id and dependent id.
     """
-    tasks = _with_default(tasks, "seq", F.col("task_id")).select("graph_id", "task_id", "seq")
+    tasks = _with_default(tasks, "seq", F.col("task_id")).select("graph_id", "task_id", F.coalesce("seq", F.lit(LAST)).alias("seq"))
+    tasks = tasks.where("graph_id IS NOT NULL AND task_id IS NOT NULL")
     edges = _with_default(edges, "edge_seq", F.lit(0))
-    edges = edges.select("graph_id", "edge_seq", "dependent_id", "dependency_id")
-    tiers = Tiers(graph_sizes(tasks, edges))
+    edges = edges.select("graph_id", F.coalesce("edge_seq", F.lit(LAST)).alias("edge_seq"), "dependent_id", "dependency_id").dropna()
+    tiers = Tiers(graph_sizes(tasks, edges), plan=plan)
     results = []
     if tiers.any_small:
         results.append(tiers.run(_order_pack, ORDERED, tiers.small(tasks), tiers.small(edges)))
     if tiers.any_large:
-        placed = _place_by_rounds(tiers.large(tasks), tiers.large(edges), ranked)
+        placed = _place_by_rounds(tiers.large(tasks), tiers.large(edges), ranked, tiers.most)
         results.append(_rank_placed(placed) if ranked else placed.select(*ORDERED.fieldNames()[:3], _nothing("position")))
     if not results:
         return tasks.select("graph_id", "task_id", _nothing("level"), _nothing("position"))
@@ -102,7 +117,7 @@ def _nothing(name):
 def _rank_placed(placed):
     placed = Scratch(placed.sparkSession, "placed").put(placed, "placed")[0]
     released = placed.where("level IS NOT NULL")
-    ranked = running_totals(released, ["graph_id"], ["level", "place", "link"], position=F.lit(1))
+    ranked = running_totals(released, ["graph_id"], ["level", "place", "link", "task_id"], position=F.lit(1))
     stuck = placed.where("level IS NULL").withColumn("position", _nothing("position"))
     return ranked.unionByName(stuck).select(*ORDERED.fieldNames())
 
@@ -115,17 +130,18 @@ def _release(tasks, edges, start, waiting):
     if waiting is None:
         waiting = np.bincount(dependent[known], minlength=len(tasks["task_id"]))
     usable = np.flatnonzero(known & (dependency >= 0))
-    usable = usable[np.argsort(edges["edge_seq"][usable], kind="stable")]
+    usable = usable[np.lexsort((edges["dependent_id"][usable], edges["edge_seq"][usable]))]
     links = kernels.Links(len(tasks["task_id"]), dependency[usable], dependent[usable])
     return kernels.release(links, start(waiting), waiting)
 
 
 def _order_pack(tasks, edges):
     """All graphs of one pack at once; separate graphs do not disturb each other's order."""
+    tasks = _once(tasks)
 
     def start(waiting):
         roots = np.flatnonzero(waiting == 0)
-        return roots[np.argsort(tasks["seq"][roots], kind="stable")]
+        return roots[np.lexsort((tasks["task_id"][roots], tasks["seq"][roots]))]
 
     level, order = _release(tasks, edges, start, None)
     order = order[np.argsort(tasks["graph_id"][order], kind="stable")]
@@ -140,7 +156,16 @@ def _order_pack(tasks, edges):
     }
 
 
-def _place_by_rounds(tasks, edges, ranked):
+def _once(tasks):
+    """Each task once, with its smallest ``seq``."""
+    order = np.lexsort((tasks["seq"], tasks["task_id"], tasks["graph_id"]))
+    graphs, ids = tasks["graph_id"][order], tasks["task_id"][order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (graphs[1:] != graphs[:-1]) | (ids[1:] != ids[:-1])
+    return {name: values[order][new] for name, values in tasks.items()}
+
+
+def _place_by_rounds(tasks, edges, ranked, fits):
     """One join round per level, each written once.
 
     The state of a round is split into tasks that become ready and tasks that wait. Only the
@@ -153,6 +178,7 @@ def _place_by_rounds(tasks, edges, ranked):
     edges, seen = scratch.put(edges, "edges-0")
     unused, compacted = seen["rows"], 0
     needed = edges.groupBy("graph_id", F.col("dependent_id").alias("task_id")).agg(F.count(F.lit(1)).alias("needed"))
+    tasks = tasks.groupBy("graph_id", "task_id").agg(F.min("seq").alias("seq"))
     state = tasks.join(needed, ["graph_id", "task_id"], "left").select(
         "graph_id",
         "task_id",
@@ -162,7 +188,6 @@ def _place_by_rounds(tasks, edges, ranked):
         F.lit(0).cast("long").alias("used"),
     )
     depth, used, done = 0, 0, []
-    fits = limit(spark, "graphRows")
     while True:
         # One folder per state; the written split is what prunes the scans below.
         table, seen = scratch.put(
@@ -189,7 +214,7 @@ def _place_by_rounds(tasks, edges, ranked):
             compacted, used, unused = compacted + 1, 0, kept["rows"]
         wave = ready.select("graph_id", "task_id", "place", "link")
         if ranked:
-            wave = running_totals(wave, ["graph_id"], ["place", "link"], known_rows=seen["ready"], rank=F.lit(1))
+            wave = running_totals(wave, ["graph_id"], ["place", "link", "task_id"], known_rows=seen["ready"], rank=F.lit(1))
         else:
             wave = wave.withColumn("rank", F.lit(0).cast("long"))
         wave = wave.select("graph_id", F.col("task_id").alias("dependency_id"), "rank")

@@ -33,15 +33,18 @@ def endpoints(edges):
     return edges.select("graph_id", both).distinct()
 
 
-def reachable(edges, seeds, direction="up", max_hops=None):
+def reachable(edges, seeds, direction="up", max_hops=None, plan=None):
     """Every task reached from each seed, with the smallest number of hops.
 
     ``up`` follows dependencies, ``down`` follows dependents. A seed reaches itself in 0 hops.
+    Only the edges of graphs with a seed are looked at; rows with a NULL take no part.
+    ``plan="rounds"`` sends graphs of any size through the rounds meant for large ones.
     """
     source, target = {"up": ("dependent_id", "dependency_id"), "down": ("dependency_id", "dependent_id")}[direction]
-    edges = edges.select("graph_id", F.col(source).alias("source"), F.col(target).alias("target"))
-    seeds = seeds.select("graph_id", F.col("task_id").alias("seed_id")).distinct()
-    tiers = Tiers(_search_sizes(edges, seeds))
+    edges = edges.select("graph_id", F.col(source).alias("source"), F.col(target).alias("target")).dropna()
+    seeds = seeds.select("graph_id", F.col("task_id").alias("seed_id")).dropna().distinct()
+    edges = edges.join(seeds.select("graph_id").distinct(), "graph_id", "left_semi")
+    tiers = Tiers(_search_sizes(edges, seeds), plan=plan)
 
     def kernel(seeds, edges):
         nodes, links, starts = _search_space(edges, seeds["graph_id"], seeds["seed_id"])
@@ -54,9 +57,9 @@ def reachable(edges, seeds, direction="up", max_hops=None):
             "hops": hops.astype(np.int64),
         }
 
-    found = tiers.run(kernel, REACHED, tiers.small(seeds), tiers.small(edges))
     if not tiers.any_large:
-        return found
+        return tiers.run(kernel, REACHED, seeds, edges)
+    found = tiers.run(kernel, REACHED, tiers.small(seeds), tiers.small(edges))
     large = _reach_by_rounds(tiers.large(edges), tiers.large(seeds), max_hops)
     return found.unionByName(large) if tiers.any_small else large
 
@@ -96,17 +99,20 @@ def _reach_by_rounds(edges, seeds, max_hops):
     return scratch.get("met", schema).select(*schema.fieldNames())
 
 
-def probe_cycles(edges, cand):
+def probe_cycles(edges, cand, plan=None):
     """Whether each candidate, added alone to the present graph, would close a cycle.
 
     That is so if the dependent is among the direct or indirect dependencies of the
     dependency. Candidates with the same dependency share one search. On a search path levels
     only fall, so nothing below the lowest dependent sought is entered; tasks without a level
-    (behind a cycle) always are.
+    (behind a cycle) always are. A candidate with a NULL closes no cycle, and only the edges of
+    graphs with a candidate are looked at. ``plan="rounds"`` sends graphs of any size through the
+    rounds meant for large ones.
     """
-    edges = edges.select("graph_id", F.col("dependent_id").alias("source"), F.col("dependency_id").alias("target"))
-    probes = cand.select(*PROBE).distinct()
-    tiers = Tiers(_search_sizes(edges, probes.select("graph_id", "dependency_id").distinct()))
+    edges = edges.select("graph_id", F.col("dependent_id").alias("source"), F.col("dependency_id").alias("target")).dropna()
+    probes = cand.select(*PROBE).dropna().distinct()
+    edges = edges.join(probes.select("graph_id").distinct(), "graph_id", "left_semi")
+    tiers = Tiers(_search_sizes(edges, probes.select("graph_id", "dependency_id").distinct()), plan=plan)
     probed = None
     if tiers.any_small:
         probed = tiers.run(_probe_pack, PROBED, tiers.small(probes), tiers.small(edges))

@@ -1,13 +1,15 @@
 """What a fail-fast run of a graph did, told from its order and the outcome of its tasks."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from depweave.functions.report import report_line
 from depweave.plans.limits import limit
 from depweave.plans.scratch import Scratch
-from depweave.plans.skew import attach, key_join, keys_above, running_totals, sized_broadcast
+from depweave.plans.skew import attach, key_join, running_totals
 
 
 def ready_tasks(tasks, edges, completed):
@@ -97,6 +99,7 @@ def render_report(summary):
 
 
 PART = "_part"
+MERGED_PARTS = 2
 
 
 def guarded_apply(df, keys, fn, schema, merge=None):
@@ -105,10 +108,12 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     Returns (results, errors). ``fn`` gets one group as a pandas frame and returns a frame of
     ``schema``; with ``fn=None`` the rows are passed through and every group succeeds.
 
-    A group above the ``hotRows`` limit reaches ``fn`` whole only if there is no ``merge``.
-    With ``merge``, ``fn`` runs on parts of such a group in many tasks, and
-    ``merge(frame of all part results)`` gives the group's result; the group fails if any
-    part fails. ``errors`` has the keys, ``status`` and ``error``.
+    Without ``merge`` a group reaches ``fn`` whole, in one task. With ``merge``, every group of
+    whatever size is cut into parts, at least ``MERGED_PARTS`` of them if it has as many rows;
+    ``fn`` runs on the parts, and ``merge(frame of all part results)`` gives the group's result. The
+    group fails if any part fails. ``errors`` has the keys, ``status`` and ``error``.
+
+    A result that does not fit ``schema`` is a failure of its group like an exception.
     """
     spark = df.sparkSession
     if fn is None:
@@ -117,21 +122,16 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields, marks = schema.fieldNames(), [f"_key_{i}" for i in range(len(keys))]
     part = F.lit(0)
-    hot = None if merge is None else keys_above(df.select(*keys), keys, limit(spark, "hotRows"))
-    rows = df
-    if hot is not None:
-        width = df.count() // limit(spark, "hotRows") + 2
-        hot = sized_broadcast(hot.withColumn("_hot", F.lit(True)))
-        rows = key_join(df, hot, keys, "left")
+    if merge is not None:
+        width = max(MERGED_PARTS, df.count() // limit(spark, "hotRows") + 1)
         # Equal rows are told apart by the task that read them.
-        spread = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(width)).cast("int")
-        part = F.when(F.col("_hot"), spread).otherwise(0)
-    marked = rows.withColumns({**dict(zip(marks, map(F.col, keys))), PART: part}).drop("_hot")
+        part = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(width)).cast("int")
+    marked = df.withColumns({**dict(zip(marks, map(F.col, keys))), PART: part})
     scratch = Scratch(spark, "guarded")
     ran = scratch.put(_guarded(marked, [*marks, PART], fn, schema), "ran")[0]
     failed = ran.where("_failed").groupBy(*marks).agg(F.min_by("_error", PART).alias("_error"))
     done = ran.where("NOT _failed")
-    if hot is not None:
+    if merge is not None:
         parts = key_join(done, failed, marks, "left_anti").select(*marks, *fields)
         merged = scratch.put(_guarded(parts, marks, merge, schema), "merged")[0]
         done = merged.where("NOT _failed")
@@ -146,15 +146,16 @@ def _guarded(df, by, fn, schema):
     verdict = [T.StructField("_failed", T.BooleanType(), True), T.StructField("_error", T.StringType(), True)]
     shape = T.StructType([*[df.schema[name] for name in by], *verdict, *schema.fields])
     names, columns = schema.fieldNames(), shape.fieldNames()
+    declared = to_arrow_schema(schema)
 
     def apply(key, group):
         try:
             made = fn(group.drop(columns=by))[names]
+            pa.Table.from_pandas(made, declared, preserve_index=False)
             head = {**dict(zip(by, key)), "_failed": False, "_error": None}
         except Exception as problem:  # whatever user code raises belongs to its group alone
             made = pd.DataFrame({name: [None] for name in names})
             head = {**dict(zip(by, key)), "_failed": True, "_error": str(problem)}
         return made.assign(**head)[columns]
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, *by).groupBy(*by).applyInPandas(apply, shape)
+    return df.groupBy(*by).applyInPandas(apply, shape)

@@ -53,8 +53,8 @@ def test_long_lists_continue_in_parts(spark, limits, hot):
     tasks, edges = random_graphs(rng, 2, 12, 60, acyclic=False)
     tdf, edf = tasks_df(spark, tasks), edges_df(spark, edges)
     whole = {(g, t): (ins, outs) for g, t, ins, outs in rows(ops.adjacency(tdf, edf), "graph_id", "task_id", "dependencies", "dependents")}
-    with limits(listEntries=2, **({"hotRows": hot} if hot else {})):
-        parts = rows(ops.adjacency(tdf, edf), "graph_id", "task_id", "part", "dependencies", "dependents")
+    with limits(**({"hotRows": hot} if hot else {})):
+        parts = rows(ops.adjacency(tdf, edf, part_size=2), "graph_id", "task_id", "part", "dependencies", "dependents")
     assert max(len(x) for r in parts for x in r[3:]) == 2
     joined = {}
     for g, t, _, ins, outs in parts:

@@ -95,3 +95,9 @@ def test_sliced_totals_equal_plain_windows(spark, limits):
         rank, total = expected.get(k, (0, 0))
         expected[k] = (rank + 1, total + v)
         assert (k, a, b, v, rank + 1, total + v) in plain
+
+
+def test_handles_out_of_range_have_no_key(spark):
+    df = spark.createDataFrame([(1, 2), (0, 4294967298), (-1, 2), (4294967295, 4294967295)], "graph_id long, task_id long")
+    keys = [r[0] for r in df.select(handle_key("graph_id", "task_id")).collect()]
+    assert keys == [4294967298, None, None, -1]

@@ -4,7 +4,7 @@ import pytest
 from frames_of import edges_df, graph, tasks_df
 from model import queue_run, random_graphs, rows
 
-from depweave.operators import order
+from depweave.operators import cycles, order, reach
 
 PLANS = {
     "packs": {},
@@ -103,3 +103,54 @@ def test_reasons_not_to_freeze(spark):
         (3, False, "no_root"),
         (4, False, "cycle"),
     ]
+
+
+def messy(spark):
+    """Tasks listed twice, NULLs everywhere, equal and missing ``seq`` and ``edge_seq``, repeated edges."""
+    rng = random.Random(11)
+    tasks = [(g, t, rng.choice([None, 1, 2, 3])) for g in (1, 2, 3) for t in range(1, 15)]
+    tasks += [tasks[0], (1, 3, 0), (1, 3, None), (None, 1, 1), (2, None, 1), (None, None, None)]
+    edges = []
+    for g in (1, 2, 3):
+        for _ in range(24):
+            a, b = rng.sample(range(1, 15), 2)
+            if g < 3:
+                a, b = max(a, b), min(a, b)
+            edges.append((g, rng.choice([None, 5, 6]), a, b))
+    edges += [edges[0], (1, 5, None, 2), (1, 5, 2, None), (None, 5, 2, 1), (2, 7, 3, 99)]
+    return (
+        spark.createDataFrame(tasks, "graph_id long, task_id long, seq long"),
+        spark.createDataFrame(edges, "graph_id long, edge_seq long, dependent_id long, dependency_id long"),
+    )
+
+
+def test_plans_agree_on_messy_rows(spark, limits):
+    tasks, edges = messy(spark)
+    plans = [{}, {"graphRows": 30}]
+    seeds = tasks.where("seq = 1")
+    found = []
+    for plan in plans:
+        with limits(**plan):
+            found.append(
+                [
+                    rows(order.fifo_order(tasks, edges), "graph_id", "task_id", "level", "position"),
+                    rows(order.levels(tasks, edges), "graph_id", "task_id", "level"),
+                    rows(cycles.cycle_members(tasks, edges), "graph_id", "task_id", "scc_id", "in_cycle"),
+                    rows(reach.reachable(edges, seeds), "graph_id", "seed_id", "task_id", "hops"),
+                    sorted(map(repr, reach.probe_cycles(edges, edges.select(*reach.PROBE)).collect())),
+                ]
+            )
+    forced = [
+        rows(order.fifo_order(tasks, edges, plan="rounds"), "graph_id", "task_id", "level", "position"),
+        rows(order.levels(tasks, edges, plan="rounds"), "graph_id", "task_id", "level"),
+        rows(cycles.cycle_members(tasks, edges, plan="rounds"), "graph_id", "task_id", "scc_id", "in_cycle"),
+        rows(reach.reachable(edges, seeds, plan="rounds"), "graph_id", "seed_id", "task_id", "hops"),
+        sorted(map(repr, reach.probe_cycles(edges, edges.select(*reach.PROBE), plan="rounds").collect())),
+    ]
+    assert len(found[0][1]) == 42 and all(f == found[0] for f in [*found, forced])
+
+
+def test_frozen_graphs_stay_frozen(spark):
+    graphs = spark.createDataFrame([(1, True), (2, False), (3, None)], "graph_id long, finalised boolean")
+    tasks, edges = tasks_df(spark, [(g, t, t) for g in (1, 2, 3) for t in (1, 2)]), edges_df(spark, [(g, i, a, b) for g in (1, 2, 3) for i, a, b in ((1, 1, 2), (2, 2, 1))])
+    assert rows(order.validate_graphs(graphs, tasks, edges)) == [(1, True, "ok"), (2, False, "no_root"), (3, False, "no_root")]

@@ -122,3 +122,29 @@ def test_no_function_is_success(spark):
     df = spark.createDataFrame([(1, 2)], "k long, v long")
     results, errors = runs.guarded_apply(df, ["k"], None, "k long, v long")
     assert rows(results) == [(1, 2)] and rows(errors) == []
+
+
+def test_a_result_of_the_wrong_type_fails_its_group_alone(spark):
+    def odd(group):
+        k = int(group["k"].iloc[0])
+        return pd.DataFrame({"k": [k], "total": ["many" if k == 2 else 5]})
+
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "k long, v long")
+    results, errors = runs.guarded_apply(df, ["k"], odd, "k long, total long")
+    assert rows(results) == [(1, 5), (3, 5)]
+    assert [r.k for r in errors.collect()] == [2]
+
+
+def test_merge_is_used_at_every_size(spark, limits):
+    """A merge that is wrong gives the same wrong rows under any limit above the group."""
+    df = spark.createDataFrame([(1, v) for v in range(50)], "k long, v long")
+
+    def total(group):
+        return group.groupby("k", as_index=False)["v"].sum()
+
+    calls = []
+    for most in (1000, 100, 50):
+        with limits(hotRows=most):
+            results, errors = runs.guarded_apply(df, ["k"], total, "k long, v long", merge=lambda parts: parts.head(1).assign(v=len(parts)))
+            calls.append((rows(results), rows(errors)))
+    assert calls[0][0] == [(1, 2)] and calls[0] == calls[1] == calls[2]
