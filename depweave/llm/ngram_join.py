@@ -8,9 +8,9 @@ n - ceil(t n) + 1 shingles of both, so documents meet in the buckets of their pr
 
 Candidates never are all pairs of a bucket. First every member meets the bucket's smallest
 document, and what links makes components. Then only members outside the component of that
-document meet the others of other components, unless lengths, positions or the triangle inequality
-(Jaccard distance is a metric, and both distances to the smallest document are known) rule a
-link out. Equal sets are one document throughout.
+document meet the others of other components, unless their sizes, the number of prefix shingles they
+share, or the triangle inequality (Jaccard distance is a metric, and both distances to the
+smallest document are known) rule a link out. Equal sets are one document throughout.
 
 Candidates are verified by fragments: the order of hashes is cut into ``FRAGMENTS`` ranges, every
 set into one piece per range, pieces of one range are joined and counted by themselves, and the partial
@@ -178,14 +178,8 @@ class NgramJoin:
     def _linked(self, overlap, left, right):
         return 100 * overlap >= self.percent * (left + right - overlap)
 
-    def _possible(self, a, b):
-        """May members ``a`` and ``b`` of a bucket link, by sizes and by their positions in it."""
-        low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-        most = F.least(a["n"] - a["position"], b["n"] - b["position"])
-        return (100 * low >= self.percent * high) & self._linked(most, a["n"], b["n"])
-
     def buckets(self):
-        """Members (token, id, n, position) of all buckets with two different sets or more."""
+        """Members (token, id, n, position) of the buckets of two documents or more; equal sets count once."""
         hot_rows = limit(self.spark, "hotRows")
         kind = "token bigint, id bigint, n int, position int, hot boolean"
         prefixes = self.rows.where("id IS NOT NULL").mapInArrow(_prefixes(self.size, self.percent, self.sketch, hot_rows), kind)
@@ -223,54 +217,68 @@ class NgramJoin:
         found = pairs.join(common, ["a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
         return self.scratch.put(found.withColumn("linked", self._linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))), f"{name}-verified")
 
+    def _prefix_short(self, common, a, b):
+        """Do ``common`` shared prefix shingles rule a link out?
+
+        Shared shingles up to the end of that prefix which ends first are in both prefixes, so at most
+        the rest of that set, ceil(t n) - 1, is shared besides.
+        """
+        rest = F.greatest(F.ceil(self.percent * a / 100), F.ceil(self.percent * b / 100)) - 1
+        return ~self._linked(F.least(common + rest, a, b), a, b)
+
     def links(self):
         """Links between different sets: (a, b), enough of them to connect all that is linked."""
-        members = self.buckets()
-        heads = members.groupBy("token").agg(F.min(F.struct("id", "n", "position")).alias("head"), F.count(F.lit(1)).alias("members"))
-        members = self.scratch.put(members.join(heads.where("members > 1").select("token", "head"), "token"), "buckets")[0]
-        me = {c: F.col(c) for c in ("n", "position")}
-        head = {c: F.col(f"head.{c}") for c in ("n", "position")}
-        first = members.where(F.col("id") != F.col("head.id")).where(self._possible(me, head))
-        first = first.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+        members = self.scratch.put(self.buckets(), "sets")[0]
+        heads = members.groupBy("token").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
+        heads = heads.where("members > 1").select("token", F.col("head.id").alias("head_id"), F.col("head.n").alias("head_n"))
+        members = self.scratch.put(members.join(heads, "token"), "buckets")[0]
+        # First step: members and heads. It need not find all links.
+        first = members.where("id <> head_id").where(100 * F.least("n", "head_n") >= self.percent * F.greatest("n", "head_n"))
+        first = first.groupBy(F.col("head_id").alias("a"), F.col("id").alias("b"), F.col("head_n").alias("n_a"), F.col("n").alias("n_b")).agg(F.count(F.lit(1)).alias("common"))
+        first = first.where(~self._prefix_short(F.col("common"), F.col("n_a"), F.col("n_b"))).drop("common")
         verified, _ = self._verified(first, "first")
         near = verified.where("linked").select("a", "b")
         labels = components(near, self.scratch, "near")
-        # Second step: members outside the component of the head.
+        # Second step: in buckets of several components, members outside the head's.
+        placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        placed, seen = self.scratch.put(placed.join(several.select("token"), "token"), "several")
+        if not seen["rows"]:
+            return near
         at_head = verified.select(F.col("a").alias("head_id"), F.col("b").alias("id"), (F.lit(1.0) - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("d"))
-        placed = members.select("token", "id", "n", "position", F.col("head.id").alias("head_id"), F.col("head.n").alias("head_n"))
-        placed = placed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         home = labels.select(F.col("node").alias("head_id"), F.col("component").alias("home"))
         placed = placed.join(home, "head_id", "left").withColumn("home", F.coalesce("home", "head_id"))
         placed = placed.join(at_head, ["head_id", "id"], "left")
         by_size = F.lit(1.0) - F.least("n", "head_n") / F.greatest("n", "head_n")
-        low = F.when(F.col("id") == F.col("head_id"), 0.0).otherwise(F.coalesce("d", by_size))
-        high = F.when(F.col("id") == F.col("head_id"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
+        is_head = F.col("id") == F.col("head_id")
         placed = placed.select(
             "token", "id", "n", "position", "component", (F.col("component") == F.col("home")).alias("at_home"),
-            low.alias("low"), high.alias("high"), ((F.col("id") == F.col("head_id")) | F.col("d").isNotNull()).alias("met"), (F.col("id") == F.col("head_id")).alias("is_head"),
+            F.when(is_head, 0.0).otherwise(F.coalesce("d", by_size)).alias("low"), F.when(is_head, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
         )
-        placed, seen = self.scratch.put(placed, "placed", apart=F.count_if(~F.col("at_home")))
-        if not seen["apart"]:
-            return near
-        apart = placed.where("NOT at_home")
-        mixed_buckets = apart.select("token").distinct()
-        others = placed.join(mixed_buckets, "token", "left_semi")
-        columns = ["id", "n", "position", "component", "low", "high", "met", "is_head", "at_home"]
-        x = apart.select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
-        y = others.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
-        xs, ys = ({c: F.col(f"{s}_{c}") for c in columns} for s in "xy")
+        placed = self.scratch.put(placed, "placed")[0]
+        columns = ["id", "n", "position", "component", "low", "high", "at_home"]
+        x = placed.where("NOT at_home").select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
+        y = placed.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
         slack = 1.0 - self.percent / 100 + 1e-9
-        reach = F.greatest(xs["low"] - ys["high"], ys["low"] - xs["high"])
+        reach = F.greatest(F.col("x_low") - F.col("y_high"), F.col("y_low") - F.col("x_high"))
+        # A known overlap with the head is exact, so the triangle inequality also settles pairs with it.
         pairs = x.join(y, "token").where(
-            (xs["component"] != ys["component"])
-            & (ys["at_home"] | (xs["id"] < ys["id"]))
-            & ~(ys["is_head"] & xs["met"])
-            & self._possible(xs, ys)
-            & (reach <= slack)
-        )
-        a, b = F.least("x_id", "y_id"), F.greatest("x_id", "y_id")
+            "x_component <> y_component AND (y_at_home OR x_id < y_id) "
+            f"AND 100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n)"
+        ).where(reach <= slack)
+        # In the bucket of the first shingle they share, no more than the rest of both sets is shared.
+        rest = F.least(F.col("x_n") - F.col("x_position"), F.col("y_n") - F.col("y_position"))
+        pairs = pairs.where(self._linked(rest, F.col("x_n"), F.col("y_n")))
         smaller = F.col("x_id") < F.col("y_id")
-        pairs = pairs.select(a.alias("a"), b.alias("b"), F.when(smaller, F.col("x_n")).otherwise(F.col("y_n")).alias("n_a"), F.when(smaller, F.col("y_n")).otherwise(F.col("x_n")).alias("n_b")).distinct()
+        pairs = pairs.select(
+            F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"),
+            F.when(smaller, F.col("x_n")).otherwise(F.col("y_n")).alias("n_a"), F.when(smaller, F.col("y_n")).otherwise(F.col("x_n")).alias("n_b"),
+        ).distinct()
+        prefixes = members.groupBy("id").agg(F.collect_list("token").alias("prefix"))
+        for end in "ab":
+            pairs = pairs.join(prefixes.select(F.col("id").alias(end), F.col("prefix").alias(f"prefix_{end}")), end)
+        shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+        pairs = pairs.where(~self._prefix_short(shared, F.col("n_a"), F.col("n_b"))).drop("prefix_a", "prefix_b")
         verified, seen = self._verified(pairs, "second")
         return near.unionByName(verified.where("linked").select("a", "b")) if seen["rows"] else near
 

@@ -66,7 +66,7 @@ _GAP = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TURNS = (np.arange(1, 129, dtype=np.uint64) * _ODD[0]) | np.uint64(1)
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 20
 
 
 def word_slabs(texts, most=SLAB_BYTES):
