@@ -218,10 +218,11 @@ class Mix:
         on = [F.col("doc_id").eqNullSafe(F.col("_doc_id")), *[keyed[c] == used[c] for c in ("_no_source", "_source", "_size")]]
         words = F.filter(F.split(F.col("text"), GAP), lambda w: w != "")
 
-        def cut(piece):
-            part = F.slice("_words", piece["from"].cast("int") + 1, piece["words"].cast("int"))
+        def cut(words, piece):
+            part = F.slice(words, piece["from"].cast("int") + 1, piece["words"].cast("int"))
             return F.array_join(F.array_repeat(F.array_join(part, " "), piece["uses"].cast("int")), " ")
 
-        joined = keyed.join(used, on).withColumn("_words", words)
-        text = F.array_join(F.transform("cuts", cut), " ")
+        joined = keyed.join(used, on)
+        # The words as a lambda variable: split once per text, not once per piece.
+        text = F.transform(F.array(words), lambda w: F.array_join(F.transform("cuts", lambda piece: cut(w, piece)), " "))[0]
         return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
