@@ -13,7 +13,9 @@ the others lose its words. Whole copies of an earlier text are found by text bef
 everything, and take no further part.
 
 The sketch, and all that follows, is partitioned by cell, window or document; nothing is sent to
-the driver, and hot cells, windows and copies are joins that adaptive execution can split.
+the driver. Windows of cells met in more than ``hotRows`` documents, a bound the sketch gives for
+the size of every group, are grouped by an aggregate and a join that adaptive execution can
+split; all others by one window function. Both find the same rows.
 
 Defined results: a NULL text has no words; documents shorter than a window lose nothing; a NULL id
 counts as the largest id; rows of one id do not remove each other's words; repeated rows are
@@ -24,10 +26,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depweave.llm import rolling
 from depweave.llm.common import split_words, whole
+from depweave.plans.limits import limit
 from depweave.plans.scratch import Scratch
 
 WINDOW = 50
@@ -76,32 +80,36 @@ def cells_of(rows, window):
 
 
 def windows_in(rows, window):
-    """Windows of each row (key, t, words, cells) whose cell is listed: key, t, at, h1, h2."""
+    """Windows of each row (key, t, words, cells, hot_cells) whose cell is listed: key, t, at, h1, h2, hot."""
 
     def found(batches):
         for batch in batches:
             listed = batch.column("cells")
             cells, offsets = listed.values.to_numpy(), listed.offsets.to_numpy()
+            listed = batch.column("hot_cells")
+            hot_cells, hot_offsets = listed.values.to_numpy(), listed.offsets.to_numpy()
             key, t = batch.column("key").to_numpy(), batch.column("t").to_numpy()
             for first, words, edges in rolling.row_slabs(batch.column("words")):
                 if len(words) < window:
                     continue
                 cell, owner = _anchors(words, edges, window)
-                wanted = np.zeros(len(cell), dtype=bool)
+                wanted, hot = np.zeros(len(cell), dtype=bool), np.zeros(len(cell), dtype=bool)
                 for row in range(len(edges) - 1):
                     mine = cells[offsets[first + row] : offsets[first + row + 1]]
                     begin, end = edges[row], edges[row + 1] - window + 1
                     if end > begin:
                         wanted[begin:end] = np.isin(cell[begin:end], mine)
+                        if hot_offsets[first + row + 1] > hot_offsets[first + row]:
+                            hot[begin:end] = np.isin(cell[begin:end], hot_cells[hot_offsets[first + row] : hot_offsets[first + row + 1]])
                 at = np.flatnonzero(wanted & (owner >= 0))
                 row = owner[at]
                 h1 = rolling.sequence_hashes(words, window, 0)[at].view(np.int64)
                 h2 = (rolling.sequence_hashes(words, window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.record_batch(
-                    {"key": key[first + row], "t": t[first + row], "at": (at - edges[row]).astype(np.int32), "h1": h1, "h2": h2}
+                    {"key": key[first + row], "t": t[first + row], "at": (at - edges[row]).astype(np.int32), "h1": h1, "h2": h2, "hot": hot[at]}
                 )
 
-    return rows.mapInArrow(found, "key bigint, t bigint, at int, h1 bigint, h2 int")
+    return rows.mapInArrow(found, "key bigint, t bigint, at int, h1 bigint, h2 int, hot boolean")
 
 
 def _cut(window):
@@ -149,15 +157,22 @@ def remove_repeats(docs, window=WINDOW):
     marked = cells.join(first, ["t", "m", "n"]).withColumn("copy", F.col("key") > F.col("first"))
     flat = marked.where("NOT copy").select("key", "t", F.explode("cells").alias("cell"))
     # The merged sketch: cells met in two documents or more.
-    sketch = flat.groupBy("cell").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("cell")
-    wanted = flat.join(sketch, "cell").groupBy("key", "t").agg(F.collect_set("cell").alias("cells"))
-    wanted = scratch.put(wanted, "wanted")[0].withColumns({"key": F.coalesce("key", F.lit(0)), "t": F.coalesce("t", F.lit(0))})
+    hot = (F.count(F.lit(1)) > limit(docs.sparkSession, "hotRows")).alias("hot")
+    sketch = flat.groupBy("cell").agg(F.count(F.lit(1)).alias("met"), hot).where("met > 1").select("cell", "hot")
+    wanted = flat.join(sketch, "cell").groupBy("key", "t").agg(
+        F.collect_set("cell").alias("cells"), F.collect_set(F.when(F.col("hot"), F.col("cell"))).alias("hot_cells")
+    )
+    wanted, seen = scratch.put(wanted, "wanted", hot=F.count_if(F.size("hot_cells") > 0))
+    wanted = wanted.withColumns({"key": F.coalesce("key", F.lit(0)), "t": F.coalesce("t", F.lit(0))})
     # One shuffle of the texts serves both joins below.
     texts = rows.select("key", "t", "text", "doc_id")
-    candidates = texts.join(wanted, ["key", "t"]).select("key", "t", words.alias("words"), "cells")
+    candidates = texts.join(wanted, ["key", "t"]).select("key", "t", words.alias("words"), "cells", "hot_cells")
     windows = windows_in(candidates, window)
-    kept_by = windows.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    lost = windows.join(kept_by.select("h1", "h2", "first"), ["h1", "h2"]).where("key > first")
+    same = Window.partitionBy("h1", "h2")
+    lost = windows.where("NOT hot").withColumn("first", F.min("key").over(same)).where("key > first").select("key", "t", "at")
+    if seen["hot"]:
+        groups = windows.where("hot").groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+        lost = lost.unionByName(windows.where("hot").join(groups.select("h1", "h2", "first"), ["h1", "h2"]).where("key > first").select("key", "t", "at"))
     starts = lost.groupBy("key", "t").agg(F.collect_list("at").alias("starts"))
     copies = marked.where("copy").select("key", "t").distinct()
     decided = starts.select("key", "t", "starts", F.lit(False).alias("copy")).unionByName(
