@@ -4,6 +4,7 @@ import numpy as np
 
 SLAB_CHARS = 1 << 20
 SPACE = 32
+_TESTS = {"letter": str.isalpha, "upper": str.isupper, "digit": str.isdigit, "gap": lambda c: c in " \t\n\v\f\r"}
 _KINDS = {}
 
 
@@ -11,19 +12,18 @@ def kind(name):
     """Table over the basic plane: ``letter``, ``upper``, ``digit`` or ``gap`` (ASCII white space)."""
     if not _KINDS:
         plane = [chr(c) for c in range(0x10000)]
-        _KINDS["letter"] = np.array([c.isalpha() for c in plane])
-        _KINDS["upper"] = np.array([c.isupper() for c in plane])
-        _KINDS["digit"] = np.array([c.isdigit() for c in plane])
-        _KINDS["gap"] = np.array([c in " \t\n\v\f\r" for c in plane])
+        for each, test in _TESTS.items():
+            _KINDS[each] = np.array([test(c) for c in plane])
     return _KINDS[name]
 
 
 def is_kind(codes, name):
-    """Whether each code point is of a kind; points beyond the basic plane count as letters."""
+    """Whether each code point is of a kind; the distinct ones beyond the basic plane are asked for one by one."""
     found = kind(name)[np.minimum(codes, 0xFFFF)]
-    beyond = codes > 0xFFFF
-    if beyond.any():
-        found = np.where(beyond, name == "letter", found)
+    beyond = np.flatnonzero(codes > 0xFFFF)
+    if len(beyond):
+        points, which = np.unique(codes[beyond], return_inverse=True)
+        found[beyond] = np.array([_TESTS[name](chr(c)) for c in points])[which]
     return found
 
 

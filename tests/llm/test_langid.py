@@ -54,3 +54,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = queries.op10_language_id(spark, sf).where("held_out").join(docs, "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+
+
+def test_symbols_beyond_the_basic_plane_are_no_letters(table_of, model):
+    """Emoji, mathematical digits and musical signs have no language; letters beyond the plane (Gothic) stay letters."""
+    rows = [(1, "\U0001f600\U0001f680 \U0001f389", None, "a"), (2, "\U0001d7d8\U0001d7d9 \U0001d11e", None, "a"), (3, "\U00010330\U00010331", None, "a")]
+    got = {r.doc_id: r for r in langid.identify(table_of(rows), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2)] == ["und", "und"] and got[1].score == got[2].score == 0
+    assert got[3].lang_pred != "und"
+    counted = list(langid._count(iter(table_of([(1, "ab \U0001f600\U0001f600", "en", "a")]).select("text", "lang").toArrow().to_batches())))
+    assert sum(np.frombuffer(c.as_py(), dtype=np.int64).sum() for b in counted for c in b.column("counts")) == 2
