@@ -13,13 +13,19 @@ Queries are dealt into blocks of about ``QUERY_BLOCK`` and candidates into slice
 are merged by rank. Pivots are chosen far from each other among the ``SAMPLE`` vectors with the
 smallest hash of their id; any choice is right.
 
-Defined results: vectors that are NULL, or hold a NULL, non-finite or (as no exact score
-would be sure to fit a long) a component of ``TOO_LARGE`` or more in size, and rows without
-an id take no part; of several rows of one id the one with the smallest vector counts; shorter
+Vectors whose whole numbers have a squared norm of ``MOST_SQUARE`` or more are wide. As no inner
+product of others can leave a long, only pairs with a wide vector are scored in Python integers,
+each with each, and the results are merged by the integers themselves.
+
+Defined results: vectors that are NULL, or hold a NULL or non-finite component, and rows without
+an id take no part; a score beyond a long is NULL, its rank is that of the exact score; scale times a
+component beyond the doubles (no float is) fails the query; of several rows of one id the one with the smallest vector counts; shorter
 vectors are filled up with zeros; equal scores go to the smaller id; a query with fewer than k
 candidates gets them all; an empty table gives no rows.
 """
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
@@ -32,16 +38,44 @@ SAMPLE = 2048
 QUERY_BLOCK = 256
 SLICE_ROWS = 1 << 16
 PACK_ROWS = 1 << 13
-TOO_LARGE = float(1 << 20)
+WIDE_ROWS = 256
+OBJECT_ROWS = 1 << 12
+TOO_LARGE = float("inf")
+MOST_SQUARE = float(1 << 61)
+MOST_WHOLE = float(1 << 53)
 
 
 def whole_vectors(rows, scale):
-    """(vec_id, v): the vectors that take part, as arrays of whole numbers."""
+    """(vec_id, v, square): the vectors that take part, as arrays of whole numbers in doubles, and about their squared norms."""
     fits = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < TOO_LARGE))
-    quantised = F.transform("vector", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
+
+    def quantised(x):
+        scaled = F.lit(float(scale)) * x.cast("double")
+        beyond = F.raise_error(F.lit("scale times a component is beyond the doubles")).cast("double")
+        # Doubles of that size are whole.
+        large = F.when(F.abs(scaled) < float("inf"), scaled).otherwise(beyond)
+        return F.when(F.abs(scaled) < MOST_WHOLE, F.floor(scaled).cast("double")).otherwise(large)
+
     # A NULL component makes forall NULL, which drops the row as well.
     taking = rows.where("vec_id IS NOT NULL AND vector IS NOT NULL").where(fits)
-    return taking.select("vec_id", quantised.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    taking = taking.select("vec_id", F.transform("vector", quantised).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return taking.withColumn("square", F.aggregate("v", F.lit(0.0), lambda total, c: total + c * c))
+
+
+def integers(column, dimensions):
+    """A list column of whole doubles as rows of Python integers."""
+    out = np.full((len(column), dimensions), 0, dtype=object)
+    for row, values in enumerate(column.to_pylist()):
+        out[row, : len(values)] = [int(c) for c in values]
+    return out
+
+
+def sortable(score):
+    """Bytes in the order of the integers: the sign, the length in bytes (its complement if negative), the bytes."""
+    size = (abs(score).bit_length() + 7) // 8
+    if score >= 0:
+        return b"\x01" + size.to_bytes(2, "big") + score.to_bytes(size, "big")
+    return b"\x00" + (0xFFFF - size).to_bytes(2, "big") + ((1 << 8 * size) - 1 + score).to_bytes(size, "big")
 
 
 def choose_pivots(sample, most):
@@ -87,7 +121,7 @@ class PivotTable:
 
     def exact(self, x):
         """A type in which all inner products are exact."""
-        return x.astype(np.float32 if self.square <= 1 << 24 else np.float64 if self.square <= 1 << 53 else np.int64)
+        return x.astype(np.float32 if self.square <= 1 << 24 else np.float64 if self.square <= 1 << 52 else np.int64)
 
     def search(self, query, query_id, to_pivots, x, ids, table, k):
         """The k best (score, id) of one query among candidates ``x``; ``table`` has a row per pivot."""
@@ -120,6 +154,37 @@ class PivotTable:
         return best_scores, best_ids
 
 
+def wide_pairs(queries, candidates, seen, k, kind):
+    """The k best of each slice of candidates for each query, in Python integers; one side is wide."""
+    dimensions = seen["dimensions"]
+    n_blocks, n_slices = -(-seen["queries"] // QUERY_BLOCK) or 1, -(-seen["rows"] // SLICE_ROWS) or 1
+    n_slices = max(n_slices, -(-seen["wide"] // WIDE_ROWS))
+
+    def dealt(rows, own, n_own, other, n_other):
+        at = F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own)
+        return rows.select("vec_id", "v", at, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)).groupBy("block", "slice")
+
+    def search(key, asked, held):
+        out = {"query_id": [], "vec_id": [], "score": [], "key": []}
+        ids, q = held.column("vec_id").to_pylist(), integers(asked.column("v"), dimensions)
+        tops = [[] for _ in q]
+        for start in range(0, len(ids), OBJECT_ROWS):
+            x, who = integers(held.column("v").slice(start, OBJECT_ROWS), dimensions), ids[start : start + OBJECT_ROWS]
+            for n, (i, scores) in enumerate(zip(asked.column("vec_id").to_pylist(), q @ x.T)):
+                here = [(-s, j) for s, j in zip(scores, who) if j != i]
+                tops[n] = heapq.nsmallest(k, tops[n] + here)
+        for i, top in zip(asked.column("vec_id").to_pylist(), tops):
+            for s, j in top:
+                out["query_id"].append(i)
+                out["vec_id"].append(j)
+                out["score"].append(-s if -(1 << 63) <= -s < 1 << 63 else None)
+                out["key"].append(sortable(-s))
+        return pa.table({c: pa.array(values, pa.binary() if c == "key" else pa.int64()) for c, values in out.items()})
+
+    pairs = dealt(queries, "block", n_blocks, "slice", n_slices).cogroup(dealt(candidates, "slice", n_slices, "block", n_blocks))
+    return pairs.applyInArrow(search, kind)
+
+
 def top_k(rows, is_query, k=20, scale=64):
     """For each row of ``rows`` (vec_id, vector) with ``is_query``, its k highest inner products with the others.
 
@@ -127,10 +192,12 @@ def top_k(rows, is_query, k=20, scale=64):
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "topk")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda total, c: total + c.cast("long") * c)
-    vectors, seen = scratch.put(
-        whole_vectors(rows, scale), "vectors", square=F.max(norm), dimensions=F.max(F.size("v")), queries=F.count_if(is_query)
+    plain = F.col("square") < MOST_SQUARE
+    all_vectors, seen = scratch.put(
+        whole_vectors(rows, scale), "vectors", dimensions=F.max(F.size("v")), square=F.max(F.when(plain, F.col("square"))),
+        queries=F.count_if(is_query), wide=F.count_if(~plain),
     )
+    vectors = all_vectors.where(plain).select("vec_id", F.transform("v", lambda c: c.cast("int")).alias("v"))
     n_blocks, n_slices = -(-seen["queries"] // QUERY_BLOCK) or 1, -(-seen["rows"] // SLICE_ROWS) or 1
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     empty = PivotTable(np.zeros((0, seen["dimensions"])), seen["square"], seen["dimensions"])
@@ -155,6 +222,8 @@ def top_k(rows, is_query, k=20, scale=64):
     packed = packed.select("x", "ids", "distances", F.pmod(F.xxhash64("first"), F.lit(n_slices)).cast("int").alias("slice"), blocks(n_blocks).alias("block"))
     queries = vectors.where(is_query).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), blocks(n_slices).alias("slice"))
 
+    wide = seen["wide"] > 0
+
     def search(key, asked, held):
         table = shared.value
         found = []
@@ -172,11 +241,18 @@ def top_k(rows, is_query, k=20, scale=64):
             {
                 "query_id": pa.array(np.repeat(np.array([i for i, _, _ in found], dtype=np.int64), sizes)),
                 "vec_id": pa.array(np.concatenate([w for _, _, w in found]) if found else np.zeros(0, dtype=np.int64)),
-                "score": pa.array(np.concatenate([s for _, s, _ in found]) if found else np.zeros(0, dtype=np.int64)),
+                "score": pa.array(scores := np.concatenate([s for _, s, _ in found]) if found else np.zeros(0, dtype=np.int64)),
+                "key": pa.array([sortable(s) for s in scores.tolist()] if wide else [None] * len(scores), pa.binary()),
             }
         )
 
     pairs = queries.groupBy("block", "slice").cogroup(packed.groupBy("block", "slice"))
-    best = pairs.applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kind = "query_id long, vec_id long, score long, key binary"
+    best = pairs.applyInArrow(search, kind)
+    if wide:
+        # Read once more, as a cogroup needs two frames of different columns.
+        again = scratch.get("vectors", all_vectors.schema)
+        best = best.unionByName(wide_pairs(all_vectors.where(is_query), again.where(~plain), seen, k, kind))
+        best = best.unionByName(wide_pairs(all_vectors.where(~plain).where(is_query), again.where(plain), seen, k, kind))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -66,3 +66,32 @@ def test_fewer_candidates_than_k_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, vector array<float>")
     assert found(frame, 20) == [(0, 1, 1, 64 * 128)]
     assert found(frame.where("vec_id > 5"), 20) == []
+
+
+def test_large_finite_components_take_part(spark, monkeypatch):
+    """Every finite vector is a query and a candidate; ranks are those of the exact integers."""
+    monkeypatch.setattr(topk, "WIDE_ROWS", 2)
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in draw.normal(size=3)]) for i in range(60)]
+    large = [[2.0**20, 1.0, -3.0], [-(2.0**24), 0.0, 1.0], [2.0**40, -(2.0**39), 5.0], [3.0e38, 1.0, 1.0], [-3.0e38, -1.0], [1e9, 1e9, -1e9]]
+    rows += [(60 + n, [float(np.float32(x)) for x in v]) for n, v in enumerate(large)]
+    rows += [(66, rows[62][1]), (63, [3.2e38, 0.0, 0.0]), (63, [float("inf")]), (69, [None])]
+    best = {}
+    for i, v in rows:
+        if all(x is not None and math.isfinite(x) for x in v):
+            q = [math.floor(64 * float(np.float32(x))) for x in v]
+            best[i] = min(best.get(i, q), q)
+    want = set()
+    for i, q in best.items():
+        scores = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in best.items() if j != i)[:20]
+        want |= {(i, r + 1, j, -s if abs(s) < 1 << 63 else None) for r, (s, j) in enumerate(scores) if i % 3 == 0}
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<float>")
+    got = found(frame, 20)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(s is None for *_, s in want) and {60, 63, 66} <= {i for i, *_ in want}
+    assert set(found(frame.where("vec_id IN (63, 64)"), 20)) == {(63, 1, 64, None)}
+
+
+def test_sortable_keeps_the_order():
+    values = sorted([0, 1, -1, 255, 256, -255, -256, -257, 1 << 300, -(1 << 300), (1 << 63) - 1, -(1 << 63)])
+    assert sorted(values, key=topk.sortable) == values and len(set(map(topk.sortable, values))) == len(values)
