@@ -24,19 +24,22 @@ def identify_languages(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each group of near duplicates: the one with the smallest id."""
-    groups = ngram_join.NgramJoin(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    copies = groups.grouped().where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    # Rows without an id take no part in the join and stay.
-    return kept.select(*docs.columns) if not groups.repeated_ids else first_of_each_id(kept.select(*docs.columns))
-
-
-def first_of_each_id(docs):
-    """One row per id; rows without an id stay."""
-    rest = [F.col(c) for c in docs.columns if c != "doc_id"]
-    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near duplicates: the one with the smallest id, then text digest; NULL ids come last.
+
+    Every row has a key of its own, written once, so rows of one id, and rows without, are compared as any others.
+    """
+    columns = docs.columns
+    order = [F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("digest"), F.xxhash64(*columns).alias("whole")]
+    keyed = docs.select(*columns, F.struct(*order).alias("_order"), F.monotonically_increasing_id().alias("_row"))
+    keyed = Scratch(spark, "near-copies").put(keyed, "rows")[0]
+    groups = ngram_join.NgramJoin(keyed.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    found = groups.grouped().select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    # Groups of one row have nothing to drop.
+    several = found.where("_row <> group").select("group").distinct()
+    found = found.join(several, "group").join(keyed.select("_row", "_order"), "_row")
+    first = found.groupBy("group").agg(F.min(F.struct("_order", "_row"))["_row"].alias("first"))
+    copies = found.join(first, "group").where("_row <> first").select("_row")
+    return keyed.join(copies, "_row", "left_anti").select(*columns)
 
 
 def mask_personal_data(spark, docs, sf_dir):

@@ -204,18 +204,19 @@ class Mix:
         """``docs`` with each text cut to the words that the mix takes, in block order, repeats in place.
 
         A document of which nothing is taken is left out. Rows that repeat a doc_id with the same
-        source and size share their pieces.
+        source and size are told apart by their number among these, in the order of their texts.
         """
-        used = self.pieces().where("uses > 0").groupBy(*SOURCE, "doc_id", "size", "chunk", "row").agg(
+        same = ["doc_id", *SOURCE, "size"]
+        numbers = self.documents.select("chunk", "row", *same).withColumn("n", F.row_number().over(Window.partitionBy(*SOURCE, "chunk", "doc_id", "size").orderBy("row")))
+        used = self.pieces().where("uses > 0").groupBy(*SOURCE, "chunk", "row").agg(
             F.sort_array(F.collect_list(F.struct("from", "words", "uses"))).alias("cuts")
-        ).drop("chunk", "row")
+        )
+        used = numbers.join(used, [*SOURCE, "chunk", "row"]).select(*[F.col(c).alias(f"_{c}") for c in [*same, "n"]], "cuts")
         keyed = docs.withColumns(
             {"_" + name: column for name, column in zip(["no_source", "source", "size"], [F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")), F.regexp_count(whole(), F.lit(WORD)).cast("long")])}
         )
-        used = used.groupBy(*SOURCE, "doc_id", "size").agg(F.first("cuts").alias("cuts")).withColumnsRenamed(
-            {"no_source": "_no_source", "source": "_source", "size": "_size", "doc_id": "_doc_id"}
-        )
-        on = [F.col("doc_id").eqNullSafe(F.col("_doc_id")), *[keyed[c] == used[c] for c in ("_no_source", "_source", "_size")]]
+        keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_no_source", "_source", "_size").orderBy("text")))
+        on = [F.col("doc_id").eqNullSafe(F.col("_doc_id")), *[keyed[c] == used[c] for c in ("_no_source", "_source", "_size", "_n")]]
         words = F.filter(F.split(F.col("text"), GAP), lambda w: w != "")
 
         def cut(words, piece):

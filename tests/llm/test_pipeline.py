@@ -56,3 +56,24 @@ def test_whole_run_and_entry(spark):
 def test_equals_sql(spark, name):
     found = queries.QUERIES[name](spark, SF).toPandas()
     assert compare(found, tables(SF).execute(queries.ORACLES[name]).df()) is None
+
+
+def test_rows_of_one_id_and_without_are_judged_by_text(spark, table_of):
+    """Different texts of one id all stay, copies go whatever their ids, NULL ids too."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, d), (3, d), (4, b), (4, "one more text of its own")]
+    docs = table_of([(i, t, "en", "a") for i, t in rows]).select(*COLUMNS)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert kept == Counter([(1, a), (1, b), (None, c), (3, d), (4, "one more text of its own")])
+
+
+def test_rows_of_one_id_source_and_size_have_cuts_of_their_own(spark, table_of):
+    from depweave.llm import mixture
+
+    rows = [(i, " ".join(f"{w}{i}x{n}" for n in range(30)), "en", s) for w in "abcdef" for i in (None, 1, 2) for s in "ab"]
+    docs = table_of(rows).select(*COLUMNS)
+    mix = mixture.Mix(docs, block_words=7, shard_blocks=16)
+    want = Counter((r.doc_id, r["size"], r.taken) for r in mix.taken().collect() if r.taken)
+    texts = mix.texts(docs).collect()
+    assert Counter((r.doc_id, 30, len(r.text.split())) for r in texts) == want
+    assert len({r.taken for r in mix.taken().collect()}) > 1
