@@ -3,8 +3,9 @@
 A k-mer of ``K`` consecutive words is an anchor if the smallest hash among its inner s-mers of
 ``S`` words is that of its first or its last s-mer. Whether a k-mer is chosen depends on its own words
 alone, never on its neighbours, so an edit changes only the anchors it touches, and the same passage
-has the same anchors at the same distances in every document. The set of anchors is compared for
-likeness, their positions align two documents.
+has the same anchors at the same distances in every document. The fingerprint is the list of all
+anchors in order with their distances. Likeness is that of two fingerprints: an anchor matches one with
+the same hash, distance to the next anchor and next hash. Positions also align two documents.
 
 Everything is native: words are hashed once per text, and the rest are array functions on longs.
 
@@ -12,7 +13,7 @@ Defined results: a NULL text is an empty one; a text without any anchor (of fewe
 words, or with none chosen) has the hash of its whole word sequence as its one anchor at
 position 0, and an empty text that of no words; equal texts have
 equal fingerprints, and texts that differ only in white space too; the likeness of two
-fingerprints is twice their common anchors over the sum of their anchors.
+fingerprints is twice their matching anchors over the sum of their anchors, repeats counted.
 """
 
 from pyspark.sql import Window
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from depweave.llm.common import split_words, whole
 
 K, S = 3, 1
-SKETCH = 128
 CELL_ROWS = 256
 MOST_CELLS = 1 << 18
 NO_ID = -(1 << 63)
@@ -54,19 +54,39 @@ def anchors(df, words, name):
     return inner.withColumn(name, F.when(F.size("_starts") > 0, F.transform("_starts", anchor)).otherwise(short)).drop("_s", "_starts")
 
 
-def hashes(anchor_column):
-    """The set of anchor hashes."""
-    return F.array_distinct(F.transform(anchor_column, lambda a: a["hash"]))
+def marks(df, anchor_column, name):
+    """Add ``name``: each anchor with its distance to the next and that one's hash (0, 0 after the last) and the number of its occurrence, hashed."""
+    a = F.col(anchor_column)
 
+    def link(anchor, i):
+        after = F.get(a, i + 1)
+        return F.xxhash64(anchor["hash"], F.coalesce(after["at"] - anchor["at"], F.lit(0)), F.coalesce(after["hash"], F.lit(0)))
 
-def fingerprint(hash_set):
-    """Text form: how many anchors there are, and the ``SKETCH`` smallest hashes in hexadecimal."""
-    low = F.slice(F.sort_array(hash_set), 1, SKETCH)
-    return F.concat(F.size(hash_set).cast("string"), F.lit(":"), F.array_join(F.transform(low, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ""))
+    def is_first(i):
+        return (i == 0) | (F.get(F.col("_links"), i) != F.get(F.col("_links"), i - 1))
+
+    def numbered(first, run):
+        end = F.coalesce(F.get(F.col("_firsts"), run + 1), F.size("_links"))
+        return F.transform(F.sequence(F.lit(0), end - first - 1), lambda n: F.xxhash64(F.get(F.col("_links"), first), n))
+
+    df = df.withColumn("_links", F.sort_array(F.transform(a, link)))
+    df = df.withColumn("_firsts", F.filter(F.sequence(F.lit(0), F.size("_links") - 1), is_first))
+    return df.withColumn(name, F.flatten(F.transform("_firsts", numbered))).drop("_links", "_firsts")
+
+
+def fingerprint(anchor_column):
+    """Text form: how many anchors there are, and for each its hash in hexadecimal and its distance from the one before."""
+    a = F.col(anchor_column)
+
+    def one(anchor, i):
+        gap = anchor["at"] - F.when(i == 0, F.lit(0)).otherwise(F.get(a, i - 1)["at"])
+        return F.concat(F.lpad(F.lower(F.hex(anchor["hash"])), 16, "0"), F.lit("+"), gap.cast("string"))
+
+    return F.concat(F.size(a).cast("string"), F.lit(":"), F.array_join(F.transform(a, one), ","))
 
 
 def likeness(left, right):
-    """Dice coefficient of two anchor sets."""
+    """Dice coefficient of the marks of two fingerprints."""
     both = F.size(F.array_intersect(left, right))
     return 2 * both / (F.size(left) + F.size(right))
 
@@ -127,18 +147,18 @@ def compare_with_edits(docs):
 
     def fingerprints(rows, window):
         rows = rows.withColumn("words", word_hashes(F.col("text")))
-        rows = anchors(rows, "words", "anchors").withColumn("marks", hashes(F.col("anchors"))).drop("words", "anchors")
+        rows = marks(anchors(rows, "words", "anchors").drop("words"), "anchors", "marks")
         return rows.withColumn("next_marks", F.lead("marks").over(window))
 
     rows = with_next(docs, fingerprints).withColumn("edited_text", edited())
     rows = rows.withColumn("edited_words", word_hashes(F.col("edited_text")))
-    rows = anchors(rows, "edited_words", "anchors").withColumn("edited_marks", hashes(F.col("anchors")))
+    rows = marks(anchors(rows, "edited_words", "edited_anchors"), "edited_anchors", "edited_marks")
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited_text", 256).alias("edited_sha256"),
-        fingerprint(F.col("marks")).alias("fingerprint"),
-        fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
+        fingerprint("anchors").alias("fingerprint"),
+        fingerprint("edited_anchors").alias("edited_fingerprint"),
         likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
         likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
     )

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from depweave.llm import syncmers
 from pyspark.sql import functions as F
@@ -58,3 +59,37 @@ def test_one_document_and_none(spark, table_of):
     assert one.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest() or re.fullmatch("[0-9a-f]{64}", one.edited_sha256)
     assert one.near_next == 1
     assert syncmers.compare_with_edits(table_of([])).count() == 0
+
+
+def parsed(fingerprint):
+    """(at, hash) of every anchor of a fingerprint."""
+    count, _, rest = fingerprint.partition(":")
+    at, out = 0, []
+    for part in rest.split(","):
+        mark, gap = part.split("+")
+        at += int(gap)
+        out.append((at, mark))
+    assert len(out) == int(count)
+    return out
+
+
+def dice(left, right):
+    def links(anchors):
+        return Counter((h, *((anchors[i + 1][0] - at, anchors[i + 1][1]) if i + 1 < len(anchors) else (0, ""))) for i, (at, h) in enumerate(anchors))
+
+    return 2 * (links(left) & links(right)).total() / (len(left) + len(right))
+
+
+def test_fingerprints_hold_all_anchors_in_order_and_give_the_likeness(spark, table_of):
+    words = [f"w{i * i % 977}" for i in range(3000)]
+    one, moved = list(words), words[1500:] + words[:1500]
+    one[2000] = "edit"
+    rows = [(4, " ".join(words), "en", "a"), (3, " ".join(one), "en", "a"), (2, " ".join(moved), "en", "a"), (1, "a b a b a b " * 50, "en", "a"), (0, "a b", "en", "a")]
+    got = {r.doc_id: r for r in syncmers.compare_with_edits(table_of(rows)).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 5
+    prints = {i: parsed(r.fingerprint) for i, r in got.items()}
+    assert [at for at, _ in prints[4]] == [x["at"] for x in anchors_of(spark, rows[0][1])[1]]
+    for i, r in got.items():
+        assert r.near_edited == dice(prints[i], parsed(r.edited_fingerprint))
+        assert r.near_next == dice(prints[i], prints[(i - 1) % 5])
+    assert 0.99 < got[4].near_next < 1
