@@ -70,7 +70,7 @@ def test_fewer_candidates_than_k_and_none(spark):
 
 def test_large_finite_components_take_part(spark, monkeypatch):
     """Every finite vector is a query and a candidate; ranks are those of the exact integers."""
-    monkeypatch.setattr(topk, "WIDE_ROWS", 2)
+    monkeypatch.setattr(topk, "WIDE_ROWS", 2, raising=False)
     draw = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in draw.normal(size=3)]) for i in range(60)]
     large = [[2.0**20, 1.0, -3.0], [-(2.0**24), 0.0, 1.0], [2.0**40, -(2.0**39), 5.0], [3.0e38, 1.0, 1.0], [-3.0e38, -1.0], [1e9, 1e9, -1e9]]
