@@ -8,18 +8,20 @@ descent from the root. What first-fit leaves unfilled is then closed: the emptie
 their ids to the gaps of the fullest, cut where a gap ends, until one bin is left, and that is cut into
 sequences whose lengths are powers of two, which need no padding.
 
-Splitting at spaces never changes ids: the byte-level pattern joins a space to what follows it, so the
-ids of a text are those of its chunks, and each task keeps the ids of chunks it has met (at most ``MOST_HELD`` of
-them; a full store is emptied). Texts with white space on both sides of a space, or at their end after white space, are
-encoded whole, since there the pattern joins white space instead.
+Ids are those of a byte-level vocabulary file of the tokenizers library. The merges run in tiktoken, built from the same
+file, which gives the same ids about four times faster (the tests compare both over every code point). Very long
+texts are encoded in parts cut at a space between two ASCII letters or digits, where no merge crosses.
 
 Defined results: a NULL or empty text is one piece with the end id alone; repeated rows and rows with a
 NULL id are packed each by itself; rests of one length go in row order; an empty table gives no pieces.
 ``docs`` has to be a stored table, or else its rows must come in the same order when a lost task is run again.
 """
 
+import json
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,36 +33,55 @@ END_ID = 1
 GROUP_DOCS = 2048
 MOST_HELD = 1 << 18
 
-JOINED_GAPS = re.compile(r"\s \s|\s \Z")
+PART_CHARS = 1 << 20
+SLAB_DOCS = 256
+CLEAN_SPACE = re.compile("[0-9A-Za-z] (?=[0-9A-Za-z])")
+# Fixed value: the pattern by which byte-level files split a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes, encoding every distinct chunk once."""
+class ByteEncoder:
+    """Ids of whole texts as little-endian 32-bit bytes, by the vocabulary of a byte-level tokenizer file."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.first, self.later = {}, {}
+    def __init__(self, vocabulary):
+        import tiktoken
 
-    def encode(self, texts):
-        split = [None if JOINED_GAPS.search(text) else text.split(" ") for text in texts]
-        if len(self.first) + len(self.later) > MOST_HELD:
-            self.first.clear()
-            self.later.clear()
-        self._learn(self.first, "", {chunks[0] for chunks in split if chunks})
-        self._learn(self.later, " ", {chunk for chunks in split if chunks for chunk in chunks[1:]})
-        whole = iter(self._ids([text for text, chunks in zip(texts, split) if chunks is None]))
-        later = self.later.__getitem__
-        return [next(whole) if c is None else self.first[c[0]] + b"".join(map(later, c[1:])) for c in split]
+        file = json.loads(vocabulary)
+        split = file["pre_tokenizer"] or {}
+        if file["model"]["type"] != "BPE" or file["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space"):
+            raise ValueError("only plain byte-level vocabularies are supported")
+        special = {token["content"]: token["id"] for token in file["added_tokens"]}
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+        self.coder = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def _learn(self, held, lead, chunks):
-        new = sorted(chunks - held.keys())
-        held.update(zip(new, self._ids([lead + chunk for chunk in new])))
+    def encode(self, text):
+        ids = [array("I", self.coder.encode(part, allowed_special="all", disallowed_special=())) for part in parts(text)]
+        if sys.byteorder == "big":
+            for part in ids:
+                part.byteswap()
+        return b"".join(part.tobytes() for part in ids)
 
-    def _ids(self, texts):
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+def byte_letters():
+    """The byte that each letter of a byte-level vocabulary stands for: printable bytes stand for themselves."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def parts(text):
+    """The text in parts of about ``PART_CHARS`` characters that can be encoded apart."""
+    start = 0
+    while len(text) - start > PART_CHARS:
+        found = CLEAN_SPACE.search(text, start + PART_CHARS)
+        if not found:
+            break
+        yield text[start : found.start() + 1]
+        start = found.start() + 1
+    yield text[start:] if start else text
 
 
 class Tournament:
@@ -155,20 +176,20 @@ def _tokenised(vocabulary, capacity, with_ids):
     """Batches of (doc, ids) to (doc, doc_tokens, whole sequences, rest)."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        encoder = ChunkEncoder(Tokenizer.from_str(vocabulary.value))
+        encoder = ByteEncoder(vocabulary.value)
         end, size = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            found = [ids + end for ids in encoder.encode([t or "" for t in batch.column("_text").to_pylist()])]
-            cuts = [len(ids) - len(ids) % size for ids in found]
-            whole = [[ids[i : i + size] for i in range(0, cut, size)] for ids, cut in zip(found, cuts)]
-            out = {name: batch.column(name) for name in batch.schema.names if name != "_text"}
-            out["doc_tokens"] = pa.array([len(ids) // 4 for ids in found], pa.int64())
-            out["crcs"] = pa.array([[zlib.crc32(ids) for ids in parts] for parts in whole], pa.list_(pa.int64()))
-            out["whole"] = pa.array(whole if with_ids else [None] * len(whole), pa.list_(pa.binary()))
-            out["rest"] = pa.array([ids[cut:] for ids, cut in zip(found, cuts)], pa.binary())
-            yield pa.record_batch(out)
+            for first in range(0, batch.num_rows, SLAB_DOCS):
+                slab = batch.slice(first, SLAB_DOCS)
+                found = [encoder.encode(text or "") + end for text in slab.column("_text").to_pylist()]
+                cuts = [len(ids) - len(ids) % size for ids in found]
+                whole = [[ids[i : i + size] for i in range(0, cut, size)] for ids, cut in zip(found, cuts)]
+                out = {name: slab.column(name) for name in slab.schema.names if name != "_text"}
+                out["doc_tokens"] = pa.array([len(ids) // 4 for ids in found], pa.int64())
+                out["crcs"] = pa.array([[zlib.crc32(ids) for ids in full] for full in whole], pa.list_(pa.int64()))
+                out["whole"] = pa.array(whole if with_ids else [None] * len(whole), pa.list_(pa.binary()))
+                out["rest"] = pa.array([ids[cut:] for ids, cut in zip(found, cuts)], pa.binary())
+                yield pa.record_batch(out)
 
     return run
 

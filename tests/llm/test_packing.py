@@ -15,13 +15,38 @@ def tokenizer():
     return Tokenizer.from_file(BYTE_VOCABULARY)
 
 
-def test_chunk_ids_equal_whole_ids(tokenizer):
+@pytest.fixture(scope="module")
+def encoder():
+    with open(BYTE_VOCABULARY, encoding="utf-8") as file:
+        return packing.ByteEncoder(file.read())
+
+
+def same_ids(encoder, tokenizer, texts):
+    for text, expected in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == expected.ids, repr(text[:80])
+
+
+def test_ids_are_those_of_the_tokenizers_library(encoder, tokenizer):
     draw = random.Random(3)
-    texts = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n \nb", "a \n", "\n a", "it's  we'll", "x<|endoftext|> y <|endoftext|>", "\x1fa \x85 b  c"]
+    texts = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n \nb", "a \n", "\n a", "it's  we'll", "x<|endoftext|> y <|endoftext|>", "\x1fa \x85 b  c"]
     texts += ["".join(draw.choice(" \n\tabé1'.,　日😀") for _ in range(draw.randint(1, 60))) for _ in range(3000)]
-    encoder = packing.ChunkEncoder(tokenizer)
-    for text, ids in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    texts += [c * 5000 for c in "x \né."]
+    same_ids(encoder, tokenizer, texts)
+
+
+def test_every_code_point_in_context(encoder, tokenizer):
+    """All 1.1 million code points, 64 to a text, each between letters, digits, marks and white space."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b1{c}2 !{c}? {c} \n{c}\n  {c}x" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    same_ids(encoder, tokenizer, texts)
+
+
+def test_long_texts_in_parts(encoder, tokenizer, monkeypatch):
+    draw = random.Random(8)
+    monkeypatch.setattr(packing, "PART_CHARS", 20)
+    texts = ["".join(draw.choice("ab1 \n.'é") for _ in range(draw.randint(1, 300))) for _ in range(500)]
+    assert all("".join(packing.parts(t)) == t for t in texts) and any(len(list(packing.parts(t))) > 3 for t in texts)
+    same_ids(encoder, tokenizer, texts)
 
 
 def test_tree_places_as_a_scan_of_all_bins():
