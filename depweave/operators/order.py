@@ -4,9 +4,12 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depweave.operators.blocks import levels_by_blocks
 from depweave.operators.edges import degrees
 from depweave.operators.identity import task_counts
 from depweave.plans import kernels
+from depweave.plans.limits import limit
+from depweave.plans.mergelog import Buckets, MergeLog
 from depweave.plans.packs import PACK, Tiers, graph_sizes, nullable, packed
 from depweave.plans.scratch import Scratch
 from depweave.plans.skew import running_totals
@@ -103,8 +106,12 @@ def _ordered(tasks, edges, ranked, plan=None):
     if tiers.any_small:
         results.append(tiers.run(_order_pack, ORDERED, tiers.small(tasks), tiers.small(edges)))
     if tiers.any_large:
-        placed = _place_by_rounds(tiers.large(tasks), tiers.large(edges), ranked, tiers.most)
-        results.append(_rank_placed(placed) if ranked else placed.select(*ORDERED.fieldNames()[:3], _nothing("position")))
+        large_tasks, large_edges = tiers.large(tasks), tiers.large(edges)
+        if ranked:
+            results.append(_rank_placed(_place_by_rounds(large_tasks, large_edges, tiers.most)))
+        else:
+            levelled = levels_by_blocks(large_tasks.select("graph_id", "task_id").distinct(), large_edges.withColumn("weight", F.lit(1).cast("long")))
+            results.append(levelled.withColumn("position", _nothing("position")))
     if not results:
         return tasks.select("graph_id", "task_id", _nothing("level"), _nothing("position"))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
@@ -165,105 +172,132 @@ def _once(tasks):
     return {name: values[order][new] for name, values in tasks.items()}
 
 
-def _place_by_rounds(tasks, edges, ranked, fits):
-    """One join round per level, each written once.
+STATE = ["graph_id", "task_id", "needed", "out", "met", "level", "place", "link"]
+
 
-    The state of a round is split into tasks that become ready and tasks that wait. Only the
-    ready ones are joined to the edges of the next round, and edges whose dependency is done
-    are dropped from the edge table whenever half of it has been used. As soon as what is
-    left fits one task, it is finished there, so long thin tails cost no rounds.
+def _place_by_rounds(tasks, edges, fits):
+    """Release wave after wave; a round reads the edges of its wave and writes the tasks they touch.
+
+    Edges lie in hash buckets of their dependency and carry what their dependent needs, so a round
+    looks nothing else up. What touched tasks have met so far is a `MergeLog`: a task is written when
+    it is touched, never while it waits. The rows written over all rounds are the edges and tasks, times the few
+    ranks of the log. Each round knows from the one before how many edges it will meet, and
+    looks the log up by a broadcast of the touched tasks where these are few. Buckets are written again without used
+    edges whenever half of them has been used. As soon as what is left fits one task, it is finished there.
     """
     spark = tasks.sparkSession
-    scratch = Scratch(spark, "levels")
-    edges, seen = scratch.put(edges, "edges-0")
-    unused, compacted = seen["rows"], 0
+    scratch = Scratch(spark, "order")
+    key = ["graph_id", "task_id"]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    edges, seen = scratch.put(edges, "edges")
+    unused = seen["rows"]
     needed = edges.groupBy("graph_id", F.col("dependent_id").alias("task_id")).agg(F.count(F.lit(1)).alias("needed"))
-    tasks = tasks.groupBy("graph_id", "task_id").agg(F.min("seq").alias("seq"))
-    state = tasks.join(needed, ["graph_id", "task_id"], "left").select(
-        "graph_id",
-        "task_id",
-        F.coalesce("needed", F.lit(0)).alias("waiting"),
-        F.col("seq").alias("place"),
-        F.lit(0).cast("long").alias("link"),
-        F.lit(0).cast("long").alias("used"),
-    )
-    depth, used, done = 0, 0, []
+    out = edges.groupBy("graph_id", F.col("dependency_id").alias("task_id")).agg(F.count(F.lit(1)).alias("out"))
+    base = tasks.groupBy(*key).agg(F.min("seq").alias("seq")).join(needed, key, "left").join(out, key, "left")
+    base = base.select(*key, "seq", *(F.coalesce(c, none).alias(c) for c in ("needed", "out")))
+    base, seen = scratch.put(base, "base")
+    waiting = seen["rows"]
+    told = base.where("needed > 0").select("graph_id", F.col("task_id").alias("dependent_id"), "needed", "out")
+    # Links to what is not a task end here; those from such a thing stay unmet.
+    store = Buckets(edges.join(told, ["graph_id", "dependent_id"]), ["graph_id", "dependency_id"], unused, scratch, "links-0")
+    unused = store.rows
+    step = base.select(*key, "needed", "out", none.alias("met"), none.alias("level"), F.col("seq").alias("place"), none.alias("link")).where("needed = 0")
+    newest = [F.max(c).alias(c) for c in ("needed", "out", "met", "level")]
+    log = MergeLog(scratch, "log", key, newest, "met < needed")
+    schema = T.StructType([T.StructField(c, LONG, True) for c in (*STATE, "round")] + [T.StructField("ready", T.BooleanType(), True)])
+
+    def finished():
+        return scratch.get("steps", schema).where("ready")
+
+    store_rows = limit(spark, "bucketRows")
+    turn, used, compacted, stale = 0, 0, 0, None
     while True:
-        # One folder per state; the written split is what prunes the scans below.
+        ready = F.col("met") == F.col("needed")
         table, seen = scratch.put(
-            state.withColumn("ready", F.col("waiting") == 0),
-            f"state-{depth}",
+            step.withColumn("ready", ready),
+            f"steps/round={turn}",
             partition_by=["ready"],
-            ready=F.count_if(F.col("waiting") == 0),
-            used=F.sum("used"),
+            ready=F.count_if(ready),
+            next=F.sum(F.when(ready, F.col("out"))),
+            **store.masks(ready & (F.col("out") > 0), *key),
         )
-        if depth:
-            scratch.drop(f"state-{depth - 1}/ready=false")
-        unused, used = unused - seen["used"], used + seen["used"]
-        ready, waiting = table.where("ready"), table.where("NOT ready")
-        done.append(ready.select("graph_id", "task_id", F.lit(depth).cast("long").alias("level"), "place", "link"))
-        n_waiting = seen["rows"] - seen["ready"]
-        if seen["ready"] == 0 or n_waiting == 0:
-            done.append(waiting.select("graph_id", "task_id", *map(_nothing, ("level", "place", "link"))))
+        if stale:
+            scratch.drop(stale)
+            stale = None
+        messages, waiting = seen["next"], waiting - seen["ready"]
+        if not messages or not waiting:
             break
-        if used > unused:
-            live = table.select("graph_id", F.col("task_id").alias("dependency_id"))
-            rest = edges.join(live, ["graph_id", "dependency_id"], "left_semi")
-            edges, kept = scratch.put(rest, f"edges-{compacted + 1}")
-            scratch.drop(f"edges-{compacted}")
-            compacted, used, unused = compacted + 1, 0, kept["rows"]
-        wave = ready.select("graph_id", "task_id", "place", "link")
-        if ranked:
-            wave = running_totals(wave, ["graph_id"], ["place", "link", "task_id"], known_rows=seen["ready"], rank=F.lit(1))
-        else:
-            wave = wave.withColumn("rank", F.lit(0).cast("long"))
-        wave = wave.select("graph_id", F.col("task_id").alias("dependency_id"), "rank")
-        if seen["rows"] + unused <= fits:
-            done.append(_finish_in_packs(wave, waiting, edges, depth))
-            break
-        last = F.max(F.struct("rank", "edge_seq")) if ranked else F.lit(None).cast("struct<rank:bigint,edge_seq:bigint>")
-        released = (
-            edges.join(wave, ["graph_id", "dependency_id"])
-            .groupBy("graph_id", F.col("dependent_id").alias("task_id"))
-            .agg(F.count(F.lit(1)).alias("met"), last.alias("last"))
+        name = f"steps/round={turn}/ready=false"
+        log.add(table.where("NOT ready").select(*key, "needed", "out", "met", "level"), seen["rows"] - seen["ready"], lambda name=name: scratch.drop(name))
+        wave = table.where("ready")
+        wave = running_totals(wave.select(*key, "level", "place", "link"), ["graph_id"], ["place", "link", "task_id"], known_rows=seen["ready"], rank=F.lit(1))
+        wave = wave.select("graph_id", F.col("task_id").alias("dependency_id"), "rank", F.col("level").alias("reached"))
+        if waiting + unused <= fits:
+            done = finished()
+            rest = base.join(done.select(*key), key, "left_anti")
+            return _finish_in_packs(done, wave, rest, log.rows(), store.table, turn)
+        links = store.read(seen).join(_sized(wave, seen["ready"]), ["graph_id", "dependency_id"])
+        links = links.withColumnRenamed("dependent_id", "task_id")
+        step = links.select(
+            *key, "needed", "out", one.alias("met"), none.alias("known"), (F.col("reached") + 1).alias("level"),
+            F.struct(F.col("rank").alias("place"), F.col("edge_seq").alias("link")).alias("last"),
         )
-        state = waiting.drop("ready").join(released, ["graph_id", "task_id"], "left").select(
-            "graph_id",
-            "task_id",
-            (F.col("waiting") - F.coalesce("met", F.lit(0))).alias("waiting"),
-            F.coalesce("last.rank", "place").alias("place"),
-            F.coalesce("last.edge_seq", "link").alias("link"),
-            F.coalesce("met", F.lit(0)).alias("used"),
+        known = log.rows()
+        if known is not None:
+            # A long log is not shuffled for a few touched tasks.
+            if messages <= limit(spark, "broadcastRows") and log.size() > 4 * messages + store_rows:
+                known = known.join(F.broadcast(links.select(*key)), key, "left_semi")
+            step = step.unionByName(known.select(*key, "needed", "out", none.alias("met"), F.col("met").alias("known"), "level", F.lit(None).cast("struct<place:bigint,link:bigint>").alias("last")))
+        step = step.groupBy(*key).agg(
+            F.max("needed").alias("needed"), F.max("out").alias("out"), F.sum("met").alias("new"), F.max("known").alias("known"),
+            F.max("level").alias("level"), F.max("last").alias("last"),
         )
-        depth += 1
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
+        step = step.where("new > 0").select(*key, "needed", "out", (F.col("new") + F.col("known")).alias("met"), "level", "last.*")
+        turn, used, unused = turn + 1, used + messages, unused - messages
+        if used > unused and used + unused > store_rows:
+            gone = finished().select("graph_id", F.col("task_id").alias("dependency_id"))
+            rest = store.table.drop("_bucket").join(gone, store.keys, "left_anti")
+            # The step that is still to be written reads the present buckets.
+            compacted, used, stale = compacted + 1, 0, f"links-{compacted}"
+            store = Buckets(rest, store.keys, unused, scratch, f"links-{compacted}")
+    done = finished()
+    stuck = base.join(done.select(*key), key, "left_anti").select(*key, *map(_nothing, ("level", "place", "link")))
+    return done.select(*key, "level", "place", "link").unionByName(stuck)
+
 
+def _sized(wave, rows):
+    return F.broadcast(wave) if rows <= limit(wave.sparkSession, "broadcastRows") else wave
 
-def _finish_in_packs(wave, waiting, edges, depth):
+
+def _finish_in_packs(done, wave, rest, log, edges, depth):
     """The rest of the run from the ready ``wave``, when all of it fits one task."""
-    ready = wave.select("graph_id", F.col("dependency_id").alias("task_id"), "rank", F.lit(0).cast("long").alias("waiting"))
-    rest = waiting.select("graph_id", "task_id", F.lit(0).cast("long").alias("rank"), "waiting")
-    one = F.lit(0)
+    key, none = ["graph_id", "task_id"], F.lit(0).cast("long")
+    ready = wave.select("graph_id", F.col("dependency_id").alias("task_id"), "rank", none.alias("waiting"))
+    if log is None:
+        rest = rest.withColumn("met", none)
+    else:
+        rest = rest.join(log.groupBy(*key).agg(F.max("met").alias("met")), key, "left")
+    rest = rest.select(*key, none.alias("rank"), (F.col("needed") - F.coalesce("met", none)).alias("waiting"))
+    edges = edges.select("graph_id", "dependent_id", "dependency_id", "edge_seq")
 
     def kernel(tasks, edges):
-        def start(_):
-            first = np.flatnonzero(tasks["waiting"] == 0)
-            return first[np.argsort(tasks["rank"][first], kind="stable")]
-
-        level, order = _release(tasks, edges, start, tasks["waiting"].copy())
+        level, order = _release(tasks, edges, lambda _: _queued(tasks), tasks["waiting"].copy())
         place = np.zeros(len(level), dtype=np.int64)
         place[order] = np.arange(len(order))
-        keep = tasks["waiting"] > 0
-        late = level[keep] < 0
+        keep, late = tasks["waiting"] > 0, level < 0
         return {
             "graph_id": tasks["graph_id"][keep],
             "task_id": tasks["task_id"][keep],
-            "level": nullable(level[keep] + depth, late),
-            "place": nullable(place[keep], late),
-            "link": nullable(np.zeros(len(late)), late),
+            "level": nullable(level[keep] + depth, late[keep]),
+            "place": nullable(place[keep], late[keep]),
+            "link": nullable(np.zeros(keep.sum()), late[keep]),
         }
 
-    return packed(kernel, PLACED, 1, ready.unionByName(rest).withColumn(PACK, one), edges.withColumn(PACK, one))
+    one = F.lit(0)
+    packs = packed(kernel, PLACED, 1, ready.unionByName(rest).withColumn(PACK, one), edges.withColumn(PACK, one))
+    return done.select(*key, "level", "place", "link").unionByName(packs)
+
+
+def _queued(tasks):
+    first = np.flatnonzero(tasks["waiting"] == 0)
+    return first[np.argsort(tasks["rank"][first], kind="stable")]

@@ -13,7 +13,9 @@ DEFAULTS = {
     "admitRows": 200_000,
     # Rows gathered into one pack of small graphs.
     "packRows": 500_000,
-    # Entries in one adjacency list before it continues on a further row.
+    # Rows of one bucket of a table that rounds read in part.
+    "bucketRows": 100_000,
+    # Links of a task before they are spread over further rows.
     "listEntries": 100_000,
     # Rows of a lookup that may be broadcast after its size was counted.
     "broadcastRows": 1_000_000,

@@ -69,7 +69,10 @@ class Tiers:
 
 
 def packed(kernel, schema, packs, *tables):
-    """Group one table by pack, or cogroup two, and run ``kernel`` on plain numpy columns."""
+    """Group one table by pack, or cogroup two, and run ``kernel`` on plain numpy columns.
+
+    ``packs`` is the number of packs where they are numbered; None lets Spark deal them out by hash.
+    """
     names, expected = schema.fieldNames(), [table.columns for table in tables]
 
     def apply(*parts):
@@ -77,7 +80,7 @@ def packed(kernel, schema, packs, *tables):
         return pa.table([result[name] for name in names], names=names)
 
     # Placed by pack number: balanced, and not merged into few tasks for being few bytes.
-    placed = [table.repartitionById(min(packs, MOST_PARTITIONS), PACK) for table in tables]
+    placed = [table.repartitionById(min(packs, MOST_PARTITIONS), PACK) if packs else table for table in tables]
     # Fresh column identities, as both tables may stem from the same one.
     grouped = [table.select([F.col(c).alias(c) for c in table.columns]).groupBy(PACK) for table in placed]
     if len(grouped) == 1:
