@@ -355,6 +355,22 @@ links AS (
     UNION ALL
     SELECT o_orderkey + 1, (o_orderkey + 1) // 2 FROM orders WHERE o_orderkey > 0)
   WHERE p IS NOT NULL),
+depths AS (
+  SELECT o_orderkey + 1 AS task_id, CAST(0 AS BIGINT) AS depth FROM orders
+  UNION
+  SELECT k, depth + 1 FROM depths JOIN links ON p = task_id)""",
+        "SELECT CAST(1 AS BIGINT) AS graph_id, task_id, max(depth) AS level FROM depths GROUP BY 2",
+        True,
+    ),
+    "levels_chains": _with(
+        """
+links AS (
+  SELECT DISTINCT k, p FROM (
+    SELECT o_orderkey + 1 AS k, lag(o_orderkey + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p
+    FROM orders
+    UNION ALL
+    SELECT o_orderkey + 1, (o_orderkey + 1) // 2 FROM orders WHERE (o_orderkey + 1) % 50 = 0)
+  WHERE p IS NOT NULL),
 depths AS (
   SELECT o_orderkey + 1 AS task_id, CAST(0 AS BIGINT) AS depth FROM orders
   UNION
@@ -403,9 +419,10 @@ GROUP BY 1, 2 HAVING NOT bool_or(d.failed)""",
     ),
     "run_progress_stream": _with(
         TASKS,
-        """SELECT graph_id, count(*) FILTER (NOT failed) AS executed_task_count,
+        """SELECT graph_id,
+  count(*) FILTER (NOT failed AND (first_failure IS NULL OR ts < first_failure.ts OR (ts = first_failure.ts AND task_id < first_failure.t))) AS executed_task_count,
   CASE WHEN bool_or(failed) THEN 'TaskFailed' ELSE 'Success' END AS status
-FROM tasks_ev GROUP BY 1""",
+FROM (SELECT *, min({'ts': ts, 't': task_id}) FILTER (failed) OVER (PARTITION BY graph_id) AS first_failure FROM tasks_ev) GROUP BY 1""",
     ),
     "init_frames": """SELECT vec_id AS frame_id, CAST(0 AS BIGINT) AS n_visible, CAST(0 AS BIGINT) AS uploaded_bytes,
   '0' AS presented_checksum, true AS frame_prepared, false AS simulation_updated, false AS frame_presented
@@ -433,5 +450,5 @@ FROM uploads""",
 }
 
 # The same questions, answered by the plan for large graphs.
-for _name in ("reachable", "cycle_members", "fifo_order"):
+for _name in ("reachable", "cycle_members", "fifo_order", "admit_edges"):
     ORACLES[f"{_name}_rounds"] = ORACLES[_name]

@@ -166,6 +166,11 @@ def admit_edges(spark, sf_dir):
     return cycles.admit_edges(fx.event_candidates(spark, sf_dir), _tasks(spark, sf_dir))
 
 
+def admit_edges_rounds(spark, sf_dir):
+    """Every component by halves and batches of eight offers, as components beyond one task are."""
+    return cycles.admit_edges(fx.event_candidates(spark, sf_dir), _tasks(spark, sf_dir), plan="rounds", batch=8)
+
+
 def roots_and_leaves(spark, sf_dir):
     return order.roots_and_leaves(*_graph(spark, sf_dir))
 
@@ -186,6 +191,11 @@ def levels_one_graph(spark, sf_dir):
     return order.levels(fx.order_tasks(spark, sf_dir), _settled(spark, fx.order_edges(spark, sf_dir), "edges"), plan="rounds")
 
 
+def levels_chains(spark, sf_dir):
+    """One large graph of long chains, contracted before its levels are found."""
+    return order.levels(fx.order_tasks(spark, sf_dir), _settled(spark, fx.order_chains(spark, sf_dir), "edges"), plan="chains")
+
+
 def fifo_order(spark, sf_dir):
     return order.fifo_order(*_graph(spark, sf_dir))
 
@@ -347,7 +357,7 @@ QUERIES = {
         assign_ids, valid_handles, handle_key, lookup_tasks, list_tasks, task_counts, append_tasks,
         classify_edges, dedupe_edges, adjacency, degrees, remove_edges, audit_links,
         reachable, probe_cycles, cyclic_core, cycle_members, admit_edges, roots_and_leaves,
-        validate_graphs, levels, levels_one_graph, fifo_order,
+        validate_graphs, levels, levels_one_graph, levels_chains, fifo_order, admit_edges_rounds,
         reachable_rounds, cycle_members_rounds, fifo_order_rounds,
         ready_tasks, run_outcome, run_summary, run_timeline, render_report, guarded_apply,
         release_stream, run_progress_stream,

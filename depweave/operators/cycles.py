@@ -8,8 +8,9 @@ from depweave.operators.edges import OFFER, as_edges, classify_edges
 from depweave.operators.order import levels
 from depweave.operators.reach import endpoints
 from depweave.plans import kernels
-from depweave.plans.packs import Tiers, graph_sizes
+from depweave.plans.packs import PACK, Tiers, graph_sizes, packed
 from depweave.plans.scratch import Scratch
+from depweave.plans.skew import running_totals
 from depweave.schemas import BOOL, LONG
 
 KNOT = T.StructType(
@@ -22,6 +23,8 @@ KNOT = T.StructType(
         T.StructField("in_cycle", BOOL, True),
     ]
 )
+# Offers of one component that are decided at a time when the component is beyond one task.
+BATCH_OFFERS = 1024
 DECIDED = T.StructType(
     [
         T.StructField("graph_id", LONG, True),
@@ -125,10 +128,12 @@ def _between(edges, tasks):
 def _labels_by_rounds(tasks, edges, scratch):
     """Component labels of large graphs.
 
-    Every task takes the smallest id that reaches it. Within such a colour the owner has the
-    smallest id of all, so the tasks that also reach the owner are those whose smallest
-    reachable id is the owner again: they form its component. They are removed and the rest
-    is labelled again; graphs that have become small enough are finished in packs.
+    Every task takes the smallest label that reaches it; labels are hashes of the ids, drawn anew in
+    every turn. Within such a colour the owner has the smallest label of all, so the tasks that also
+    reach the owner are those whose smallest label backwards is the owner's again: they form its
+    component. They are removed, links between colours fall away, what no longer has links on both sides is trimmed, and the
+    rest is labelled again; graphs that have become small enough are finished in packs. As
+    labels are random, the colours of a long row of components halve in a turn, whatever their ids.
     """
     done, turn = [], 0
     while True:
@@ -143,17 +148,21 @@ def _labels_by_rounds(tasks, edges, scratch):
         if not tiers.any_large:
             break
         tasks, edges = tiers.large(tasks), tiers.large(edges)
-        reach = _smallest_reaching(tasks, edges, "dependency_id", "dependent_id", scratch, f"from-{turn}")
+        label = F.struct(F.xxhash64(F.lit(turn), "graph_id", "task_id").alias("draw"), F.col("task_id").alias("id")).alias("label")
+        named = tasks.select("graph_id", "task_id", label)
+        reach = _smallest_reaching(named, edges, "dependency_id", "dependent_id", scratch, f"from-{turn}")
         coloured = edges
         for end, name in (("dependent_id", "_c1"), ("dependency_id", "_c2")):
             coloured = coloured.join(reach.toDF("graph_id", end, name), ["graph_id", end])
         coloured = scratch.put(coloured.where("_c1 = _c2").drop("_c1", "_c2"), f"coloured-{turn}")[0]
-        back = _smallest_reaching(tasks, coloured, "dependent_id", "dependency_id", scratch, f"to-{turn}")
+        back = _smallest_reaching(named, coloured, "dependent_id", "dependency_id", scratch, f"to-{turn}")
         both = reach.join(back.withColumnRenamed("label", "owner"), ["graph_id", "task_id"])
-        found = both.where("label = owner").select("graph_id", "task_id", F.col("label").alias("scc_id"))
-        done.append(found)
+        both = scratch.put(both, f"both-{turn}")[0]
+        found = both.where("label = owner").select("graph_id", "task_id", F.col("label.id").alias("owner"))
+        smallest = found.groupBy("graph_id", "owner").agg(F.min("task_id").alias("scc_id"))
+        done.append(found.join(smallest, ["graph_id", "owner"]).select("graph_id", "task_id", "scc_id"))
         tasks = both.where("label <> owner").select("graph_id", "task_id")
-        edges = _between(coloured, tasks)
+        tasks, edges = _trimmed(tasks, _between(coloured, tasks), scratch, f"trim-{turn}")
         turn += 1
     if not done:
         return tasks.withColumn("scc_id", F.col("task_id"))
@@ -163,21 +172,41 @@ def _labels_by_rounds(tasks, edges, scratch):
     return scratch.put(result, "labels")[0]
 
 
-def _smallest_reaching(tasks, edges, source, target, scratch, name):
-    """Smallest id that reaches each task along source -> target, itself included.
+def _trimmed(tasks, edges, scratch, name):
+    """Tasks with links on both sides and the links between them, taken off while that removes an eighth of them.
+
+    What is trimmed is a component of its own, as is every task without a label.
+    """
+    edges, seen = scratch.put(edges, f"{name}-0")
+    rows, turn = seen["rows"], 0
+    while rows:
+        starts = edges.select("graph_id", F.col("dependency_id").alias("task_id"))
+        ends = edges.select("graph_id", F.col("dependent_id").alias("task_id"))
+        tasks = tasks.join(starts, ["graph_id", "task_id"], "left_semi").join(ends, ["graph_id", "task_id"], "left_semi")
+        turn += 1
+        edges, seen = scratch.put(_between(edges, tasks), f"{name}-{turn}")
+        if seen["rows"] * 8 > rows * 7:
+            break
+        rows = seen["rows"]
+    return (tasks, edges) if rows else (tasks.where(F.lit(False)), edges)
+
+
+def _smallest_reaching(labels, edges, source, target, scratch, name):
+    """Smallest label that reaches each task along source -> target, its own included.
 
     Each round takes the labels of direct neighbours and then the label of the label's own
     task, which also reaches this task; the second step doubles the distance covered.
     """
     key = ["graph_id", "task_id"]
-    labels = scratch.put(tasks.select(*key, F.col("task_id").alias("label")), f"{name}-0")[0]
+    labels = scratch.put(labels.select(*key, "label"), f"{name}-0")[0]
     turn, changed = 0, 1
     while changed:
         sent = labels.withColumnRenamed("task_id", source).join(edges, ["graph_id", source])
         offered = sent.groupBy("graph_id", F.col(target).alias("task_id")).agg(F.min("label").alias("offered"))
         near = labels.join(offered, key, "left").select(*key, "label", F.least("label", "offered").alias("near"))
-        jump = labels.select("graph_id", F.col("task_id").alias("near"), F.col("label").alias("far"))
-        moved = near.join(jump, ["graph_id", "near"], "left").select(
+        jump = labels.select("graph_id", F.col("task_id").alias("_at"), F.col("label").alias("far"))
+        near = near.withColumn("_at", F.col("near.id"))
+        moved = near.join(jump, ["graph_id", "_at"], "left").select(
             *key, F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved")
         )
         written, seen = scratch.put(moved, f"{name}-{turn + 1}", moved=F.count_if("moved"))
@@ -186,22 +215,30 @@ def _smallest_reaching(tasks, edges, source, target, scratch, name):
     return labels
 
 
-def admit_edges(cand, tasks, graphs=None):
+def admit_edges(cand, tasks, graphs=None, plan=None, batch=BATCH_OFFERS):
     """The verdict of every offer when offers are taken one after the other in ``seq`` order.
 
     An offer is refused as ``cycle`` if it would close a cycle with the edges accepted so
     far, and as ``duplicate`` if the same edge was accepted before. Offering a refused edge
     again gives ``cycle`` again, because accepted edges are never taken back.
+
+    Offers of one ``seq`` are taken by dependent, then dependency, and a missing ``seq`` comes first. Rows
+    equal in ``seq`` and edge are one offer. ``plan="rounds"`` sends components of any size through what is meant
+    for those beyond one task, which decides ``batch`` offers of a component at a time.
     """
     scratch = Scratch(cand.sparkSession, "admit")
     judged = scratch.put(classify_edges(cand, tasks, graphs), "classified")[0]
-    offers = as_edges(judged.where("verdict = 'ok'"))
-    decided = _admit(offers.withColumn("fixed", F.lit(False)), scratch, "a")
-    decided = decided.where("NOT accepted").select(
-        F.col("graph_id").alias("dependent_graph_id"), F.col("edge_seq").alias("seq")
+    offers, seen = scratch.put(as_edges(judged.where("verdict = 'ok'")).distinct(), "offers")
+    order = ["edge_seq", "dependent_id", "dependency_id"]
+    offers = running_totals(offers, ["graph_id"], order, known_rows=seen["rows"], place=F.lit(1))
+    # From here on edge_seq is the place in the total order.
+    offers = scratch.put(offers.withColumn("edge_seq", F.col("place")).drop("place"), "ordered")[0]
+    decided = _admit(offers.withColumn("fixed", F.lit(False)), scratch, "a", plan, batch)
+    refused = offers.join(decided.where("NOT accepted"), ["graph_id", "edge_seq"], "left_semi")
+    refused = refused.select(
+        F.col("graph_id").alias("dependent_graph_id"), "dependent_id", F.col("graph_id").alias("dependency_graph_id"), "dependency_id"
     )
-    refused = judged.where("verdict = 'ok'").join(decided, ["dependent_graph_id", "seq"], "left_semi")
-    refused = scratch.put(refused.select(*OFFER, F.lit(True).alias("_refused")), "refused")[0]
+    refused = scratch.put(refused.withColumn("_refused", F.lit(True)), "refused")[0]
     structural = ~F.col("verdict").isin("ok", "repeat")
     verdict = (
         F.when(structural, F.col("verdict"))
@@ -216,17 +253,18 @@ def admit_edges(cand, tasks, graphs=None):
     )
 
 
-def _admit(rows, scratch, name):
+def _admit(rows, scratch, name, plan, batch):
     """Decide the offers among ``rows``; rows marked ``fixed`` are accepted already.
 
     Graphs that fit one task are decided there. In larger graphs a cycle lies inside one
     strongly connected component of all rows, so edges between components are accepted and
-    components are decided apart. A component too large for one task is halved by ``edge_seq``:
-    the first half is decided, what it accepted becomes fixed, then the second half follows.
+    components are decided apart. A component too large for one task is halved by ``edge_seq``
+    while it has more than ``batch`` offers: the first half is decided, what it accepted becomes fixed, then
+    the second half follows. ``batch`` offers are decided on what their ends reach along fixed edges.
     """
     columns = ["graph_id", "edge_seq", "dependent_id", "dependency_id", "fixed"]
     rows = scratch.put(rows.select(*columns), f"{name}-rows")[0]
-    tiers = Tiers(graph_sizes(rows), limit_name="admitRows")
+    tiers = Tiers(graph_sizes(rows), limit_name="admitRows", plan=plan)
     decided = [_admit_packs(tiers, rows)]
     if tiers.any_large:
         large = tiers.large(rows)
@@ -242,32 +280,87 @@ def _admit(rows, scratch, name):
         knotted = placed.where("scc_id IS NOT NULL")
         component = ["graph_id", "scc_id"]
         sizes = knotted.groupBy(*component).agg(F.count(F.lit(1)).alias("weight"))
-        parts = Tiers(sizes, component, "admitRows")
+        parts = Tiers(sizes, component, "admitRows", plan)
         decided.append(_admit_packs(parts, knotted))
         if parts.any_large:
-            decided += _admit_halves(parts.large(knotted), component, scratch, name)
+            decided += _admit_large(parts.large(knotted), component, scratch, name, plan, batch)
     result = decided[0]
     for part in decided[1:]:
         result = result.unionByName(part)
     return scratch.put(result, f"{name}-decided")[0]
 
 
-def _admit_halves(rows, component, scratch, name):
+def _admit_large(rows, component, scratch, name, plan, batch):
+    """Decide batches on the closure of their ends, and halve components with more offers."""
     offers = rows.where("NOT fixed").groupBy(*component).agg(
         F.percentile_approx("edge_seq", 0.5).alias("_middle"), F.count(F.lit(1)).alias("_offers")
     )
-    rows = scratch.put(rows.join(offers, component), f"{name}-halves")[0]
-    # A single offer inside a component of otherwise accepted edges closes a cycle.
-    last = rows.where("_offers = 1 AND NOT fixed").select("graph_id", "edge_seq", F.lit(False).alias("accepted"))
-    rows = rows.where("_offers > 1")
-    first = _admit(rows.where("fixed OR edge_seq <= _middle"), scratch, name + "1")
+    rows, seen = scratch.put(rows.join(offers, component), f"{name}-halves", more=F.count_if(F.col("_offers") > batch))
+    last = _admit_batch(rows.where(F.col("_offers") <= batch), component, scratch, name)
+    if not seen["more"]:
+        return [last]
+    rows = rows.where(F.col("_offers") > batch)
+    first = _admit(rows.where("fixed OR edge_seq <= _middle"), scratch, name + "1", plan, batch)
     kept = first.where("accepted").select("graph_id", "edge_seq", F.lit(True).alias("_kept"))
     later = (
         rows.join(kept, ["graph_id", "edge_seq"], "left")
         .where("fixed OR edge_seq > _middle OR _kept")
         .withColumn("fixed", F.col("fixed") | F.coalesce("_kept", F.lit(False)))
     )
-    return [last, first, _admit(later, scratch, name + "2")]
+    return [last, first, _admit(later, scratch, name + "2", plan, batch)]
+
+
+def _admit_batch(rows, component, scratch, name):
+    """Decide all offers of components with a bounded number of them, however many fixed edges these have.
+
+    The dependency ends of the offers are searches that move along fixed edges, as bits of
+    masks; only the masks at dependent ends are kept. They say which offer alone would close a cycle, and a
+    task per component follows the offers in order, joining what an accepted one connects.
+    """
+    rows = scratch.put(rows, f"{name}-batch")[0]
+    offers, fixed = rows.where("NOT fixed"), rows.where("fixed")
+    starts = offers.select(*component, F.col("dependency_id").alias("node")).distinct()
+    starts = running_totals(starts, component, ["node"], search=F.lit(1)).withColumn("search", F.col("search") - 1)
+    starts = scratch.put(starts, f"{name}-searches")[0]
+    wave = starts.select(*component, "node", F.expr("search div 64 AS word"), F.expr("shiftleft(1L, CAST(search % 64 AS INT)) AS mask"))
+    place = [*component, "word", "node"]
+    folder = f"{name}-reached"
+    wave, seen = scratch.put(wave, f"{folder}/hop=0")
+    schema, hop = T.StructType([*wave.schema.fields, T.StructField("hop", LONG, True)]), 0
+    links = fixed.select(*component, F.col("dependent_id").alias("source"), F.col("dependency_id").alias("target"))
+    while seen["rows"]:
+        old = scratch.get(folder, schema).groupBy(*place).agg(F.bit_or("mask").alias("old"))
+        step = wave.withColumnRenamed("node", "source").join(links, [*component, "source"])
+        step = step.groupBy(*component, "word", F.col("target").alias("node")).agg(F.bit_or("mask").alias("new"))
+        step = step.join(old, place, "left").select(*component, "node", "word", F.expr("new & ~coalesce(old, 0L) AS mask"))
+        hop += 1
+        wave, seen = scratch.put(step.where("mask <> 0"), f"{folder}/hop={hop}")
+    ends = offers.select(*component, F.col("dependent_id").alias("node")).distinct()
+    met = scratch.get(folder, schema).join(ends, [*component, "node"], "left_semi").groupBy(*place).agg(F.bit_or("mask").alias("mask"))
+    numbered = offers.join(starts.withColumnRenamed("node", "dependency_id"), [*component, "dependency_id"])
+    group = F.struct(*component)
+    numbered = numbered.select("graph_id", "edge_seq", "dependent_id", "search", group.alias(PACK))
+    return packed(_follow_batch, DECIDED, None, numbered, met.select("node", "word", "mask", group.alias(PACK)))
+
+
+def _follow_batch(offers, met):
+    """Offers in order; ``reaching`` has per dependent end the searches that arrive there."""
+    reaching = dict.fromkeys(offers["dependent_id"].tolist(), 0)
+    for node, word, mask in zip(met["node"].tolist(), met["word"].tolist(), met["mask"].tolist()):
+        reaching[node] |= (mask & 0xFFFFFFFFFFFFFFFF) << (64 * word)
+    order = np.argsort(offers["edge_seq"], kind="stable")
+    accepted = np.ones(len(order), dtype=bool)
+    for i in order.tolist():
+        end, start = int(offers["dependent_id"][i]), 1 << int(offers["search"][i])
+        into = reaching[end]
+        if into & start:
+            accepted[i] = False
+        elif into:
+            # What arrives at the dependent now goes on to wherever the dependency leads.
+            for node, searches in reaching.items():
+                if searches & start:
+                    reaching[node] = searches | into
+    return {"graph_id": offers["graph_id"], "edge_seq": offers["edge_seq"], "accepted": accepted}
 
 
 def _admit_packs(tiers, rows):

@@ -54,13 +54,15 @@ def task_counts(graphs, tasks):
 def append_tasks(tasks, graphs, new, order_by=("seq",)):
     """Offer ``new`` rows to their graphs.
 
-    Rows of finalised graphs are refused; the others continue after the largest id present
-    and are refused only when the id range is used up. Refused rows have no task id.
+    Rows of finalised graphs are refused, and those of graphs that neither ``graphs`` nor ``tasks`` know;
+    the others continue after the largest id present and are refused only when the id range is used up.
+    Refused rows have no task id.
     """
     highest = tasks.groupBy("graph_id").agg(F.max("task_id").alias("_highest"))
-    frozen = graphs.where("finalised").select("graph_id", F.lit(True).alias("_frozen")).distinct()
-    known = frozen.join(highest, "graph_id", "full_outer")
-    offered = attach(new, known, ["graph_id"]).withColumn("_open", F.col("_frozen").isNull().cast("long"))
+    listed = graphs.groupBy("graph_id").agg(F.coalesce(F.max("finalised"), F.lit(False)).alias("_frozen"))
+    known = listed.join(highest, "graph_id", "full_outer").withColumn("_known", F.lit(True))
+    is_open = F.coalesce(F.col("_known") & ~F.coalesce("_frozen", F.lit(False)), F.lit(False))
+    offered = attach(new, known, ["graph_id"]).withColumn("_open", is_open.cast("long"))
     ranked = running_totals(offered, ["graph_id"], list(order_by), _rank=F.col("_open"))
     first_free = F.coalesce("_highest", F.lit(0)) + 1
     task_id = F.when(F.col("_open") == 1, _nth_id(F.col("_rank"), first_free))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depweave.operators.blocks import levels_by_blocks
+from depweave.operators.chains import levels_by_chains
 from depweave.operators.edges import degrees
 from depweave.operators.identity import task_counts
 from depweave.plans import kernels
@@ -39,7 +40,8 @@ def levels(tasks, edges, plan=None):
     """Longest distance from the roots; NULL for a task that is never released.
 
     A dependency that is not among the tasks never completes, so its dependents stay NULL.
-    ``plan="rounds"`` sends graphs of any size through the rounds meant for large ones.
+    ``plan="rounds"`` sends graphs of any size through the rounds meant for large ones, ``plan="chains"``
+    through these after contracting chains, as is done by itself for large graphs.
     """
     return _ordered(tasks, edges, False, plan).select("graph_id", "task_id", "level")
 
@@ -101,7 +103,7 @@ def _ordered(tasks, edges, ranked, plan=None):
     tasks = tasks.where("graph_id IS NOT NULL AND task_id IS NOT NULL")
     edges = _with_default(edges, "edge_seq", F.lit(0))
     edges = edges.select("graph_id", F.coalesce("edge_seq", F.lit(LAST)).alias("edge_seq"), "dependent_id", "dependency_id").dropna()
-    tiers = Tiers(graph_sizes(tasks, edges), plan=plan)
+    tiers = Tiers(graph_sizes(tasks, edges), plan="rounds" if plan == "chains" else plan)
     results = []
     if tiers.any_small:
         results.append(tiers.run(_order_pack, ORDERED, tiers.small(tasks), tiers.small(edges)))
@@ -110,7 +112,8 @@ def _ordered(tasks, edges, ranked, plan=None):
         if ranked:
             results.append(_rank_placed(_place_by_rounds(large_tasks, large_edges, tiers.most)))
         else:
-            levelled = levels_by_blocks(large_tasks.select("graph_id", "task_id").distinct(), large_edges.withColumn("weight", F.lit(1).cast("long")))
+            by = levels_by_blocks if plan == "rounds" else levels_by_chains
+            levelled = by(large_tasks.select("graph_id", "task_id").distinct(), large_edges.withColumn("weight", F.lit(1).cast("long")))
             results.append(levelled.withColumn("position", _nothing("position")))
     if not results:
         return tasks.select("graph_id", "task_id", _nothing("level"), _nothing("position"))

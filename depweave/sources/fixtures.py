@@ -72,6 +72,15 @@ def order_edges(spark, sf_dir):
     )
 
 
+def order_chains(spark, sf_dir):
+    """Each order waits for its customer's previous order; every fiftieth also for the order at half its key."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey + 1 AS k")
+    chained = previous_value(orders, ["o_custkey"], ["k"], "k", "p").where("p IS NOT NULL")
+    chained = chained.selectExpr("CAST(1 AS BIGINT) AS graph_id", "k AS dependent_id", "p AS dependency_id")
+    halved = orders.where("k % 50 = 0").selectExpr("CAST(1 AS BIGINT) AS graph_id", "k AS dependent_id", "k div 2 AS dependency_id")
+    return chained.unionByName(halved).distinct()
+
+
 def frames(spark, sf_dir):
     """One frame per vector; velocities are the positions in reverse."""
     return table(spark, sf_dir, "embeddings").select(

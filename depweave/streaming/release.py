@@ -4,6 +4,7 @@ Completions may be delivered more than once. Repeats are removed first, with sta
 over (graph, task), so what follows may simply count.
 """
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from depweave.plans.limits import limit
@@ -64,21 +65,56 @@ def _spread_hubs(done, links):
     return done.join(sizes, TASK, "left").withColumn("_part", repeated).drop("_parts"), links.drop("_parts")
 
 
-def run_progress_stream(completions, totals):
+def run_progress_stream(completions, totals, delay="1 hour"):
     """Executed tasks and status per graph so far: ``Success`` once all tasks are through,
     ``TaskFailed`` from the first failure on, ``Unknown`` while the run goes on.
 
-    ``totals`` holds (graph_id, task_count). Counting is a built-in streaming aggregation,
-    so completions of a large graph are combined before the shuffle.
+    A run stops at its first failure: only completions before it, by ``ts``, then task id, count, whatever
+    order they are delivered in. Of several completions of a task the earliest counts, a failed one before a good one
+    of the same time.
+
+    ``totals`` holds (graph_id, task_count). Completions may come up to ``delay`` late. A graph's state
+    holds those of the last ``delay``; older ones are folded into a count, as no failure can
+    precede them any more, and nothing is held beyond the first failure.
     """
-    counted = (
-        completions.dropDuplicates(TASK)
-        .groupBy("graph_id")
-        .agg(F.count_if(~F.col("failed")).alias("executed_task_count"), F.max("failed").alias("_failed"))
-    )
+    timed = completions.select(*TASK, "ts", "failed").where("graph_id IS NOT NULL AND task_id IS NOT NULL AND ts IS NOT NULL")
+    # Event time has to be an instant; the session's time zone moves all of them alike.
+    timed = timed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    timed = timed.withColumn("us", F.unix_micros("ts"))
+    counted = timed.groupBy("graph_id").applyInPandasWithState(_progress, PROGRESS, HELD, "update", "EventTimeTimeout")
     status = (
-        F.when(F.col("_failed"), "TaskFailed")
+        F.when(F.col("failed"), "TaskFailed")
         .when(F.col("executed_task_count") == F.col("task_count"), "Success")
         .otherwise("Unknown")
     )
     return counted.join(totals, "graph_id").select("graph_id", "executed_task_count", status.alias("status"))
+
+
+PROGRESS = "graph_id long, executed_task_count long, failed boolean"
+# Folded completions, and those that a failure may still precede: task -> (time, 0 if failed, else 1).
+HELD = "folded long, failure_us long, failure_task long, tasks array<long>, times array<long>, good array<int>"
+
+
+def _progress(key, frames, state):
+    """Rows of one graph and its state; pandas frames arrive one after the other."""
+    folded, failure, held = 0, None, {}
+    if state.exists:
+        folded, failure_us, failure_task, tasks, times, good = state.get
+        failure = None if failure_us is None else (failure_us, failure_task)
+        held = dict(zip(tasks, zip(times, good)))
+    mark = state.getCurrentWatermarkMs() * 1000
+    for frame in frames:
+        for task, at, bad in zip(frame["task_id"].tolist(), frame["us"].tolist(), frame["failed"].tolist()):
+            # What is behind the watermark has been folded: it is a repeat, or too late.
+            if at >= mark:
+                held[task] = min(held.get(task, (at, 1)), (at, int(not bad)))
+    failures = [(at, task) for task, (at, good) in held.items() if not good]
+    failure = min([*failures, failure], key=lambda f: (f is None, f)) if failures or failure else None
+    held = {task: found for task, found in held.items() if found[1] and (failure is None or (found[0], task) < failure)}
+    count = folded + len(held)
+    old = [task for task, (at, _) in held.items() if at < mark]
+    folded += len(old)
+    for task in old:
+        del held[task]
+    state.update((folded, *(failure or (None, None)), list(held), [at for at, _ in held.values()], [good for _, good in held.values()]))
+    yield pd.DataFrame({"graph_id": [key[0]], "executed_task_count": [count], "failed": [failure is not None]})

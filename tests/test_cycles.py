@@ -5,6 +5,7 @@ from frames_of import edges_df, graph, offers_df, offers_in_graph_1, tasks_df
 from model import admit, knots, queue_run, random_graphs, reaches, rows
 
 from depweave.operators import cycles, edges as edge_ops, reach
+from depweave.plans.scratch import Scratch
 
 PLANS = {"packs": {}, "rounds": {"graphRows": 1}}
 
@@ -102,7 +103,7 @@ def dirty_offers(rng, n_graphs, n_tasks, n):
 @pytest.mark.parametrize(
     "plan",
     [{}, {"admitRows": 15}, {"admitRows": 15, "graphRows": 10}, {"admitRows": 4}],
-    ids=["packs", "components", "components by rounds", "halves"],
+    ids=["packs", "components", "components by rounds", "batches"],
 )
 def test_admission_equals_one_by_one(spark, limits, plan):
     rng = random.Random(8)
@@ -136,13 +137,40 @@ def test_accepted_edges_are_acyclic_and_frozen_graphs_refuse(spark):
     assert all(level is not None for level, _ in queue_run(tasks, kept).values())
 
 
-def test_halving_is_used_and_exact(spark, limits, monkeypatch):
-    calls = []
-    halves = cycles._admit_halves
-    monkeypatch.setattr(cycles, "_admit_halves", lambda *args: calls.append(1) or halves(*args))
-    offers = [(i, 1, late, 1, early) for i, (late, early) in enumerate([(2, 1), (3, 2), (1, 3), (4, 3), (1, 4), (4, 2)])]
-    tasks = [(1, t, t) for t in range(1, 5)]
-    with limits(admitRows=3):
-        found = rows(cycles.admit_edges(offers_df(spark, offers), tasks_df(spark, tasks)), "seq", "verdict")
-    assert dict(found) == admit({(1, t) for t in range(1, 5)}, offers)
-    assert calls
+@pytest.mark.parametrize("batch", [2, 100])
+def test_halves_and_batches_are_exact(spark, limits, batch):
+    """Offers with equal and missing places in the order; every component counts as beyond one task."""
+    rng = random.Random(3)
+    n_tasks = 6
+    edges = rng.sample([(a, b) for a in range(1, n_tasks + 1) for b in range(1, n_tasks + 1)], 22)
+    seqs = [None, None, *sorted(rng.choice([1, 1, 2, 3, 3, 3]) for _ in range(20))]
+    offers = [(seq, 1, late, 1, early) for seq, (late, early) in zip(seqs, edges)]
+    ordered = sorted(offers, key=lambda o: (o[0] is not None, o[0] or 0, o[2], o[4]))
+    expected = admit({(1, t) for t in range(1, n_tasks + 1)}, [(i, *o[1:]) for i, o in enumerate(ordered)])
+    cand = spark.createDataFrame(offers, "seq long, dependent_graph_id long, dependent_id long, dependency_graph_id long, dependency_id long")
+    tasks = tasks_df(spark, [(1, t, t) for t in range(1, n_tasks + 1)])
+    found = {(r[0], r[1]): r[2] for r in rows(cycles.admit_edges(cand, tasks, plan="rounds", batch=batch), "dependent_id", "dependency_id", "verdict")}
+    assert found == {(o[2], o[4]): expected[i] for i, o in enumerate(ordered)}
+    assert "cycle" in expected.values()
+
+
+def test_batches_follow_fixed_edges(spark, limits):
+    """A long accepted chain; later offers close it or not."""
+    chain = [(t + 1, t) for t in range(1, 12)]
+    more = [(1, 12), (13, 12), (1, 13), (5, 9), (9, 5), (14, 13), (2, 14), (6, 1)]
+    offers = [(i, 1, late, 1, early) for i, (late, early) in enumerate(chain + more)]
+    tasks = [(1, t, t) for t in range(1, 15)]
+    found = rows(cycles.admit_edges(offers_df(spark, offers), tasks_df(spark, tasks), plan="rounds", batch=5), "seq", "verdict")
+    assert dict(found) == admit({(1, t) for t in range(1, 15)}, offers)
+
+
+def test_a_row_of_cycles_takes_few_turns(spark, limits, monkeypatch):
+    """Forty cycles of two with rising ids, each waiting for the one before."""
+    turns, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name, *a, **k: turns.append(name) or put(self, df, name, *a, **k))
+    pairs = [(2 * k, 2 * k - 1) for k in range(1, 41)] + [(2 * k - 1, 2 * k) for k in range(1, 41)]
+    pairs += [(2 * k + 1, 2 * k) for k in range(1, 40)]
+    tasks, edges = graph(spark, 80, pairs)
+    found = rows(cycles.cycle_members(tasks, edges, plan="rounds"), "task_id", "scc_id", "in_cycle")
+    assert found == [(t, t - 1 + t % 2, True) for t in range(1, 81)]
+    assert sum(name.startswith("both-") for name in turns) <= 12

@@ -63,7 +63,7 @@ def test_append_continues_ids_and_refuses_frozen_graphs(spark, limits, hot):
     tasks = tasks_df(spark, [(1, 1, 1), (1, 4, 2), (2, 1, 3), (4, MAX_TASK_ID - 1, 4)])
     graphs = spark.createDataFrame([(1, False), (2, True), (3, None), (4, False)], "graph_id long, finalised boolean")
     new = spark.createDataFrame(
-        [(1, 10, "a"), (1, 11, "b"), (2, 12, "c"), (3, 13, "d"), (4, 14, "e"), (4, 15, "f"), (1, 9, "g")],
+        [(1, 10, "a"), (1, 11, "b"), (2, 12, "c"), (3, 13, "d"), (4, 14, "e"), (4, 15, "f"), (1, 9, "g"), (7, 16, "h"), (None, 17, "i")],
         "graph_id long, seq long, name string",
     )
     with limits(**({"hotRows": hot} if hot else {})):
@@ -76,6 +76,8 @@ def test_append_continues_ids_and_refuses_frozen_graphs(spark, limits, hot):
         (13, True, 3, 1, "d"),
         (14, True, 4, MAX_TASK_ID, "e"),
         (15, False, 4, None, "f"),
+        (16, False, 7, None, "h"),
+        (17, False, None, None, "i"),
     ]
 
 

@@ -5,6 +5,7 @@ from frames_of import edges_df, graph, tasks_df
 from model import queue_run, random_graphs, rows
 
 from depweave.operators import cycles, order, reach
+from depweave.plans.scratch import Scratch
 
 PLANS = {
     "packs": {},
@@ -52,11 +53,11 @@ def test_random_graphs_run_like_a_queue(spark, limits, plan):
     assert {(g, t): (level, at) for g, t, level, at in found} == expected
 
 
-@pytest.mark.parametrize("plan", ["packs", "rounds"])
-def test_levels_alone(spark, limits, plan):
+@pytest.mark.parametrize("plan, blocks", [(None, 100_000), ("rounds", 4), ("rounds", 1), ("chains", 4)])
+def test_levels_alone(spark, limits, plan, blocks):
     tasks, edges = mixed_graphs(8)
-    with limits(**PLANS[plan]):
-        found = rows(order.levels(tasks_df(spark, tasks), edges_df(spark, edges)), "graph_id", "task_id", "level")
+    with limits(bucketRows=blocks):
+        found = rows(order.levels(tasks_df(spark, tasks), edges_df(spark, edges), plan=plan), "graph_id", "task_id", "level")
     assert {(g, t): level for g, t, level in found} == {key: level for key, (level, _) in queue_run(tasks, edges).items()}
 
 
@@ -154,3 +155,72 @@ def test_frozen_graphs_stay_frozen(spark):
     graphs = spark.createDataFrame([(1, True), (2, False), (3, None)], "graph_id long, finalised boolean")
     tasks, edges = tasks_df(spark, [(g, t, t) for g in (1, 2, 3) for t in (1, 2)]), edges_df(spark, [(g, i, a, b) for g in (1, 2, 3) for i, a, b in ((1, 1, 2), (2, 2, 1))])
     assert rows(order.validate_graphs(graphs, tasks, edges)) == [(1, True, "ok"), (2, False, "no_root"), (3, False, "no_root")]
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """(name, rows) of every scratch table written."""
+    seen, put = [], Scratch.put
+
+    def noted(self, df, name, *args, **metrics):
+        result = put(self, df, name, *args, **metrics)
+        seen.append((name, result[1]["rows"]))
+        return result
+
+    monkeypatch.setattr(Scratch, "put", noted)
+    return seen
+
+
+def layered(n_layers, width, rng):
+    """Each task waits for three tasks of the layer before, and for one of any earlier layer."""
+    tasks = [(1, t + 1, t) for t in range(n_layers * width)]
+    edges = set()
+    for t in range(width, n_layers * width):
+        layer = t // width
+        for _ in range(3):
+            edges.add((t + 1, (layer - 1) * width + rng.randrange(width) + 1))
+        edges.add((t + 1, rng.randrange(layer * width) + 1))
+    return tasks, [(1, i, late, early) for i, (late, early) in enumerate(sorted(edges))]
+
+
+def test_ranked_rounds_write_tasks_when_touched_only(spark, limits, written):
+    tasks, edges = layered(14, 12, random.Random(2))
+    tdf, edf = tasks_df(spark, tasks), edges_df(spark, edges)
+    with limits(bucketRows=20):
+        found = rows(order.fifo_order(tdf, edf, plan="rounds"), "graph_id", "task_id", "level", "position")
+    assert {(g, t): (level, at) for g, t, level, at in found} == queue_run(tasks, edges)
+    steps = sum(n for name, n in written if name.startswith("steps/"))
+    merged = sum(n for name, n in written if name.startswith("log-"))
+    links = sum(n for name, n in written if name.startswith("links-"))
+    rounds = sum(name.startswith("steps/") for name, _ in written)
+    assert rounds == 14 and steps <= len(edges) + 12 and merged <= 2 * steps and links <= 2 * len(edges)
+    # Rewriting all waiting tasks in every round takes several times as many rows.
+    assert steps + merged < 14 * len(tasks) / 2
+
+
+def test_blocks_take_a_round_per_change_of_block(spark, limits, written):
+    n = 600
+    tdf, edf = graph(spark, n, [(t, t - 1) for t in range(2, n + 1)])
+    with limits(bucketRows=300):
+        found = rows(order.levels(tdf, edf, plan="rounds"), "task_id", "level")
+    assert found == [(t, t - 1) for t in range(1, n + 1)]
+    assert sum(name.startswith("steps/") for name, _ in written) == 5  # 600 tasks and 599 links in blocks of 300
+
+
+def test_a_scrambled_chain_is_contracted_in_log_rounds(spark, written):
+    n, rng = 3000, random.Random(1)
+    ids = rng.sample(range(1, n + 1), n)
+    tdf, edf = graph(spark, n, [(late, early) for early, late in zip(ids, ids[1:])])
+    found = dict(rows(order.levels(tdf, edf, plan="chains"), "task_id", "level"))
+    assert found == {t: at for at, t in enumerate(ids)}
+    assert sum(name.startswith("pointers-") for name, _ in written) <= 14
+
+
+def test_contraction_of_trees_diamonds_and_circles(spark):
+    pairs = [(2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (6, 5), (6, 4), (7, 6)]  # a chain of diamonds
+    pairs += [(8, 7), (9, 7), (10, 9), (11, 7)]  # a tree on top
+    pairs += [(12, 13), (13, 14), (14, 12), (15, 14), (16, 15), (17, 16), (17, 11)]  # a circle and what hangs on it
+    pairs += [(18, 99), (19, 18), (20, 21), (21, 20)]  # an unknown dependency, a circle of two
+    tdf, edf = graph(spark, 22, pairs)
+    plain = {t: level for (_, t), (level, _) in queue_run([(1, t, t) for t in range(1, 23)], [(1, i, a, b) for i, (a, b) in enumerate(pairs)]).items()}
+    assert dict(rows(order.levels(tdf, edf, plan="chains"), "task_id", "level")) == plain

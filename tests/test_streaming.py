@@ -56,6 +56,32 @@ def test_first_failure_decides(spark, stream):
     assert rows(latest(updates, ["graph_id"])) == [(1, 1, "TaskFailed")]
 
 
+def test_completions_after_the_first_failure_do_not_count(spark, stream):
+    """Whatever the order of delivery: by time, then task id, with the earliest completion of a task."""
+    totals = spark.createDataFrame([(1, 6)], "graph_id long, task_count long")
+    completions = stream(
+        [(5, 50, False), (4, 40, False), (1, 10, False)],
+        [(3, 30, True), (6, 30, False), (2, 20, False)],
+        [(2, 15, False), (7, 45, True), (2, 30, False)],
+        [(8, 20, True), (2, 20, True)],
+    )
+    updates = drain(run_progress_stream(completions, totals), "update")
+    assert [r[1:] for r in rows(updates, "batch", "executed_task_count", "status")] == [(3, "Unknown"), (2, "TaskFailed"), (2, "TaskFailed"), (2, "TaskFailed")]
+
+
+def test_a_task_that_fails_and_succeeds_at_once_has_failed(spark, stream):
+    totals = spark.createDataFrame([(1, 2)], "graph_id long, task_count long")
+    updates = drain(run_progress_stream(stream([(1, 1, False), (1, 1, True), (2, 2, False)]), totals), "update")
+    assert rows(latest(updates, ["graph_id"])) == [(1, 0, "TaskFailed")]
+
+
+def test_old_completions_are_folded_and_repeats_behind_the_watermark_do_not_count(spark, stream):
+    totals = spark.createDataFrame([(1, 5)], "graph_id long, task_count long")
+    completions = stream([(1, 10, False), (2, 20, False)], [(3, 100, False)], [(1, 10, False), (4, 110, False)], [(2, 20, False), (5, 111, False)])
+    updates = drain(run_progress_stream(completions, totals, "5 seconds"), "update")
+    assert [r[1:] for r in rows(updates, "batch", "executed_task_count", "status")] == [(2, "Unknown"), (3, "Unknown"), (4, "Unknown"), (5, "Success")]
+
+
 def test_tables_can_be_frozen_once_and_streamed(spark, tmp_path):
     from depweave.sources.tables import freeze_table, read_table
 
