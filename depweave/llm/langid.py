@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from depweave.llm import chars
+from depweave.llm.common import tidied
 
 BUCKETS = 1 << 16
 SALTS = 64
@@ -150,12 +151,13 @@ def mixture(likely, begins):
 
 def identify(docs, model, keep=("doc_id", "text")):
     """Columns ``keep`` of ``docs`` with lang_pred, score, languages and shares (largest first)."""
+    whole = "text" if "text" in keep else "_whole"  # a kept text is sent once
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
         model = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("_whole").to_pylist()]
+            texts = [t or "" for t in batch.column(whole).to_pylist()]
             shares = model.infer(texts)
             order = np.argsort(-shares, axis=1, kind="stable")
             named = [[(model.langs[k], float(row[k])) for k in ranks if row[k] > 0] for row, ranks in zip(shares, order)]
@@ -166,6 +168,6 @@ def identify(docs, model, keep=("doc_id", "text")):
             out["shares"] = pa.array([[s for _, s in n] for n in named], pa.list_(pa.float64()))
             yield pa.record_batch(out)
 
-    rows = docs.select(*keep, F.col("text").alias("_whole"))
+    rows = docs.select(*keep, *([] if whole == "text" else [F.col("text").alias(whole)]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return rows.mapInArrow(tidied(predict), f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")

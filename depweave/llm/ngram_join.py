@@ -31,7 +31,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depweave.llm import rolling
-from depweave.llm.common import whole
+from depweave.llm.common import tidied, whole
 from depweave.llm.components import components
 from depweave.plans.limits import limit
 from depweave.plans.scratch import Scratch
@@ -39,6 +39,8 @@ from depweave.plans.scratch import Scratch
 FRAGMENTS = 8
 SKETCH_BITS = 20
 RANGES = 64
+# Bytes of text whose sets are made at a time.
+SLAB_BYTES = 1 << 18
 
 
 def _cell(hashes):
@@ -74,7 +76,7 @@ def _survey(size):
     def found(batches):
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in batches:
-            for first, words, edges in rolling.word_slabs(batch.column("text")):
+            for first, words, edges in rolling.word_slabs(batch.column("text"), SLAB_BYTES):
                 values, at = rolling.shingle_sets(words, edges, size)
                 np.add.at(counts, _cell(values), 1)
                 n = np.diff(at)
@@ -98,7 +100,7 @@ def _prefixes(size, percent, shared, hot_rows):
         order_class = np.frexp(sketch.astype(np.float64))[1]
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for first, words, edges in rolling.word_slabs(batch.column("text")):
+            for first, words, edges in rolling.word_slabs(batch.column("text"), SLAB_BYTES):
                 values, at = rolling.shingle_sets(words, edges, size)
                 n = np.diff(at)
                 owner = np.repeat(np.arange(len(n)), n)
@@ -127,7 +129,7 @@ def _pieces(size, shared):
             asked = sketch[_cell(rolling.mixed(ids.astype(np.int64).view(np.uint64)))] > 0
             texts = batch.column("text").filter(pa.array(asked))
             ids = ids[asked]
-            for first, words, edges in rolling.word_slabs(texts):
+            for first, words, edges in rolling.word_slabs(texts, SLAB_BYTES):
                 values, at = rolling.shingle_sets(words, edges, size)
                 n = len(at) - 1
                 owner = np.repeat(np.arange(n), np.diff(at))
@@ -165,7 +167,7 @@ class NgramJoin:
         self.scratch = Scratch(spark, "ngrams")
         self.rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole().alias("text"))
         kind = "id bigint, n bigint, d1 bigint, d2 bigint, cells int, counts binary"
-        surveyed = self.scratch.put(self.rows.mapInArrow(_survey(size), kind), "survey")[0]
+        surveyed = self.scratch.put(self.rows.mapInArrow(tidied(_survey(size)), kind), "survey")[0]
         self.sketch = spark.sparkContext.broadcast(merged_sketch(surveyed.where("cells IS NOT NULL").select("cells", "counts")))
         self.sets = surveyed.where("cells IS NULL").select("id", "n", "d1", "d2")
         known = self.sets.where("id IS NOT NULL AND n > 0")
@@ -182,7 +184,7 @@ class NgramJoin:
         """Members (token, id, n, position) of the buckets of two documents or more; equal sets count once."""
         hot_rows = limit(self.spark, "hotRows")
         kind = "token bigint, id bigint, n int, position int, hot boolean"
-        prefixes = self.rows.where("id IS NOT NULL").mapInArrow(_prefixes(self.size, self.percent, self.sketch, hot_rows), kind)
+        prefixes = self.rows.where("id IS NOT NULL").mapInArrow(tidied(_prefixes(self.size, self.percent, self.sketch, hot_rows)), kind)
         members = Window.partitionBy("token")
         small = prefixes.where("NOT hot").withColumn("members", F.count(F.lit(1)).over(members)).where("members > 1")
         found = small.select("token", "id", "n", "position")
@@ -199,7 +201,7 @@ class NgramJoin:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
         asked = self.spark.sparkContext.broadcast(merged_sketch(wanted.mapInArrow(_id_sketch, "cells int, counts binary")))
         kind = "id bigint, d1 bigint, fragment int, hashes array<bigint>"
-        pieces = self.rows.where("id IS NOT NULL").mapInArrow(_pieces(self.size, asked), kind)
+        pieces = self.rows.where("id IS NOT NULL").mapInArrow(tidied(_pieces(self.size, asked)), kind)
         if self.repeated_ids:
             pieces = pieces.join(self.chosen.select("id", "d1"), ["id", "d1"], "left_semi").dropDuplicates(["id", "fragment"])
         pieces = self.scratch.put(pieces.select("id", "fragment", "hashes"), f"{name}-pieces")[0]

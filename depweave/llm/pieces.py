@@ -20,17 +20,25 @@ the unknown score and becomes its byte pieces; a word mark in a text decodes to
 
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from depweave.llm import chars
+from depweave.llm.common import tidied
 
 MARK = "▁"
+CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+CHUNK_OR_BREAK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 UNKNOWN_PENALTY = 10.0
 SLAB_CHARS = 1 << 20
+# Characters whose paths are decoded at a time, so that the gathered bytes stay in the processor's cache.
+DECODED_CHARS = 1 << 16
 MOST_CACHED = 200_000
+# Distinct chunks whose solutions are kept from slab to slab of a task.
+MOST_SOLVED = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 NO_SCORE = -1e300
 
@@ -84,7 +92,16 @@ class Pieces:
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             raise ValueError("pieces with a word mark inside cross the chunks")
         self._table()
-        self.cache = {}
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.raw_sizes = np.array([len(b) for b in self.raw], dtype=np.int64)
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.forget()
+
+    def forget(self):
+        """Drop what was kept of the chunks met so far."""
+        self.cache, self.solved = {}, {}
+        none, flat = np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.solutions = (flat, flat, np.zeros(0, dtype=np.int32), none, none)
 
     def _table(self):
         """Two-way hash table from a hashed substring to its piece."""
@@ -126,27 +143,8 @@ class Pieces:
         """The chunks of a text, after normalisation."""
         if not text:
             return []
-        marked = MARK + text.replace(" ", MARK)
-        words, out, held = marked.split(MARK)[1:], [], ""
-        for word in words[:-1]:
-            held += MARK
-            if word:
-                out.append(held + word)
-                held = ""
-        out.append(held + MARK + words[-1])
-        if "\n" in marked and "\n" not in self.known:
-            cut = []
-            for chunk in out:
-                if "\n" in chunk:
-                    parts = chunk.split("\n")
-                    for part in parts[:-1]:
-                        cut += [part, "\n"] if part else ["\n"]
-                    if parts[-1]:
-                        cut.append(parts[-1])
-                else:
-                    cut.append(chunk)
-            out = cut
-        return out
+        pattern = CHUNK if "\n" in self.known else CHUNK_OR_BREAK
+        return pattern.findall(MARK + text.replace(" ", MARK))
 
     def solve(self, chunks):
         """Best score, gap to the second path (inf without one) and best ids of distinct non-empty chunks."""
@@ -271,7 +269,8 @@ class Pieces:
             return [[(0.0, np.zeros(0, dtype=np.int32))] for _ in texts]
         coded = pa.array(flat, pa.large_string()).dictionary_encode()
         which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        best, gap, ids, offset, count = self.solve(distinct)
+        which = self._solved(distinct)[which]
+        best, gap, ids, offset, count = self.solutions
         out, stop = [], 0
         for chunks in cut:
             mine = which[stop : stop + len(chunks)]
@@ -283,13 +282,26 @@ class Pieces:
             place = np.cumsum(sizes) - sizes
             first = ids[np.arange(sizes.sum()) + np.repeat(offset[mine] - place, sizes)]
             total = float(best[mine].sum())
-            out.append([(total, first)] + (self._next_best(total, first, place, sizes, distinct, mine, gap[mine], most) if most > 1 else []))
+            out.append([(total, first)] + (self._next_best(total, first, place, sizes, flat[stop - len(mine) : stop], gap[mine], most) if most > 1 else []))
         return out
 
-    def _next_best(self, total, first, place, sizes, distinct, mine, gaps, most):
+    def _solved(self, chunks):
+        """Numbers of distinct chunks among the ``solutions``; new ones are solved together."""
+        if len(self.solved) > MOST_SOLVED:
+            self.forget()
+        new = [c for c in chunks if c not in self.solved]
+        if new:
+            best, gap, ids, offset, count = self.solve(new)
+            held = self.solutions
+            found = (best, gap, ids, offset + len(held[2]), count)
+            self.solutions = tuple(np.concatenate(pair) for pair in zip(held, found))
+            self.solved.update(zip(new, range(len(held[0]), len(held[0]) + len(new))))
+        return np.array([self.solved[c] for c in chunks], dtype=np.int64)
+
+    def _next_best(self, total, first, place, sizes, chunks, gaps, most):
         near = np.argsort(gaps, kind="stable")[: most - 1] if len(gaps) < 64 else self._smallest(gaps, most - 1)
         near = [int(k) for k in sorted(near) if np.isfinite(gaps[k])]
-        choices = [self.lattice_paths(distinct[mine[k]], most) for k in near]
+        choices = [self.lattice_paths(chunks[k], most) for k in near]
 
         def edges(node):
             top = choices[node - 1][0][0]
@@ -313,8 +325,16 @@ class Pieces:
 
     def decode(self, ids):
         """Text of a sequence of ids; the word mark put in front by encoding is taken off."""
-        raw = b"".join([self.raw[i] for i in ids.tolist()])
-        return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, paths):
+        """Texts of many sequences of ids, whose bytes are gathered together."""
+        flat = np.concatenate([*paths, np.zeros(0, dtype=np.int32)])
+        sizes = self.raw_sizes[flat]
+        ends = np.cumsum(sizes)
+        raw = self.raw_bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.raw_starts[flat] - (ends - sizes), sizes)].tobytes()
+        stops = np.concatenate([[0], ends])[np.cumsum([0, *map(len, paths)])].tolist()
+        return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") if a < b else "" for a, b in zip(stops, stops[1:])]
 
 
 _LOADED = {}
@@ -343,9 +363,10 @@ def encode(docs, model_file, most=4, keep=("doc_id",)):
                 rows = pa.ListArray.from_arrays(_offsets([len(doc) for doc in paths]), pairs)
                 part = batch.slice(first, len(group))
                 yield pa.record_batch({**{n: part.column(n) for n in keep}, "paths": rows.cast(kind)})
+        model.forget()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_whole")).mapInArrow(encoded, f"{kinds}, paths array<struct<score:double,ids:array<int>>>")
+    return docs.select(*keep, F.col("text").alias("_whole")).mapInArrow(tidied(encoded), f"{kinds}, paths array<struct<score:double,ids:array<int>>>")
 
 
 def _offsets(sizes):
@@ -362,23 +383,27 @@ def round_trips(docs, model_file, most=4, keep=("doc_id",)):
     def checked(batches):
         model = model_of(model_file)
         for batch in batches:
-            texts = [t or "" for t in batch.column("_whole").to_pylist()]
-            paths = model.encode(texts, most)
-            plain = [t.replace(MARK, " ") for t in texts]
-            yield pa.record_batch(
-                {
-                    **{n: batch.column(n) for n in keep},
-                    "n_paths": pa.array([len(doc) for doc in paths], pa.int32()),
-                    "scores": pa.array([[s for s, _ in doc] for doc in paths], pa.list_(pa.float64())),
-                    "n_pieces": pa.array([[len(i) for _, i in doc] for doc in paths], pa.list_(pa.int32())),
-                    "ids_sha256": pa.array([hashlib.sha256(doc[0][1].astype("<i4").tobytes()).hexdigest() for doc in paths]),
-                    "round_trip": pa.array([all(model.decode(i) == t for _, i in doc) for doc, t in zip(paths, plain)]),
-                }
-            )
+            whole = [t or "" for t in batch.column("_whole").to_pylist()]
+            for first, texts in chars.slabs(whole, SLAB_CHARS):
+                paths = model._encode(texts, most)
+                decoded = iter([t for at, group in chars.slabs(texts, DECODED_CHARS) for t in model.decode_all([i for doc in paths[at : at + len(group)] for _, i in doc])])
+                plain = [t.replace(MARK, " ") for t in texts]
+                part = batch.slice(first, len(texts))
+                yield pa.record_batch(
+                    {
+                        **{n: part.column(n) for n in keep},
+                        "n_paths": pa.array([len(doc) for doc in paths], pa.int32()),
+                        "scores": pa.array([[s for s, _ in doc] for doc in paths], pa.list_(pa.float64())),
+                        "n_pieces": pa.array([[len(i) for _, i in doc] for doc in paths], pa.list_(pa.int32())),
+                        "ids_sha256": pa.array([hashlib.sha256(doc[0][1].astype("<i4").tobytes()).hexdigest() for doc in paths], pa.string()),
+                        "round_trip": pa.array([all([next(decoded) == t for _ in doc]) for doc, t in zip(paths, plain)], pa.bool_()),
+                    }
+                )
+        model.forget()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     schema = f"{kinds}, n_paths int, scores array<double>, n_pieces array<int>, ids_sha256 string, round_trip boolean"
-    return docs.select(*keep, F.col("text").alias("_whole")).mapInArrow(checked, schema)
+    return docs.select(*keep, F.col("text").alias("_whole")).mapInArrow(tidied(checked), schema)
 
 
 def decode(rows, model_file, ids="ids", keep=("doc_id",)):

@@ -36,6 +36,30 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(stages[1].doc_id.dropna().astype(int)) == sorted(keep)
 
 
+def test_other_columns_of_any_name_stay_as_they_are(spark, table_of, awkward):
+    """Names that the stages use inside, on a few rows of every kind."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "_whole", "given", "_row", "_order", "cuts", "lang_pred", "shares", "languages", "words", "block", "size", "row"]
+    docs = table_of(awkward[:12] + awkward[60:75] + awkward[84:]).select(*COLUMNS)
+    docs = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == COLUMNS + names
+        rows = docs.collect()
+        assert rows and all(r[name] == (f"{name}{r.doc_id}" if r.doc_id is not None else None) for r in rows for name in names)
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert corpus_pipeline.encode_pieces(spark, docs, SF).count() == len(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None)] * 3])
+def test_empty_and_all_null_tables(spark, table_of, rows):
+    docs = table_of(rows).select(*COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
+
+
 def test_personal_data_is_gone_and_texts_agree(stages):
     assert not any("ann@site.org" in t for t in stages[2].text) and any("[email]" in t for t in stages[2].text)
     for s in stages[:-1]:
