@@ -1,12 +1,18 @@
 """A corpus pipeline of five operators, each stage written and read again by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the
-last return the columns of the documents table.
+last return the columns of the documents table, and further columns as they came, whatever their names.
+
+NULL ids and repeated rows are documents like others; a NULL or empty text has no language and goes in the
+first stage; an empty table goes through all stages. Ties are settled as each stage's operator states.
 """
 
+import functools
+
 from pyspark.sql import functions as F
 
 from depweave.llm import langid, mixture, ngram_join, personal, pieces
+from depweave.llm.common import DOCUMENT
 from depweave.llm.queries import PIECE_MODEL
 from depweave.plans.scratch import Scratch
 
@@ -14,6 +20,19 @@ from depweave.plans.scratch import Scratch
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
+def among_other_columns(stage):
+    """The stage on documents whose further columns have names that it does not use inside."""
+
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        hidden = {name: f"further_{i}" for i, name in enumerate(docs.columns) if name not in DOCUMENT}
+        found = stage(spark, docs.withColumnsRenamed(hidden), sf_dir)
+        return found.withColumnsRenamed({to: name for name, to in hidden.items()})
+
+    return run
+
+
+@among_other_columns
 def identify_languages(spark, docs, sf_dir):
     """Documents with a language; ``lang`` becomes the prediction. Documents without a letter go."""
     columns = docs.columns
@@ -23,6 +42,7 @@ def identify_languages(spark, docs, sf_dir):
     return kept.select(*columns)
 
 
+@among_other_columns
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near duplicates: the one with the smallest id, then text digest; NULL ids come last.
 
@@ -42,11 +62,13 @@ def drop_near_copies(spark, docs, sf_dir):
     return keyed.join(copies, "_row", "left_anti").select(*columns)
 
 
+@among_other_columns
 def mask_personal_data(spark, docs, sf_dir):
     """Personal data replaced by its kind."""
     return personal.mask(docs, personal.learn(docs))
 
 
+@among_other_columns
 def mix_sources(spark, docs, sf_dir):
     """Documents cut to the words that the mix to target weights takes from them."""
     return mixture.Mix(docs).texts(docs)
