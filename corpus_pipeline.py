@@ -51,14 +51,17 @@ def drop_near_copies(spark, docs, sf_dir):
     columns = docs.columns
     order = [F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("digest"), F.xxhash64(*columns).alias("whole")]
     keyed = docs.select(*columns, F.struct(*order).alias("_order"), F.monotonically_increasing_id().alias("_row"))
-    keyed = Scratch(spark, "near-copies").put(keyed, "rows")[0]
+    scratch = Scratch(spark, "near-copies")
+    keyed = scratch.put(keyed, "rows")[0]
     groups = ngram_join.NgramJoin(keyed.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     found = groups.grouped().select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
     # Groups of one row have nothing to drop.
     several = found.where("_row <> group").select("group").distinct()
     found = found.join(several, "group").join(keyed.select("_row", "_order"), "_row")
     first = found.groupBy("group").agg(F.min(F.struct("_order", "_row"))["_row"].alias("first"))
-    copies = found.join(first, "group").where("_row <> first").select("_row")
+    copies = scratch.put(found.join(first, "group").where("_row <> first").select("_row"), "copies")[0]
+    # Nothing reads the join's own tables any more.
+    groups.scratch.drop("")
     return keyed.join(copies, "_row", "left_anti").select(*columns)
 
 
