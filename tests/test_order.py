@@ -214,7 +214,8 @@ def test_a_scrambled_chain_is_contracted_in_log_rounds(spark, written):
     tdf, edf = graph(spark, n, [(late, early) for early, late in zip(ids, ids[1:])])
     found = dict(rows(order.levels(tdf, edf, plan="chains"), "task_id", "level"))
     assert found == {t: at for at, t in enumerate(ids)}
-    assert sum(name.startswith("pointers-") for name, _ in written) <= 14
+    # Twelve jumps cover 3,000 tasks; one more sees that nothing moves, and two contractions have a start.
+    assert sum(name.startswith("pointers-") for name, _ in written) == 15
 
 
 def test_contraction_of_trees_diamonds_and_circles(spark):
