@@ -1,5 +1,9 @@
 """What a fail-fast run of a graph did, told from its order and the outcome of its tasks."""
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -99,7 +103,6 @@ def render_report(summary):
 
 
 PART = "_part"
-MERGED_PARTS = 2
 
 
 def guarded_apply(df, keys, fn, schema, merge=None):
@@ -109,11 +112,13 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     ``schema``; with ``fn=None`` the rows are passed through and every group succeeds.
 
     Without ``merge`` a group reaches ``fn`` whole, in one task. With ``merge``, every group of
-    whatever size is cut into parts, at least ``MERGED_PARTS`` of them if it has as many rows;
-    ``fn`` runs on the parts, and ``merge(frame of all part results)`` gives the group's result. The
-    group fails if any part fails. ``errors`` has the keys, ``status`` and ``error``.
+    two rows or more is cut into parts; ``fn`` runs on one part after the other as they arrive, so that a
+    task holds one part of a group and the results of its other parts, and ``merge(frame of all part results)``
+    gives the group's result. If the table has more than ``hotRows`` rows, the parts of a group are
+    spread over tasks. The group fails if any part fails. ``errors`` has the keys, ``status`` and ``error``.
 
-    A result that does not fit ``schema`` is a failure of its group like an exception.
+    A result that does not fit ``schema`` is a failure of its group like an exception. Frames are
+    those of Arrow: timestamps in the session's time zone, structs and maps as dictionaries.
     """
     spark = df.sparkSession
     if fn is None:
@@ -121,19 +126,20 @@ def guarded_apply(df, keys, fn, schema, merge=None):
         return df, no_errors
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields, marks = schema.fieldNames(), [f"_key_{i}" for i in range(len(keys))]
-    part = F.lit(0)
-    if merge is not None:
-        width = max(MERGED_PARTS, df.count() // limit(spark, "hotRows") + 1)
+    marked = df.withColumns(dict(zip(marks, map(F.col, keys))))
+    width = 1 if merge is None else df.count() // limit(spark, "hotRows") + 1
+    scratch = Scratch(spark, "guarded")
+    if width == 1:
+        work = _whole(fn) if merge is None else _in_parts(fn, merge)
+        ran = scratch.put(_guarded(marked, marks, work, schema), "ran")[0]
+        done, failed = ran.where("NOT _failed"), ran.where("_failed").select(*marks, "_error")
+    else:
         # Equal rows are told apart by the task that read them.
         part = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(width)).cast("int")
-    marked = df.withColumns({**dict(zip(marks, map(F.col, keys))), PART: part})
-    scratch = Scratch(spark, "guarded")
-    ran = scratch.put(_guarded(marked, [*marks, PART], fn, schema), "ran")[0]
-    failed = ran.where("_failed").groupBy(*marks).agg(F.min_by("_error", PART).alias("_error"))
-    done = ran.where("NOT _failed")
-    if merge is not None:
-        parts = key_join(done, failed, marks, "left_anti").select(*marks, *fields)
-        merged = scratch.put(_guarded(parts, marks, merge, schema), "merged")[0]
+        ran = scratch.put(_guarded(marked.withColumn(PART, part), [*marks, PART], _in_parts(fn), schema), "ran")[0]
+        failed = ran.where("_failed").groupBy(*marks).agg(F.min_by("_error", PART).alias("_error"))
+        parts = key_join(ran.where("NOT _failed"), failed, marks, "left_anti").select(*marks, *fields)
+        merged = scratch.put(_guarded(parts, marks, _whole(merge), schema), "merged")[0]
         done = merged.where("NOT _failed")
         failed = failed.unionByName(merged.where("_failed").select(*marks, "_error"))
     named = [F.col(mark).alias(key) for mark, key in zip(marks, keys)]
@@ -141,21 +147,66 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     return done.select(*fields), errors
 
 
-def _guarded(df, by, fn, schema):
-    """Run ``fn`` per group, its rows beside the group's key; a failure leaves one flagged row."""
-    verdict = [T.StructField("_failed", T.BooleanType(), True), T.StructField("_error", T.StringType(), True)]
-    shape = T.StructType([*[df.schema[name] for name in by], *verdict, *schema.fields])
-    names, columns = schema.fieldNames(), shape.fieldNames()
-    declared = to_arrow_schema(schema)
+def _whole(fn):
+    """``fn`` on a group as one frame."""
+    return lambda frames: fn(pd.concat(list(frames), ignore_index=True))
+
+
+def _in_parts(fn, merge=None):
+    """``fn`` on the frames of a group one by one, and ``merge`` on all their results.
 
-    def apply(key, group):
+    With ``merge`` the first frame is halved, so that no group but one of a single row stays in one part.
+    """
+
+    def work(frames):
+        made = []
+        for frame in frames:
+            half = len(frame) // 2 if merge and not made else 0
+            made += [fn(part.reset_index(drop=True)) for part in (frame[:half], frame[half:]) if len(part)]
+        found = pd.concat(made, ignore_index=True)
+        return merge(found) if merge else found
+
+    return work
+
+
+def _guarded(df, by, work, schema):
+    """Run ``work`` on the frames of every group, its rows beside the group's key; a failure leaves one flagged row."""
+    verdict = [T.StructField("_failed", T.BooleanType(), True), T.StructField("_error", T.StringType(), True)]
+    nullable = [T.StructField(field.name, field.dataType, True) for field in schema.fields]
+    shape = T.StructType([*[df.schema[name] for name in by], *verdict, *nullable])
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    declared = to_arrow_schema(T.StructType(nullable))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        key = first.select(by).slice(0, 1)
         try:
-            made = fn(group.drop(columns=by))[names]
-            pa.Table.from_pandas(made, declared, preserve_index=False)
-            head = {**dict(zip(by, key)), "_failed": False, "_error": None}
-        except Exception as problem:  # whatever user code raises belongs to its group alone
-            made = pd.DataFrame({name: [None] for name in names})
-            head = {**dict(zip(by, key)), "_failed": True, "_error": str(problem)}
-        return made.assign(**head)[columns]
-
-    return df.groupBy(*by).applyInPandas(apply, shape)
+            made = _columns(work(_frame(batch.drop_columns(by), zone) for batch in chain([first], batches)), declared, zone)
+            rows = len(made[0]) if made else 0
+            problem = None
+        except Exception as raised:  # whatever user code raises belongs to its group alone
+            made, rows, problem = [pa.nulls(1, field.type) for field in declared], 1, str(raised)
+        heads = [column.take(pa.array(np.zeros(rows, dtype=np.int64))) for column in key.columns]
+        said = [pa.array([problem is not None] * rows, pa.bool_()), pa.array([problem] * rows, pa.string())]
+        yield pa.RecordBatch.from_arrays([*heads, *said, *made], names=shape.fieldNames())
+
+    return df.groupBy(*by).applyInArrow(apply, shape)
+
+
+def _frame(batch, zone):
+    """A batch as a pandas frame, with timestamps as local times of ``zone``."""
+    frame = batch.to_pandas(maps_as_pydicts="strict")
+    for field in batch.schema:
+        if pa.types.is_timestamp(field.type) and field.type.tz:
+            frame[field.name] = frame[field.name].dt.tz_convert(zone).dt.tz_localize(None)
+    return frame
+
+
+def _columns(frame, declared, zone):
+    """The columns of a result as Arrow arrays of the declared types."""
+    frame = frame[declared.names]
+    for field in declared:
+        column = frame[field.name]
+        if pa.types.is_timestamp(field.type) and field.type.tz and getattr(column.dtype, "kind", "") == "M" and column.dt.tz is None:
+            frame = frame.assign(**{field.name: column.dt.tz_localize(zone, ambiguous=False, nonexistent="shift_forward")})
+    return pa.RecordBatch.from_pandas(frame, declared, preserve_index=False).columns

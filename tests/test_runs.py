@@ -148,3 +148,35 @@ def test_merge_is_used_at_every_size(spark, limits):
             results, errors = runs.guarded_apply(df, ["k"], total, "k long, v long", merge=lambda parts: parts.head(1).assign(v=len(parts)))
             calls.append((rows(results), rows(errors)))
     assert calls[0][0] == [(1, 2)] and calls[0] == calls[1] == calls[2]
+
+
+def test_frames_keep_dates_times_and_keys_without_a_value(spark):
+
+    def latest(group):
+        return pd.DataFrame({"k": group["k"].head(1), "t": [group["t"].max()]})
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT CAST(NULL AS LONG) AS k, TIMESTAMP '2024-03-01 12:00:00' AS t, 1 AS v UNION ALL SELECT 1, TIMESTAMP '2024-07-01 12:00:00', 2 UNION ALL SELECT 1, NULL, 3")
+        results, errors = runs.guarded_apply(df, ["k"], latest, "k long, t timestamp", merge=latest)
+        assert rows(results.withColumn("t", results.t.cast("string")).fillna(0)) == [(0, "2024-03-01 12:00:00"), (1, "2024-07-01 12:00:00")]
+        assert rows(errors) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_large_group_is_never_one_frame(spark):
+    """Each call of the function sees at most a batch; rows after a failure are skipped, not read as another group's."""
+    df = spark.range(0, 60_000, numPartitions=3).selectExpr("id % 2 AS k", "id AS v")
+
+    def largest(group):
+        if group["v"].max() > 59_000 and group["k"].iloc[0] == 0:
+            raise RuntimeError("late")
+        return pd.DataFrame({"k": group["k"].head(1), "rows": [len(group)]})
+
+    def most(parts):
+        return pd.DataFrame({"k": parts["k"].head(1), "rows": [parts["rows"].max()]})
+
+    results, errors = runs.guarded_apply(df, ["k"], largest, "k long, rows long", merge=most)
+    [(k, n)] = rows(results)
+    assert k == 1 and n <= 10_000 and rows(errors) == [(0, "TaskFailed", "late")]
