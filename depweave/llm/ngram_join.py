@@ -6,11 +6,14 @@ one fixed-size sketch of all documents, merged by cell ranges; any order is righ
 keeps frequent passages out of the prefixes. Two sets that link share one of the first
 n - ceil(t n) + 1 shingles of both, so documents meet in the buckets of their prefix shingles.
 
-Candidates never are all pairs of a bucket. First every member meets the bucket's smallest
-document, and what links makes components. Then only members outside the component of that
-document meet the others of other components, unless their sizes, the number of prefix shingles they
-share, or the triangle inequality (Jaccard distance is a metric, and both distances to the
-smallest document are known) rule a link out. Equal sets are one document throughout.
+Candidates never are all pairs of a bucket. First every member meets the bucket's head, the member
+of which the largest part of the prefix is shared with others (an original before its edited copies), and
+what links makes components. While buckets hold many members outside the head's component,
+turns follow in which such members meet one document of another component each, under a new pseudorandom
+order of heads per turn, so a large group of near copies without a centre grows together. Then members
+outside the component of the head meet the others of other components, unless their sizes, the number of prefix
+shingles they share, or the triangle inequality (Jaccard distance is a metric, and both distances to the
+head are known) rule a link out. Equal sets are one document throughout.
 
 Candidates are verified by fragments: the order of hashes is cut into ``FRAGMENTS`` ranges, every
 set into one piece per range, pieces of one range are joined and counted by themselves, and the partial
@@ -39,6 +42,9 @@ from depweave.plans.scratch import Scratch
 FRAGMENTS = 8
 SKETCH_BITS = 20
 RANGES = 64
+# Members outside the head's component, per bucket row, beyond which turns come before the last step. A turn that
+# leaves more than the given part of them is the last. Both choose a plan, not a result.
+MANY_OUTSIDE, GAIN = 8, 0.75
 # Bytes of text whose sets are made at a time.
 SLAB_BYTES = 1 << 18
 
@@ -181,7 +187,10 @@ class NgramJoin:
         return 100 * overlap >= self.percent * (left + right - overlap)
 
     def buckets(self):
-        """Members (token, id, n, position) of the buckets of two documents or more; equal sets count once."""
+        """Members (token, id, n, position, alone) of the buckets of two documents or more; equal sets count once.
+
+        ``alone`` is the negative part of a document's prefix that it shares with others.
+        """
         hot_rows = limit(self.spark, "hotRows")
         kind = "token bigint, id bigint, n int, position int, hot boolean"
         prefixes = self.rows.where("id IS NOT NULL").mapInArrow(tidied(_prefixes(self.size, self.percent, self.sketch, hot_rows)), kind)
@@ -194,7 +203,10 @@ class NgramJoin:
             found = found.unionByName(hot.join(many.select("token"), "token").select("token", "id", "n", "position"))
         raw = self.scratch.put(found, "members")[0]
         # Equal sets count once, as their first document.
-        return raw.join(self.chosen.select("id", F.col("first")), "id").where("id = first").select("token", "id", "n", "position")
+        firsts = raw.join(self.chosen.select("id", F.col("first")), "id").where("id = first")
+        prefix = F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 1
+        alone = -F.count(F.lit(1)).over(Window.partitionBy("id")) / prefix
+        return firsts.select("token", "id", "n", "position", alone.alias("alone"))
 
     def overlaps(self, pairs, name):
         """Exact overlap of each pair (a, b): partial overlaps by fragment, summed."""
@@ -228,12 +240,36 @@ class NgramJoin:
         rest = F.greatest(F.ceil(self.percent * a / 100), F.ceil(self.percent * b / 100)) - 1
         return ~self._linked(F.least(common + rest, a, b), a, b)
 
+    def _placed(self, members, labels, name):
+        """Members of the buckets of several components, with their components and whether it is the head's.
+
+        Beside the number of rows it counts ``pairs``, those of a member outside the head's component and any other.
+        """
+        placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        home = F.max(F.when(F.col("id") == F.col("head_id"), F.col("component")))
+        spread = placed.groupBy("token").agg(home.alias("home"), F.min("component").alias("low"), F.max("component").alias("high"))
+        spread = spread.where("low <> high").select("token", "home")
+        placed = placed.join(spread, "token").withColumn("at_home", F.col("component") == F.col("home")).drop("home")
+        return self.scratch.put(placed, name, pairs=F.sum(F.when(F.col("at_home"), 0).otherwise(F.col("members"))))
+
+    def _met(self, placed, turn):
+        """One pair for each document: with the head, in this turn's order, that it shares most prefix shingles with."""
+        at = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), F.col("id"), F.col("n"), F.col("component"))
+        heads = placed.groupBy("token").agg(F.min(at).alias("met"))
+        found = placed.join(heads, "token").where("component <> met.component")
+        found = found.where(100 * F.least("n", "met.n") >= self.percent * F.greatest("n", "met.n"))
+        found = found.groupBy("id", "n", "met").agg(F.count(F.lit(1)).alias("common"))
+        # Pairs may share more under other heads; a turn need not find all links.
+        found = found.where(~self._prefix_short(F.col("common"), F.col("met.n"), F.col("n")))
+        best = found.groupBy("id", "n").agg(F.max(F.struct("common", "met"))["met"].alias("met"))
+        return best.select(F.col("met.id").alias("a"), F.col("id").alias("b"), F.col("met.n").alias("n_a"), F.col("n").alias("n_b"))
+
     def links(self):
         """Links between different sets: (a, b), enough of them to connect all that is linked."""
         members = self.scratch.put(self.buckets(), "sets")[0]
-        heads = members.groupBy("token").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
-        heads = heads.where("members > 1").select("token", F.col("head.id").alias("head_id"), F.col("head.n").alias("head_n"))
-        members = self.scratch.put(members.join(heads, "token"), "buckets")[0]
+        heads = members.groupBy("token").agg(F.min(F.struct("alone", "id", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
+        heads = heads.where("members > 1").select("token", "members", F.col("head.id").alias("head_id"), F.col("head.n").alias("head_n"))
+        members = self.scratch.put(members.drop("alone").join(heads, "token"), "buckets")[0]
         # First step: members and heads. It need not find all links.
         first = members.where("id <> head_id").where(100 * F.least("n", "head_n") >= self.percent * F.greatest("n", "head_n"))
         first = first.groupBy(F.col("head_id").alias("a"), F.col("id").alias("b"), F.col("head_n").alias("n_a"), F.col("n").alias("n_b")).agg(F.count(F.lit(1)).alias("common"))
@@ -241,20 +277,27 @@ class NgramJoin:
         verified, _ = self._verified(first, "first")
         near = verified.where("linked").select("a", "b")
         labels = components(near, self.scratch, "near")
-        # Second step: in buckets of several components, members outside the head's.
-        placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        placed, seen = self.scratch.put(placed.join(several.select("token"), "token"), "several")
-        if not seen["rows"]:
-            return near
+        # Turns: in buckets of several components, members meet documents of other components.
+        turn, before = 0, None
+        while True:
+            placed, seen = self._placed(members, labels, f"placed-{turn}")
+            if not seen["rows"]:
+                return near
+            if seen["pairs"] <= MANY_OUTSIDE * seen["rows"] or (before and seen["pairs"] > GAIN * before):
+                break
+            turn, before = turn + 1, seen["pairs"]
+            more, tried = self._verified(self._met(placed, turn), f"turn-{turn}")
+            if not tried["rows"]:
+                break
+            near = self.scratch.put(near.unionByName(more.where("linked").select("a", "b")), f"near-{turn}")[0]
+            labels = components(near, self.scratch, f"near-{turn}")
+        # Last step: in buckets of several components, members outside the head's.
         at_head = verified.select(F.col("a").alias("head_id"), F.col("b").alias("id"), (F.lit(1.0) - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("d"))
-        home = labels.select(F.col("node").alias("head_id"), F.col("component").alias("home"))
-        placed = placed.join(home, "head_id", "left").withColumn("home", F.coalesce("home", "head_id"))
         placed = placed.join(at_head, ["head_id", "id"], "left")
         by_size = F.lit(1.0) - F.least("n", "head_n") / F.greatest("n", "head_n")
         is_head = F.col("id") == F.col("head_id")
         placed = placed.select(
-            "token", "id", "n", "position", "component", (F.col("component") == F.col("home")).alias("at_home"),
+            "token", "id", "n", "position", "component", "at_home",
             F.when(is_head, 0.0).otherwise(F.coalesce("d", by_size)).alias("low"), F.when(is_head, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
         )
         placed = self.scratch.put(placed, "placed")[0]

@@ -94,3 +94,36 @@ def test_components_of_paths_and_stars(spark):
     found = dict(map(tuple, components(frame, Scratch(spark, "test"), "t").collect()))
     nodes = {n for a, b in links if a != b for n in (a, b)}
     assert found == {n: top(n) for n in nodes}
+
+
+def counting(monkeypatch):
+    """How many pairs each step verifies, by its name."""
+    tried, verified = {}, ngram_join.NgramJoin._verified
+
+    def counted(self, pairs, name):
+        found = verified(self, pairs, name)
+        tried[name] = found[1]["rows"]
+        return found
+
+    monkeypatch.setattr(ngram_join.NgramJoin, "_verified", counted)
+    return tried
+
+
+def test_turns_before_the_last_step_give_the_same(table_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MANY_OUTSIDE", 0)
+    tried, rows = counting(monkeypatch), chains()
+    assert got(table_of(rows), 4, 85) == brute(rows, 4, 85)
+    assert 0 < tried["turn-1"] <= len(rows)
+
+
+def test_a_group_without_a_centre_makes_few_pairs(table_of, monkeypatch):
+    """Copies of a text that is not there, most pairs of them just below the threshold."""
+    draw, tried = random.Random(9), counting(monkeypatch)
+    words, rows = [f"w{i}" for i in range(200)], []
+    for i in range(100):
+        copy = list(words)
+        for at in draw.sample(range(200), 2):
+            copy[at] = f"x{i}.{at}"
+        rows.append(((i * 37) % 1009, " ".join(copy), "en", "a"))
+    assert got(table_of(rows), 4, 85) == brute(rows, 4, 85)
+    assert sum(tried.values()) < 100 * 99 / 2 / 4
