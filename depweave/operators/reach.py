@@ -156,7 +156,8 @@ def _probe_by_rounds(edges, probes):
 
     A row (block, node, mask) says which of the 64 searches of a block are at a node, so
     overlapping searches travel, meet and are stored as bits of one LONG. Searches are put
-    into blocks by the level they may stop at, which keeps the pruning of a block sharp.
+    into blocks by the level they may stop at, which keeps the pruning of a block sharp. The bit of a
+    search is cleared as soon as all its probes are met, and the rounds end with the last open probe.
     """
     scratch = Scratch(edges.sparkSession, "probe")
     edges = scratch.put(edges, "edges")[0]
@@ -179,12 +180,23 @@ def _probe_by_rounds(edges, probes):
     edges = scratch.put(edges.join(target_level, ["graph_id", "target"], "left"), "levelled")[0]
     place = ["graph_id", "block", "node"]
     start = starts.drop("floor").join(floors, ["graph_id", "block"]).withColumnRenamed("dependency_id", "node")
+    sought = probes.join(starts.drop("floor"), start_key).withColumn("node", F.col("dependent_id"))
     wave, seen = scratch.put(start.select(*place, "floor", "mask"), "met/hop=0")
     schema, hop = T.StructType([*wave.schema.fields, T.StructField("hop", LONG, True)]), 0
-    while seen["rows"]:
+    while True:
+        # Probes still without an answer; a search whose probes all have one goes no further.
+        at = wave.select(*place, F.col("mask").alias("at"))
+        unmet = sought.join(at, place, "left").where("mask & coalesce(at, 0L) = 0").drop("at")
+        sought, left = scratch.put(unmet, f"sought-{hop}")
+        if not seen["rows"] or not left["rows"]:
+            break
+        live = sought.groupBy("graph_id", "block").agg(F.bit_or("mask").alias("live"))
         met = scratch.get("met", schema).groupBy(*place).agg(F.bit_or("mask").alias("old"))
         step = (
             wave.withColumnRenamed("node", "source")
+            .join(live, ["graph_id", "block"])
+            .withColumn("mask", F.expr("mask & live"))
+            .where("mask <> 0")
             .join(edges, ["graph_id", "source"])
             .where(F.coalesce(F.col("target_level") >= F.col("floor"), F.lit(True)))
             .groupBy("graph_id", "block", F.col("target").alias("node"))
@@ -195,8 +207,5 @@ def _probe_by_rounds(edges, probes):
         )
         hop += 1
         wave, seen = scratch.put(step, f"met/hop={hop}")
-    met = scratch.get("met", schema).groupBy(*place).agg(F.bit_or("mask").alias("old"))
-    sought = probes.join(starts.drop("floor"), start_key).withColumn("node", F.col("dependent_id"))
-    return sought.join(met, place, "left").select(
-        *PROBE, F.expr("coalesce(mask & old, 0L) <> 0 AS would_cycle")
-    )
+    unanswered = sought.select(*PROBE, F.lit(False).alias("found"))
+    return probes.join(unanswered, PROBE, "left").select(*PROBE, F.coalesce("found", F.lit(True)).alias("would_cycle"))

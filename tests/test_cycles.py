@@ -174,3 +174,27 @@ def test_a_row_of_cycles_takes_few_turns(spark, limits, monkeypatch):
     found = rows(cycles.cycle_members(tasks, edges, plan="rounds"), "task_id", "scc_id", "in_cycle")
     assert found == [(t, t - 1 + t % 2, True) for t in range(1, 81)]
     assert sum(name.startswith("both-") for name in turns) <= 12
+
+
+def test_a_search_ends_with_its_hit(spark, monkeypatch):
+    """Task 1 waits for 2, the one sought, and for a chain of 20 tasks; the search does not walk the chain."""
+    from depweave.operators import reach
+    from depweave.plans.scratch import Scratch
+
+    chain = [(1, 10)] + [(i, i + 1) for i in range(10, 30)]
+    edges = spark.createDataFrame([(7, i, a, b) for i, (a, b) in enumerate([(1, 2), *chain])], "graph_id long, edge_seq long, dependent_id long, dependency_id long")
+    written, put = [], Scratch.put
+
+    def noted(self, df, name, *args, **kw):
+        found = put(self, df, name, *args, **kw)
+        written.append((name, found[1]["rows"]))
+        return found
+
+    monkeypatch.setattr(Scratch, "put", noted)
+    for offers, hops in (([(7, 2, 1)], 1), ([(7, 2, 1), (7, 1, 1)], 1), ([(7, 2, 1), (7, 12, 1)], 3), ([(7, 2, 1), (7, 30, 2)], 1)):
+        written.clear()
+        cand = spark.createDataFrame(offers, "graph_id long, dependent_id long, dependency_id long")
+        found = {(r.dependent_id, r.dependency_id): r.would_cycle for r in reach.probe_cycles(edges, cand, plan="rounds").collect()}
+        assert found == {(a, b): (a, b) != (30, 2) for _, a, b in offers}
+        waves = [rows for name, rows in written if name.startswith("met/hop=")]
+        assert sum(rows > 0 for rows in waves) - 1 <= hops and len(waves) <= hops + 2
