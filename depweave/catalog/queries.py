@@ -154,6 +154,11 @@ def probe_cycles(spark, sf_dir):
     return reach.probe_cycles(_settled(spark, fx.event_edges(tasks), "edges"), probes)
 
 
+def probe_cycles_rounds(spark, sf_dir):
+    tasks, probes = _good_edges(spark, sf_dir)
+    return reach.probe_cycles(_settled(spark, fx.event_edges(tasks), "edges"), probes, plan="rounds")
+
+
 def cyclic_core(spark, sf_dir):
     return cycles.cyclic_core(*_good_edges(spark, sf_dir))
 
@@ -358,7 +363,7 @@ QUERIES = {
         classify_edges, dedupe_edges, adjacency, degrees, remove_edges, audit_links,
         reachable, probe_cycles, cyclic_core, cycle_members, admit_edges, roots_and_leaves,
         validate_graphs, levels, levels_one_graph, levels_chains, fifo_order, admit_edges_rounds,
-        reachable_rounds, cycle_members_rounds, fifo_order_rounds,
+        reachable_rounds, probe_cycles_rounds, cycle_members_rounds, fifo_order_rounds,
         ready_tasks, run_outcome, run_summary, run_timeline, render_report, guarded_apply,
         release_stream, run_progress_stream,
         init_frames, integrate, upload_total, cull, seal_frame, require_stage, frame_pipeline, object_pipeline,
