@@ -114,8 +114,9 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     Without ``merge`` a group reaches ``fn`` whole, in one task. With ``merge``, every group of
     two rows or more is cut into parts; ``fn`` runs on one part after the other as they arrive, so that a
     task holds one part of a group and the results of its other parts, and ``merge(frame of all part results)``
-    gives the group's result. If the table has more than ``hotRows`` rows, the parts of a group are
-    spread over tasks. The group fails if any part fails. ``errors`` has the keys, ``status`` and ``error``.
+    gives the group's result. If the table has more than ``hotRows`` rows, rows are dealt by hash to parts in several
+    tasks (a small group may then stay in one part). The group fails if any part fails. ``errors`` has the keys,
+    ``status`` and ``error``.
 
     A result that does not fit ``schema`` is a failure of its group like an exception. Frames are
     those of Arrow: timestamps in the session's time zone, structs and maps as dictionaries.
