@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from depweave.operators.order import levels
 from depweave.plans import kernels
+from depweave.plans.mergelog import Buckets, MergeLog
 from depweave.plans.packs import Tiers
 from depweave.plans.scratch import Scratch
 from depweave.plans.skew import running_totals
@@ -80,23 +81,57 @@ def _graph_spans(graphs, starts):
 
 
 def _reach_by_rounds(edges, seeds, max_hops):
-    """One join round per hop; each hop is written beside the earlier ones and never again."""
+    """All searches move one hop per round, 64 searches of a graph to a row.
+
+    A row (node, block, mask) says which of the 64 searches of a block come to a node, so searches that
+    overlap travel and are stored as bits of one LONG. Nodes and the edges from them lie in the same hash buckets.
+    A hop reads the edges of its wave's buckets, and of what was visited only the buckets it steps into. What
+    was visited is a `MergeLog`: it is merged a few runs at a time, never as a whole for a hop.
+    """
     scratch = Scratch(edges.sparkSession, "reach")
-    edges = scratch.put(edges, "edges")[0]
-    keys = ["graph_id", "seed_id", "task_id"]
-    wave, seen = scratch.put(seeds.withColumn("task_id", F.col("seed_id")), "met/hops=0")
-    hops, schema = 0, REACHED
+    edges, n_edges = scratch.put(edges, "edges")
+    links = Buckets(edges, ["graph_id", "source"], n_edges["rows"], scratch, "links")
+    place, node = ["_bucket", "graph_id", "node", "block"], ["graph_id", "node"]
+    ranked = running_totals(seeds, ["graph_id"], ["seed_id"], rank=F.lit(1)).select(
+        "graph_id", "seed_id", F.expr("(rank - 1) div 64 AS block"), F.expr("shiftleft(1L, CAST((rank - 1) % 64 AS INT)) AS bit")
+    )
+    ranked = scratch.put(ranked, "seeds")[0]
+    visited = MergeLog(scratch, "visited", place, [F.bit_or("mask").alias("mask")], "true", partition_by=["_bucket"])
+
+    def written(rows, name):
+        rows = rows.withColumn("_bucket", links.of(*node)).select(*place, "mask")
+        rows = rows.hint("rebalance", "_bucket") if links.n > 1 else rows
+        return scratch.put(rows, name, partition_by=["_bucket"], **links.masks(F.lit(True), *node))
+
+    wave, seen = written(ranked.select("graph_id", F.col("seed_id").alias("node"), "block", F.col("bit").alias("mask")), "met/hops=0")
+    schema, hops = T.StructType([*wave.schema.fields, T.StructField("hops", LONG, True)]), 0
     while seen["rows"] and hops != max_hops:
-        met = scratch.get("met", schema).select(*keys)
+        visited.add(wave, seen["rows"])
         step = (
-            wave.withColumnRenamed("task_id", "source")
-            .join(edges, ["graph_id", "source"])
-            .select("graph_id", "seed_id", F.col("target").alias("task_id"))
-            .distinct()
+            wave.drop("_bucket")
+            .withColumnRenamed("node", "source")
+            .join(links.read(seen), links.keys)
+            .groupBy("graph_id", F.col("target").alias("node"), "block")
+            .agg(F.bit_or("mask").alias("mask"))
         )
+        old = visited.rows()
+        if links.n > 1:
+            # Written first: it tells which buckets of the visited rows it meets.
+            step, met = written(step, f"step-{hops}")
+            old = old.where(F.col("_bucket").isin(links.named(met)))
+            step = step.drop("_bucket")
+        old = old.groupBy(*node, "block").agg(F.bit_or("mask").alias("old"))
+        fresh = step.join(old, [*node, "block"], "left").withColumn("mask", F.expr("mask & ~coalesce(old, 0L)"))
         hops += 1
-        wave, seen = scratch.put(step.join(met, keys, "left_anti"), f"met/hops={hops}")
-    return scratch.get("met", schema).select(*schema.fieldNames())
+        wave, seen = written(fresh.where("mask <> 0"), f"met/hops={hops}")
+        if links.n > 1:
+            scratch.drop(f"step-{hops - 1}")
+    met = scratch.get("met", schema).drop("_bucket")
+    return (
+        met.join(ranked, ["graph_id", "block"])
+        .where("mask & bit <> 0")
+        .select("graph_id", "seed_id", F.col("node").alias("task_id"), "hops")
+    )
 
 
 def probe_cycles(edges, cand, plan=None):

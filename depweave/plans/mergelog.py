@@ -19,10 +19,14 @@ WORDS, BITS = 4, 63
 
 
 class MergeLog:
-    """Newest rows by key; ``newest`` gives the aggregates of a key's rows, ``live`` what is worth keeping."""
+    """Newest rows by key; ``newest`` gives the aggregates of a key's rows, ``live`` what is worth keeping.
 
-    def __init__(self, scratch, name, keys, newest, live):
+    With ``partition_by``, columns among the keys, merged runs are stored by their values, as added runs should be.
+    """
+
+    def __init__(self, scratch, name, keys, newest, live, partition_by=()):
         self.scratch, self.name, self.keys, self.newest, self.live = scratch, name, keys, newest, live
+        self.partition_by = partition_by
         self.runs, self.rows_written, self.merges = [], 0, 0
 
     def add(self, table, rows, drop=None):
@@ -37,7 +41,9 @@ class MergeLog:
         merged, self.runs = self.runs[-FAN:], self.runs[:-FAN]
         rows = self._union([table for _, table, *_ in merged])
         name = f"{self.name}-merged-{self.merges}"
-        table, seen = self.scratch.put(rows.groupBy(*self.keys).agg(*self.newest).where(self.live), name)
+        rows = rows.groupBy(*self.keys).agg(*self.newest).where(self.live)
+        rows = rows.hint("rebalance", *self.partition_by) if self.partition_by else rows
+        table, seen = self.scratch.put(rows, name, self.partition_by)
         self.merges += 1
         self.rows_written += seen["rows"]
         self.runs.append((merged[0][0] + 1, table, lambda: self.scratch.drop(name), seen["rows"]))
@@ -84,8 +90,12 @@ class Buckets:
             for word in range(-(-self.n // BITS))
         }
 
+    def named(self, seen):
+        """The numbers of the buckets that the metrics ``seen`` name."""
+        return [b for b in range(self.n) if seen[f"mask{b // BITS}"] >> (b % BITS) & 1]
+
     def read(self, seen):
         """The buckets that the metrics ``seen`` name."""
-        wanted = [b for b in range(self.n) if seen[f"mask{b // BITS}"] >> (b % BITS) & 1]
+        wanted = self.named(seen)
         table = self.table if len(wanted) == self.n else self.table.where(F.col("_bucket").isin(wanted))
         return table.drop("_bucket")

@@ -5,6 +5,7 @@ from frames_of import edges_df, graph, offers_df, offers_in_graph_1, tasks_df
 from model import admit, knots, queue_run, random_graphs, reaches, rows
 
 from depweave.operators import cycles, edges as edge_ops, reach
+from depweave.plans.mergelog import Buckets
 from depweave.plans.scratch import Scratch
 
 PLANS = {"packs": {}, "rounds": {"graphRows": 1}}
@@ -59,6 +60,29 @@ def test_reachable_tasks_and_hops(spark, limits, plan, direction, max_hops):
     assert found == sorted(expected)
 
 
+def test_many_searches_share_rows_and_hops_read_the_buckets_they_touch(spark, limits, monkeypatch):
+    n, rng = 400, random.Random(6)
+    pairs = {(t, t - 1) for t in range(2, n + 1)} | {(rng.randrange(2, n + 1), 1) for _ in range(60)} | {(1, n)}
+    tasks, edges = graph(spark, n, sorted(pairs))
+    seeds = tasks.where("task_id % 3 = 0").select("graph_id", "task_id")
+    named, read = Buckets.named, []
+
+    def noted(self, seen):
+        found = named(self, seen)
+        read.append((len(found), self.n))
+        return found
+
+    plain = rows(reach.reachable(edges, seeds, max_hops=9))
+    last = tasks.where("task_id = 200").select("graph_id", "task_id")
+    alone = rows(reach.reachable(edges, last, max_hops=9))
+    with limits(bucketRows=40):
+        assert rows(reach.reachable(edges, seeds, max_hops=9, plan="rounds")) == plain
+        monkeypatch.setattr(Buckets, "named", noted)
+        assert rows(reach.reachable(edges, last, max_hops=9, plan="rounds")) == alone
+    # One search along a chain: a few of the buckets for its edges and what it visited.
+    assert len(plain) > 1000 and read and all(few <= 2 < of for few, of in read)
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_probes_look_at_the_present_graph_only(spark, limits, plan):
     rng = random.Random(6)
