@@ -450,5 +450,6 @@ FROM uploads""",
 }
 
 # The same questions, answered by the plan for large graphs.
-for _name in ("reachable", "probe_cycles", "cycle_members", "fifo_order", "admit_edges"):
+for _name in ("reachable", "probe_cycles", "cyclic_core", "cycle_members", "fifo_order", "admit_edges"):
     ORACLES[f"{_name}_rounds"] = ORACLES[_name]
+ORACLES["release_stream_delay"] = ORACLES["release_stream"]

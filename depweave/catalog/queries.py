@@ -163,6 +163,10 @@ def cyclic_core(spark, sf_dir):
     return cycles.cyclic_core(*_good_edges(spark, sf_dir))
 
 
+def cyclic_core_rounds(spark, sf_dir):
+    return cycles.cyclic_core(*_good_edges(spark, sf_dir), plan="rounds")
+
+
 def cycle_members(spark, sf_dir):
     return cycles.cycle_members(*_good_edges(spark, sf_dir))
 
@@ -273,13 +277,22 @@ def _completions(spark, sf_dir, tasks):
     return events.select("event_id", "ts").join(known, "event_id").select(*COMPLETIONS.fieldNames())
 
 
-def release_stream(spark, sf_dir):
+def _releases(spark, sf_dir, delay):
     tasks, graph = _graph(spark, sf_dir)
     indegree = edges.degrees(tasks, graph).where("n_dependencies > 0")
-    stream = release.release_stream(_completions(spark, sf_dir, tasks), graph, indegree)
+    stream = release.release_stream(_completions(spark, sf_dir, tasks), graph, indegree, delay)
     return streams.drain(stream, "update").drop("batch")
 
 
+def release_stream(spark, sf_dir):
+    return _releases(spark, sf_dir, None)
+
+
+def release_stream_delay(spark, sf_dir):
+    """Completions at most an hour late; the state of released tasks is freed."""
+    return _releases(spark, sf_dir, "1 hour")
+
+
 def run_progress_stream(spark, sf_dir):
     tasks = _tasks(spark, sf_dir)
     totals = identity.task_counts(fx.graphs_of(tasks), tasks)
@@ -363,9 +376,9 @@ QUERIES = {
         classify_edges, dedupe_edges, adjacency, degrees, remove_edges, audit_links,
         reachable, probe_cycles, cyclic_core, cycle_members, admit_edges, roots_and_leaves,
         validate_graphs, levels, levels_one_graph, levels_chains, fifo_order, admit_edges_rounds,
-        reachable_rounds, probe_cycles_rounds, cycle_members_rounds, fifo_order_rounds,
+        reachable_rounds, probe_cycles_rounds, cyclic_core_rounds, cycle_members_rounds, fifo_order_rounds,
         ready_tasks, run_outcome, run_summary, run_timeline, render_report, guarded_apply,
-        release_stream, run_progress_stream,
+        release_stream, release_stream_delay, run_progress_stream,
         init_frames, integrate, upload_total, cull, seal_frame, require_stage, frame_pipeline, object_pipeline,
     )
 }

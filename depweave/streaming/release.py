@@ -16,7 +16,7 @@ TASK = ["graph_id", "task_id"]
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
 
 
-def release_stream(completions, edges, indegree):
+def release_stream(completions, edges, indegree, delay=None):
     """Release every task once, when the last of its dependencies completes.
 
     ``completions`` is a stream (graph_id, task_id, ts, failed); failed tasks release
@@ -27,25 +27,56 @@ def release_stream(completions, edges, indegree):
     Run it in update mode: a count reaches the number of dependencies in one batch only, and
     changes no more, so each task passes the last filter once. The state of a waiting task is
     one count and one time, and counts are combined before the shuffle.
+
+    Without ``delay`` completions may come at any time, and the state of all completed and released tasks stays.
+    With it (such as "1 hour") completions come at most that much later than the latest time seen, later ones are ignored, and
+    a repeat has a time within ``delay`` of the first. Then state is freed: a completion is held until the
+    watermark has passed its time by ``delay``, and a waiting task until its release. Completions without a time are ignored.
     """
     needed = indegree.select(
         "graph_id", F.col("task_id").alias("dependent_id"), F.col("n_dependencies").alias("needed")
     )
     links = edges.select("graph_id", "dependent_id", F.col("dependency_id").alias("task_id"))
     links = links.join(needed, ["graph_id", "dependent_id"])
-    done = completions.where("NOT failed").dropDuplicates(TASK)
+    done = completions.where("NOT failed").withColumn("us", F.expr(MICROS))
+    if delay is None:
+        done = done.dropDuplicates(TASK)
+    else:
+        done = done.where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+        done = done.withWatermark("ts", delay).dropDuplicatesWithinWatermark(TASK)
     # Written once, so that no micro-batch derives the static side again.
     links = Scratch(edges.sparkSession, "links").put(links, "rows")[0]
     done, links = _spread_hubs(done, links)
+    met = done.join(links, [*TASK, "_part"])
+    if delay is not None:
+        met = met.select("graph_id", "dependent_id", "needed", "us")
+        return met.groupBy("graph_id", "dependent_id").applyInPandasWithState(_release, RELEASED, WAITING, "update", "NoTimeout")
     return (
-        done.join(links, [*TASK, "_part"])
-        .groupBy("graph_id", "dependent_id", "needed")
-        .agg(F.count(F.lit(1)).alias("met"), F.max(F.expr(MICROS)).alias("released_us"))
+        met.groupBy("graph_id", "dependent_id", "needed")
+        .agg(F.count(F.lit(1)).alias("met"), F.max("us").alias("released_us"))
         .where("met = needed")
         .select("graph_id", F.col("dependent_id").alias("task_id"), "released_us")
     )
 
 
+RELEASED = "graph_id long, task_id long, released_us long"
+WAITING = "met long, latest long"
+
+
+def _release(key, frames, state):
+    """One waiting task: its count and latest time, removed with its release."""
+    met, latest = state.get if state.exists else (0, None)
+    for frame in frames:
+        needed, newest = int(frame["needed"].iat[0]), int(frame["us"].max())
+        met, latest = met + len(frame), newest if latest is None else max(latest, newest)
+    if met < needed:
+        state.update((met, latest))
+    else:
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"graph_id": [key[0]], "task_id": [key[1]], "released_us": [latest]})
+
+
 def _spread_hubs(done, links):
     """Cut the links of a dependency that very many tasks wait for into parts.
 

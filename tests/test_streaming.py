@@ -41,6 +41,45 @@ def test_tasks_are_released_once_by_their_last_dependency(spark, stream, limits,
     assert [(t, seconds(us)) for t, us in released] == [(2, 1), (3, 1), (4, 5)]
 
 
+@pytest.mark.parametrize("plan", [{}, {"listEntries": 1}])
+def test_state_is_freed_by_releases_and_the_watermark(spark, stream, limits, plan, tmp_path):
+    tasks, edges = graph(spark, 6, [(2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (6, 5)])
+    indegree = edge_ops.degrees(tasks, edges).where("n_dependencies > 0")
+    completions = stream(
+        [(1, 1, False), (1, 1, False)],
+        [(2, 5, False), (1, 1, False)],  # a repeat after its releases
+        [(2, 6, False), (3, 4, False), (4, 8, True)],
+        [(4, 9, False)],
+        [(9, 100, False)],  # another graph's task, long after
+        [(10, 200, False)],  # what is behind the watermark is ignored from the next batch on
+        [(11, 300, False), (3, 4, False), (5, 7, False)],  # a repeat and a completion that come too late
+    )
+    with limits(**plan):
+        released = release_stream(completions, edges, indegree, "20 seconds")
+        found = []
+        query = (
+            released.writeStream.outputMode("update")
+            .option("checkpointLocation", str(tmp_path / "progress"))
+            .trigger(availableNow=True)
+            .foreachBatch(lambda rows, batch: found.extend(map(tuple, rows.collect())))
+            .start()
+        )
+        query.awaitTermination()
+    assert sorted((task, seconds(us)) for _, task, us in found) == [(2, 1), (3, 1), (4, 5), (5, 9)]
+    held = [[op["numRowsTotal"] for op in p["stateOperators"]] for p in query.recentProgress]
+    # Task 4 waits once; in the end no task waits, and only the latest completion may still be repeated.
+    assert max(waiting for waiting, _ in held) == 1
+    assert held[-1] == [0, 1]
+
+
+def test_a_delay_does_not_change_what_is_released(spark, stream):
+    tasks, edges = graph(spark, 5, [(2, 1), (3, 1), (4, 2), (4, 3), (5, 4)])
+    indegree = edge_ops.degrees(tasks, edges).where("n_dependencies > 0")
+    completions = stream([(3, 4, False), (1, 1, False)], [(2, 5, False), (4, 3, True)], [(4, 2, False), (2, 6, False)])
+    plain, freed = (rows(drain(release_stream(completions, edges, indegree, d), "update"), "task_id", "released_us") for d in (None, "1 hour"))
+    assert plain == freed and len(plain) == 4
+
+
 def test_progress_follows_the_run(spark, stream):
     totals = spark.createDataFrame([(1, 3)], "graph_id long, task_count long")
     completions = stream([(1, 1, False), (1, 1, False)], [(2, 2, False)], [(1, 3, False), (3, 4, False)])
