@@ -139,6 +139,54 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op7_repeats": """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), words AS (
+  SELECT row_no, coalesce(doc_id, 9223372036854775807) AS key, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), sequences AS (
+  SELECT *, CASE WHEN pos + 49 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS seq
+  FROM words
+), firsts AS (
+  SELECT seq, min(key) AS first FROM sequences WHERE seq IS NOT NULL GROUP BY seq
+), judged AS (
+  SELECT row_no, pos, word, coalesce(bool_or(key > first) OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM sequences LEFT JOIN firsts USING (seq)
+), kept AS (
+  SELECT row_no, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY row_no
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row_no)
+""",
+    "op9_ngram_join": """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), words AS (
+  SELECT row_no, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), grams AS (
+  SELECT row_no, n, pos, string_agg(word, ' ') OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS gram FROM words
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT row_no, gram FROM grams WHERE pos + 3 <= n OR pos = 1
+), sizes AS MATERIALIZED (
+  SELECT row_no, count(*) AS n_shingles FROM shingles GROUP BY row_no
+), shared AS (
+  SELECT a.row_no AS x, b.row_no AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.gram = b.gram AND a.row_no < b.row_no GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT unnest([x, y]) AS x, unnest([y, x]) AS y
+  FROM shared s JOIN sizes a ON a.row_no = s.x JOIN sizes b ON b.row_no = s.y
+  WHERE 100 * n >= 85 * (a.n_shingles + b.n_shingles - n)
+), reached AS (
+  SELECT row_no, row_no AS met FROM d
+  UNION
+  SELECT r.row_no, l.y FROM reached r JOIN links l ON l.x = r.met
+), components AS (
+  SELECT r.row_no, min(m.doc_id) AS component_id FROM reached r JOIN d m ON m.row_no = r.met GROUP BY r.row_no
+)
+SELECT doc_id, CAST(coalesce(n_shingles, 0) AS BIGINT) AS n_shingles, component_id
+FROM d JOIN components USING (row_no) LEFT JOIN sizes USING (row_no)
 """,
     "op12_manifest": """
 WITH RECURSIVE parts AS (
