@@ -4,6 +4,7 @@ Completions may be delivered more than once. Repeats are removed first, with sta
 over (graph, task), so what follows may simply count.
 """
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ def release_stream(completions, edges, indegree, delay=None):
     With it (such as "1 hour") completions come at most that much later than the latest time seen, later ones are ignored, and
     a repeat has a time within ``delay`` of the first. Then state is freed: a completion is held until the
     watermark has passed its time by ``delay``, and a waiting task until its release. Completions without a time are ignored.
+    Waiting tasks of a graph with neighbouring ids (``CELL`` of them at most) share a row of state.
     """
     needed = indegree.select(
         "graph_id", F.col("task_id").alias("dependent_id"), F.col("n_dependencies").alias("needed")
@@ -49,8 +51,8 @@ def release_stream(completions, edges, indegree, delay=None):
     done, links = _spread_hubs(done, links)
     met = done.join(links, [*TASK, "_part"])
     if delay is not None:
-        met = met.select("graph_id", "dependent_id", "needed", "us")
-        return met.groupBy("graph_id", "dependent_id").applyInPandasWithState(_release, RELEASED, WAITING, "update", "NoTimeout")
+        met = met.select("graph_id", "dependent_id", F.expr(f"dependent_id div {CELL}").alias("_cell"), "needed", "us")
+        return met.groupBy("graph_id", "_cell").applyInPandasWithState(_release, RELEASED, WAITING, "update", "NoTimeout")
     return (
         met.groupBy("graph_id", "dependent_id", "needed")
         .agg(F.count(F.lit(1)).alias("met"), F.max("us").alias("released_us"))
@@ -59,22 +61,33 @@ def release_stream(completions, edges, indegree, delay=None):
     )
 
 
+# Tasks of a graph whose states share a row: a call per task costs far more than its count.
+CELL = 1024
 RELEASED = "graph_id long, task_id long, released_us long"
-WAITING = "met long, latest long"
+WAITING = "tasks array<long>, met array<long>, latest array<long>"
 
 
 def _release(key, frames, state):
-    """One waiting task: its count and latest time, removed with its release."""
-    met, latest = state.get if state.exists else (0, None)
-    for frame in frames:
-        needed, newest = int(frame["needed"].iat[0]), int(frame["us"].max())
-        met, latest = met + len(frame), newest if latest is None else max(latest, newest)
-    if met < needed:
-        state.update((met, latest))
+    """The waiting tasks of one cell: count and latest time of each, removed with its release."""
+    new = pd.concat([frame[["dependent_id", "needed", "us"]] for frame in frames], ignore_index=True)
+    found = new.groupby("dependent_id").agg(needed=("needed", "first"), met=("us", "size"), latest=("us", "max"))
+    tasks, needed, met, latest = (c.to_numpy(dtype=np.int64, copy=True) for c in (found.index, found["needed"], found["met"], found["latest"]))
+    if state.exists:
+        held = [np.array(values, dtype=np.int64) for values in state.get]
+        _, old, again = np.intersect1d(held[0], tasks, assume_unique=True, return_indices=True)
+        met[again] += held[1][old]
+        latest[again] = np.maximum(latest[again], held[2][old])
+        kept = [np.delete(values, old) for values in held]
     else:
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame({"graph_id": [key[0]], "task_id": [key[1]], "released_us": [latest]})
+        kept = [np.empty(0, dtype=np.int64)] * 3
+    due = met >= needed
+    kept = [np.concatenate([before, now[~due]]).tolist() for before, now in zip(kept, (tasks, met, latest))]
+    if kept[0]:
+        state.update(tuple(kept))
+    elif state.exists:
+        state.remove()
+    if due.any():
+        yield pd.DataFrame({"graph_id": key[0], "task_id": tasks[due], "released_us": latest[due]})
 
 
 def _spread_hubs(done, links):

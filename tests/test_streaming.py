@@ -80,6 +80,25 @@ def test_a_delay_does_not_change_what_is_released(spark, stream):
     assert plain == freed and len(plain) == 4
 
 
+def test_neighbouring_waiting_tasks_share_a_row_of_state(spark, stream, tmp_path):
+    tasks, edges = graph(spark, 1500, [(task, root) for task in range(3, 1501) for root in (1, 2)])
+    indegree = edge_ops.degrees(tasks, edges).where("n_dependencies > 0")
+    completions = stream([(1, 1, False)], [(2, 2, False)])
+    found = []
+    query = (
+        release_stream(completions, edges, indegree, "20 seconds")
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", str(tmp_path / "progress"))
+        .trigger(availableNow=True)
+        .foreachBatch(lambda rows, batch: found.extend(map(tuple, rows.collect())))
+        .start()
+    )
+    query.awaitTermination()
+    assert sorted((task, seconds(us)) for _, task, us in found) == [(task, 2) for task in range(3, 1501)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(held) == 2 and held[-1] == 0
+
+
 def test_progress_follows_the_run(spark, stream):
     totals = spark.createDataFrame([(1, 3)], "graph_id long, task_count long")
     completions = stream([(1, 1, False), (1, 1, False)], [(2, 2, False)], [(1, 3, False), (3, 4, False)])
