@@ -9,8 +9,10 @@ with their squares, so that a score is a function of the text alone.
 The threshold is a quantile of the training scores: the share of label 0 among them. Scores are
 given as a probability in which exactly that threshold is ``CUT``.
 
-The model is fitted on at most ``most_rows`` rows of each label, those with the smallest hash
-of their id; the pairs give each of them ``pairs_per_row`` partners. Scoring covers all rows.
+The model is fitted on all labelled rows; the pairs give each of them ``pairs_per_row`` partners. Rows are
+dealt by the hash of their id into buckets of about ``BUCKET`` rows, and pairs are drawn inside a bucket; of a label too
+rare for that, each row is in as many buckets as it takes. A Newton step adds up slope and curve of all buckets, one row
+per task; the threshold is found by counting ever narrower ranges of scores. Scoring covers all rows.
 
 Defined results: a NULL text is an empty text and is scored like any other; NULL labels teach
 nothing; of several labels of one id the lowest counts; without both labels nothing can be
@@ -22,8 +24,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from depweave.llm import chars
+from depweave.plans.scratch import Scratch
 
 CUT = 0.3
+BUCKET = 1 << 14
+# Rows of the rarer label that a bucket holds on average, at least.
+RARE = 64
+# Ranges of scores counted at once, and scores looked at one by one.
+RANGES = 4096
 PLAIN_MARKS = np.array([ord(c) for c in ".,;:'\"-()?"], dtype=np.uint32)
 FEATURES = (
     "words", "letters", "capitals", "digits", "marks", "repeats", "distinct", "length", "letterless",
@@ -96,6 +104,32 @@ def _features(texts):
     return found
 
 
+def pair_sums(good, bad, scale, weights, pairs_per_row=8, seed=5):
+    """Pairs, slope and curve of the logistic loss over random pairs of ``good`` and ``bad`` rows."""
+    good, bad = (PairRanking.expand(found, scale) for found in (good, bad))
+    draw, n = np.random.default_rng(seed), max(len(good), len(bad))
+    slope, curve = np.zeros(len(weights)), np.zeros((len(weights), len(weights)))
+    for _ in range(pairs_per_row):
+        winners = np.resize(draw.permutation(len(good)), n)
+        ahead = good[winners] - bad[np.resize(draw.permutation(len(bad)), n)]
+        lost = 1 / (1 + np.exp(np.clip(ahead @ weights, -30, 30)))
+        slope += ahead.T @ lost
+        curve += (ahead * (lost * (1 - lost))[:, None]).T @ ahead
+    return n * pairs_per_row, slope, curve
+
+
+def newton(sums, width, ridge=1e-3):
+    """Weights of the least loss; ``sums`` gives pairs, slope and curve at given weights."""
+    weights = np.zeros(width)
+    for _ in range(25):
+        n, slope, curve = sums(weights)
+        step = np.linalg.solve(curve / n + ridge * np.eye(width), slope / n - ridge * weights)
+        weights += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights
+
+
 class PairRanking:
     """Bradley-Terry weights over standardised features and their squares."""
 
@@ -110,28 +144,12 @@ class PairRanking:
     @classmethod
     def fit(cls, found, labels, pairs_per_row=8, ridge=1e-3, seed=5):
         labels = np.asarray(labels, dtype=int)
-        good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-        if not len(good) or not len(bad):
+        good, bad = labels == 1, labels == 0
+        if not good.any() or not bad.any():
             return cls(None, None, None, constant=float(np.mean(labels)) if len(labels) else 0.5)
         scale = found.mean(axis=0), np.maximum(found.std(axis=0), 1e-6)
-        rows = cls.expand(found, scale)
-        draw = np.random.default_rng(seed)
-        winners, losers = [], []
-        n = max(len(good), len(bad))
-        for _ in range(pairs_per_row):
-            winners.append(np.resize(draw.permutation(good), n))
-            losers.append(np.resize(draw.permutation(bad), n))
-        ahead = rows[np.concatenate(winners)] - rows[np.concatenate(losers)]
-        weights = np.zeros(rows.shape[1])
-        for _ in range(25):
-            lost = 1 / (1 + np.exp(np.clip(ahead @ weights, -30, 30)))
-            slope = ahead.T @ lost / len(ahead) - ridge * weights
-            curve = (ahead * (lost * (1 - lost))[:, None]).T @ ahead / len(ahead) + ridge * np.eye(len(weights))
-            step = np.linalg.solve(curve, slope)
-            weights += step
-            if np.abs(step).max() < 1e-6:
-                break
-        return cls(scale, weights, float(np.quantile(rows @ weights, len(bad) / len(labels))))
+        weights = newton(lambda w: pair_sums(found[good], found[bad], scale, w, pairs_per_row, seed), 2 * found.shape[1], ridge)
+        return cls(scale, weights, float(np.quantile(cls.expand(found, scale) @ weights, bad.sum() / len(labels))))
 
     def score(self, found):
         if self.constant is not None:
@@ -144,19 +162,96 @@ def _feature_rows(batches):
     for batch in batches:
         found = features([t or "" for t in batch.column("text").to_pylist()])
         values = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-        yield pa.record_batch({"label": batch.column("label"), "found": values})
-
-
-def learn(docs, labels, most_rows=20_000):
-    """Fit on documents that ``labels`` (doc_id, label) knows, at most ``most_rows`` of each label."""
-    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
-    sample = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for v in (0, 1)]
-    # At most 2 * most_rows rows of two numbers.
-    sample = F.broadcast(sample[0].unionByName(sample[1]).select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label")))
-    rows = docs.join(sample, docs["doc_id"] == sample["_id"]).select("label", "text")
-    found = rows.mapInArrow(_feature_rows, "label int, found array<double>").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["label"], r["found"]))
-    return PairRanking.fit(np.array([r["found"] for r in found]).reshape(-1, len(FEATURES)), [r["label"] for r in found])
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "found": values})
+
+
+def _matrix(column):
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def _bucket(part):
+    """One row per bucket: its number and the features of its rows of either label, in a fixed order."""
+    labels, found = part.column("label").to_numpy(), _matrix(part.column("found"))
+    sides = [found[labels == v] for v in (1, 0)]
+    sides = [side[np.lexsort(side.T[::-1])].tobytes() for side in sides]
+    return pa.table({"bucket": part.column("bucket")[:1], "good": pa.array(sides[:1], pa.binary()), "bad": pa.array(sides[1:], pa.binary())})
+
+
+def learn(docs, labels):
+    """Fit on all documents that ``labels`` (doc_id, label) knows."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # Features are made before the join, so that no text is shuffled.
+    rows = docs.select("doc_id", "text").mapInArrow(_feature_rows, f"doc_id {kind}, found array<double>")
+    rows, seen = scratch.put(rows.join(known.where("label IN (0, 1)"), "doc_id"), "rows", good=F.count_if(F.col("label") == 1))
+    n, n_good = seen["rows"], seen["good"]
+    if n_good in (0, n):
+        return PairRanking(None, None, None, constant=n_good / n if n else 0.5)
+    each = [F.col("found")[i] for i in range(len(FEATURES))]
+    moments = np.array(rows.agg(*map(F.avg, each), *map(F.stddev_pop, each)).first(), dtype=float).reshape(2, -1)
+    scale = moments[0], np.maximum(moments[1], 1e-6)
+    packs = _packs(rows, n, n_good, scratch)
+    weights = newton(lambda w: _summed(packs, scale, w), 2 * len(FEATURES))
+    shared = docs.sparkSession.sparkContext.broadcast((scale, weights))
+
+    def raw(batches):
+        for batch in batches:
+            found = _matrix(pa.chunked_array([batch.column("found")]))
+            yield pa.record_batch({"raw": PairRanking.expand(found, shared.value[0]) @ shared.value[1]})
+
+    raws = scratch.put(rows.select("found").mapInArrow(raw, "raw double"), "raws")[0]
+    place = (n - n_good) / n * (n - 1)
+    low = int(place)
+    values = [nth(raws, "raw", k) for k in (low, min(low + 1, n - 1))]
+    return PairRanking(scale, weights, values[0] + (values[1] - values[0]) * (place - low))
+
+
+def _packs(rows, n, n_good, scratch):
+    """Rows dealt into buckets, each of them one row (bucket, good, bad)."""
+    buckets, rarer, fewest = -(-n // BUCKET), int(2 * n_good <= n), min(n_good, n - n_good)
+    copies = -(-RARE * buckets // fewest) if buckets > 1 else 1
+    copy = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == rarer, copies - 1).otherwise(0)))
+    dealt = rows.select("doc_id", "label", "found", copy.alias("copy"))
+    dealt = dealt.select(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)).cast("int").alias("bucket"), "label", "found")
+    return scratch.put(dealt.groupBy("bucket").applyInArrow(_bucket, "bucket int, good binary, bad binary"), "packs")[0]
+
+
+def _summed(packs, scale, weights):
+    """`pair_sums` over all buckets; each task sends one row."""
+    width = len(weights)
+    shared = packs.sparkSession.sparkContext.broadcast((scale, weights))
+
+    def sums(batches):
+        total = np.zeros(1 + width + width * width)
+        for batch in batches:
+            for bucket, *sides in zip(*(batch.column(c).to_pylist() for c in ("bucket", "good", "bad"))):
+                good, bad = (np.frombuffer(side).reshape(-1, len(FEATURES)) for side in sides)
+                if len(good) and len(bad):
+                    n, slope, curve = pair_sums(good, bad, *shared.value, seed=5 + bucket)
+                    total += np.concatenate([[n], slope, curve.ravel()])
+        yield pa.record_batch({"total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    total = np.sum([r["total"] for r in packs.mapInArrow(sums, "total array<double>").toArrow().to_pylist()], axis=0)
+    return total[0], total[1 : 1 + width], total[1 + width :].reshape(width, width)
+
+
+def nth(df, column, k):
+    """The ``k``-th smallest value (from 0) of a column of finite doubles."""
+    value = F.col(column)
+    low, high, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    while low < high and n > RANGES:
+        inside = df.where((value >= low) & (value <= high))
+        at = F.least(F.floor((value - low) / F.lit(high - low) * RANGES), F.lit(RANGES - 1))
+        counts = inside.groupBy(at.alias("at")).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+        for row in sorted(counts.collect(), key=lambda r: r["at"]):
+            if k < row["n"]:
+                break
+            k -= row["n"]
+        low, high, n = row["low"], row["high"], row["n"]
+    if low == high:
+        return low
+    return sorted(r[0] for r in df.where((value >= low) & (value <= high)).select(value).collect())[k]
 
 
 def score(docs, model, keep=("doc_id",)):

@@ -42,3 +42,26 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = queries.op2_quality(spark, sf).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
+
+
+def test_every_label_teaches(spark, table_of, monkeypatch):
+    """Rows in many buckets give what one bucket gives, about; moments and threshold are those of all rows."""
+    texts = [f"word{i % 7} and {'x' * (i % 5)} other words {i}." if i % 40 else f"{i} %% {i} ## @@ {i % 3}" for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 > 0)) for i in range(2000)], "doc_id long, label int")
+    found = quality.features(texts)
+    whole = quality.learn(docs, labels)
+    monkeypatch.setattr(quality, "BUCKET", 200)
+    monkeypatch.setattr(quality, "RANGES", 16)
+    for model in (whole, quality.learn(docs, labels)):
+        assert np.allclose(model.scale[0], found.mean(axis=0)) and np.allclose(model.scale[1], np.maximum(found.std(axis=0), 1e-6))
+        raws = model.expand(found, model.scale) @ model.weights
+        assert np.isclose(model.threshold, np.quantile(raws, 50 / 2000), rtol=0, atol=1e-9)
+        assert (model.score(found) >= quality.CUT).sum() == 1950
+
+
+def test_nth_value(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RANGES", 4)
+    values = [float(v) for v in [*np.random.default_rng(3).normal(size=60), *[0.25] * 30]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [quality.nth(df, "v", k) for k in (0, 47, 89)] == [sorted(values)[k] for k in (0, 47, 89)]
