@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from depweave.functions.report import report_line
 from depweave.plans.limits import limit
 from depweave.plans.scratch import Scratch
-from depweave.plans.skew import attach, key_join, running_totals
+from depweave.plans.skew import attach, key_join, keys_above, running_totals, sized_broadcast
 
 
 def ready_tasks(tasks, edges, completed):
@@ -114,9 +114,8 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     Without ``merge`` a group reaches ``fn`` whole, in one task. With ``merge``, every group of
     two rows or more is cut into parts; ``fn`` runs on one part after the other as they arrive, so that a
     task holds one part of a group and the results of its other parts, and ``merge(frame of all part results)``
-    gives the group's result. If the table has more than ``hotRows`` rows, rows are dealt by hash to parts in several
-    tasks (a small group may then stay in one part). The group fails if any part fails. ``errors`` has the keys,
-    ``status`` and ``error``.
+    gives the group's result. The rows of a group of more than ``hotRows`` rows are dealt by hash to parts in several
+    tasks. The group fails if any part fails. ``errors`` has the keys, ``status`` and ``error``.
 
     A result that does not fit ``schema`` is a failure of its group like an exception. Frames are
     those of Arrow: timestamps in the session's time zone, structs and maps as dictionaries.
@@ -128,21 +127,25 @@ def guarded_apply(df, keys, fn, schema, merge=None):
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields, marks = schema.fieldNames(), [f"_key_{i}" for i in range(len(keys))]
     marked = df.withColumns(dict(zip(marks, map(F.col, keys))))
-    width = 1 if merge is None else df.count() // limit(spark, "hotRows") + 1
+    most = limit(spark, "hotRows")
+    hot = None if merge is None else keys_above(marked.select(*marks), marks, most)
+    hot = hot if hot is None else sized_broadcast(hot)
     scratch = Scratch(spark, "guarded")
-    if width == 1:
-        work = _whole(fn) if merge is None else _in_parts(fn, merge)
-        ran = scratch.put(_guarded(marked, marks, work, schema), "ran")[0]
-        done, failed = ran.where("NOT _failed"), ran.where("_failed").select(*marks, "_error")
-    else:
+    work = _whole(fn) if merge is None else _in_parts(fn, merge)
+    cold = marked if hot is None else key_join(marked, hot, marks, "left_anti")
+    ran = scratch.put(_guarded(cold, marks, work, schema), "ran")[0]
+    done, failed = ran.where("NOT _failed"), ran.where("_failed").select(*marks, "_error")
+    if hot is not None:
+        large = key_join(marked, hot, marks, "left_semi")
+        width = large.count() // most + 1
         # Equal rows are told apart by the task that read them.
         part = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(width)).cast("int")
-        ran = scratch.put(_guarded(marked.withColumn(PART, part), [*marks, PART], _in_parts(fn), schema), "ran")[0]
-        failed = ran.where("_failed").groupBy(*marks).agg(F.min_by("_error", PART).alias("_error"))
-        parts = key_join(ran.where("NOT _failed"), failed, marks, "left_anti").select(*marks, *fields)
+        ran = scratch.put(_guarded(large.withColumn(PART, part), [*marks, PART], _in_parts(fn), schema), "parts")[0]
+        stopped = ran.where("_failed").groupBy(*marks).agg(F.min_by("_error", PART).alias("_error"))
+        parts = key_join(ran.where("NOT _failed"), stopped, marks, "left_anti").select(*marks, *fields)
         merged = scratch.put(_guarded(parts, marks, _whole(merge), schema), "merged")[0]
-        done = merged.where("NOT _failed")
-        failed = failed.unionByName(merged.where("_failed").select(*marks, "_error"))
+        done = done.unionByName(merged.where("NOT _failed"))
+        failed = failed.unionByName(stopped).unionByName(merged.where("_failed").select(*marks, "_error"))
     named = [F.col(mark).alias(key) for mark, key in zip(marks, keys)]
     errors = failed.select(*named, F.lit("TaskFailed").alias("status"), F.col("_error").alias("error"))
     return done.select(*fields), errors

@@ -180,3 +180,15 @@ def test_a_large_group_is_never_one_frame(spark):
     results, errors = runs.guarded_apply(df, ["k"], largest, "k long, rows long", merge=most)
     [(k, n)] = rows(results)
     assert k == 1 and n <= 10_000 and rows(errors) == [(0, "TaskFailed", "late")]
+
+
+def test_small_groups_of_a_large_table_are_not_dealt_out(spark, limits):
+    df = spark.range(0, 400).selectExpr("IF(id < 200, 0, id % 20 + 1) AS k", "id AS v")
+
+    def total(group):
+        return group.groupby("k", as_index=False)["v"].sum()
+
+    with limits(hotRows=50):
+        results, errors = runs.guarded_apply(df, ["k"], total, "k long, v long", merge=lambda parts: parts.head(1).assign(v=len(parts)))
+        [(_, most), *small] = rows(results)
+    assert most > 2 and small == [(k, 2) for k in range(1, 21)] and rows(errors) == []
