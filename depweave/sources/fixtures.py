@@ -25,13 +25,18 @@ def event_tasks(spark, sf_dir):
 
 
 def event_edges(tasks):
-    """Acyclic edges over `event_tasks`; the first three tasks of each graph are roots."""
-    slots = tasks.where("task_id > 3").withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1))))
-    return slots.groupBy(
+    """Acyclic edges over `event_tasks`; the first three tasks of each graph are roots.
+
+    A task id occurs once per graph, so only the two slots of one row can give the same edge; slot 0 has the smaller number.
+    """
+    late = tasks.where("task_id > 3").withColumns({"_near": F.expr("1 + seq % (task_id - 1)"), "_far": F.expr("1 + seq div 7 % (task_id - 1)")})
+    slots = late.withColumn("slot", F.explode(F.when(F.col("_near").eqNullSafe(F.col("_far")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    return slots.select(
         "graph_id",
         F.col("task_id").alias("dependent_id"),
-        F.expr("1 + if(slot = 0, seq, seq div 7) % (task_id - 1)").alias("dependency_id"),
-    ).agg(F.min(F.expr("((seq * 7919) % 1000003) * 2 + slot")).alias("edge_seq"))
+        F.expr("if(slot = 0, _near, _far)").alias("dependency_id"),
+        F.expr("((seq * 7919) % 1000003) * 2 + slot").alias("edge_seq"),
+    )
 
 
 def event_candidates(spark, sf_dir):

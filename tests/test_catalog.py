@@ -27,3 +27,20 @@ def test_admission_verdict_counts(spark):
     assert dict(map(tuple, found)) == {
         "invalid_handle": 24, "cross_graph": 85, "self": 11, "missing": 14, "cycle": 10, "duplicate": 95, "ok": 761,
     }
+
+
+def test_event_edges_need_no_grouping(spark):
+    """The edges are those of the grouped form, made in one scan: no task holds a table of them."""
+    from pyspark.sql import functions as F
+
+    from depweave.sources import fixtures as fx
+
+    tasks = spark.range(0, 400).selectExpr("id % 3 AS graph_id", "id div 3 + 1 AS task_id", "IF(id % 50 = 49, NULL, id * id % 917) AS seq")
+    slots = tasks.where("task_id > 3").withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1))))
+    grouped = slots.groupBy(
+        "graph_id", F.col("task_id").alias("dependent_id"), F.expr("1 + if(slot = 0, seq, seq div 7) % (task_id - 1)").alias("dependency_id")
+    ).agg(F.min(F.expr("((seq * 7919) % 1000003) * 2 + slot")).alias("edge_seq"))
+    made = fx.event_edges(tasks)
+    assert made.schema.names == grouped.schema.names and made.count() < slots.count()
+    assert sorted(map(str, made.collect())) == sorted(map(str, grouped.collect()))
+    assert "Exchange" not in made._jdf.queryExecution().toString()
