@@ -41,7 +41,9 @@ def run_outcome(order, outcomes):
     Tasks before it in run order are ``executed``; it is ``failed``; all others, and tasks
     that are never released, are ``not_started``.
     """
-    run = order.join(outcomes, ["graph_id", "task_id"], "left")
+    # Both sides are large, whatever their compressed files seem to say, and the result is read twice.
+    joined = order.join(outcomes.hint("merge"), ["graph_id", "task_id"], "left")
+    run = Scratch(order.sparkSession, "outcomes").put(joined, "run")[0]
     stops = run.where("failed").groupBy("graph_id").agg(F.min("position").alias("_stop"))
     position, stop = F.col("position"), F.col("_stop")
     outcome = (

@@ -192,3 +192,13 @@ def test_small_groups_of_a_large_table_are_not_dealt_out(spark, limits):
         results, errors = runs.guarded_apply(df, ["k"], total, "k long, v long", merge=lambda parts: parts.head(1).assign(v=len(parts)))
         [(_, most), *small] = rows(results)
     assert most > 2 and small == [(k, 2) for k in range(1, 21)] and rows(errors) == []
+
+
+def test_the_order_is_joined_once_and_never_broadcast(spark):
+    order = spark.range(1, 9).selectExpr("id % 2 AS graph_id", "id AS task_id", "0L AS level", "id AS position")
+    outcomes = order.selectExpr("graph_id", "task_id", "task_id = 5 AS failed", "'no' AS error", "1L AS cost_us")
+    run = runs.run_outcome(order, outcomes)
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Inner" not in plan
+    found = {r.task_id: r.outcome for r in run.collect()}
+    assert found == {1: "executed", 3: "executed", 5: "failed", 7: "not_started", **dict.fromkeys((2, 4, 6, 8), "executed")}
