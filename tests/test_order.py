@@ -208,6 +208,18 @@ def test_blocks_take_a_round_per_change_of_block(spark, limits, written):
     assert sum(name.startswith("steps/") for name, _ in written) == 4
 
 
+def test_blocks_move_messages_not_tasks(spark, limits, written):
+    n = 600
+    # A chain through four blocks, and a hub whose links are more than a block holds.
+    tasks = [(g, t, t) for g in (1, 2) for t in range(1, n + 1)]
+    edges = [(1, t, t, t - 1) for t in range(2, n + 1)] + [(2, t, t, 7) for t in range(8, n + 1)]
+    with limits(bucketRows=300):
+        found = rows(order.levels(tasks_df(spark, tasks), edges_df(spark, edges), plan="rounds"), "graph_id", "task_id", "level")
+    assert found == [(1, t, t - 1) for t in range(1, n + 1)] + [(2, t, int(t > 7)) for t in range(1, n + 1)]
+    # A row of arrays and rows of state per block, the chain's three messages, the hub: tasks are not written again.
+    assert sum(rows for name, rows in written if name.startswith("steps/")) < 30
+
+
 def test_a_scrambled_chain_is_contracted_in_log_rounds(spark, written):
     n, rng = 3000, random.Random(1)
     ids = rng.sample(range(1, n + 1), n)
