@@ -96,12 +96,13 @@ def _reach_by_rounds(edges, seeds, max_hops):
         "graph_id", "seed_id", F.expr("(rank - 1) div 64 AS block"), F.expr("shiftleft(1L, CAST((rank - 1) % 64 AS INT)) AS bit")
     )
     ranked = scratch.put(ranked, "seeds")[0]
-    visited = MergeLog(scratch, "visited", place, [F.bit_or("mask").alias("mask")], "true", partition_by=["_bucket"])
+    visited = MergeLog(scratch, "visited", place, [F.bit_or("mask").alias("mask")], "true", sort_by=["_bucket"])
 
     def written(rows, name):
         rows = rows.withColumn("_bucket", links.of(*node)).select(*place, "mask")
-        rows = rows.hint("rebalance", "_bucket") if links.n > 1 else rows
-        return scratch.put(rows, name, partition_by=["_bucket"], **links.masks(F.lit(True), *node))
+        # Sorted by bucket, so that a read skips what it does not name; a folder per bucket would be many tiny files.
+        rows = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket") if links.n > 1 else rows
+        return scratch.put(rows, name, **links.masks(F.lit(True), *node))
 
     wave, seen = written(ranked.select("graph_id", F.col("seed_id").alias("node"), "block", F.col("bit").alias("mask")), "met/hops=0")
     schema, hops = T.StructType([*wave.schema.fields, T.StructField("hops", LONG, True)]), 0

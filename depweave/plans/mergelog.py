@@ -21,12 +21,12 @@ WORDS, BITS = 4, 63
 class MergeLog:
     """Newest rows by key; ``newest`` gives the aggregates of a key's rows, ``live`` what is worth keeping.
 
-    With ``partition_by``, columns among the keys, merged runs are stored by their values, as added runs should be.
+    With ``sort_by``, columns among the keys, merged runs are stored in their order, as added runs should be.
     """
 
-    def __init__(self, scratch, name, keys, newest, live, partition_by=()):
+    def __init__(self, scratch, name, keys, newest, live, sort_by=()):
         self.scratch, self.name, self.keys, self.newest, self.live = scratch, name, keys, newest, live
-        self.partition_by = partition_by
+        self.sort_by = list(sort_by)
         self.runs, self.rows_written, self.merges = [], 0, 0
 
     def add(self, table, rows, drop=None):
@@ -42,8 +42,8 @@ class MergeLog:
         rows = self._union([table for _, table, *_ in merged])
         name = f"{self.name}-merged-{self.merges}"
         rows = rows.groupBy(*self.keys).agg(*self.newest).where(self.live)
-        rows = rows.hint("rebalance", *self.partition_by) if self.partition_by else rows
-        table, seen = self.scratch.put(rows, name, self.partition_by)
+        rows = rows.hint("rebalance", *self.sort_by).sortWithinPartitions(*self.sort_by) if self.sort_by else rows
+        table, seen = self.scratch.put(rows, name)
         self.merges += 1
         self.rows_written += seen["rows"]
         self.runs.append((merged[0][0] + 1, table, lambda: self.scratch.drop(name), seen["rows"]))

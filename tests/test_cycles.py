@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from frames_of import edges_df, graph, offers_df, offers_in_graph_1, tasks_df
 from model import admit, knots, queue_run, random_graphs, reaches, rows
 
 from depweave.operators import cycles, edges as edge_ops, reach
-from depweave.plans.mergelog import Buckets
+from depweave.plans.mergelog import Buckets, MergeLog
 from depweave.plans.scratch import Scratch
 
 PLANS = {"packs": {}, "rounds": {"graphRows": 1}}
@@ -60,6 +61,19 @@ def test_reachable_tasks_and_hops(spark, limits, plan, direction, max_hops):
     assert found == sorted(expected)
 
 
+def test_waves_are_few_files_however_many_buckets_they_meet(spark, limits, monkeypatch):
+    n, rng = 400, random.Random(6)
+    tasks, edges = graph(spark, n, sorted({(t, rng.randrange(1, t)) for t in range(2, n + 1)}))
+    seeds = tasks.where("task_id % 3 = 0").select("graph_id", "task_id")
+    add, files = MergeLog.add, []
+    monkeypatch.setattr(MergeLog, "add", lambda self, table, rows, drop=None: files.append(len(table.inputFiles())) or add(self, table, rows, drop))
+    plain = rows(reach.reachable(edges, seeds))
+    with limits(bucketRows=40):
+        assert rows(reach.reachable(edges, seeds, plan="rounds")) == plain
+    # Nine buckets, two shuffle partitions.
+    assert files and max(files) <= 2
+
+
 def test_many_searches_share_rows_and_hops_read_the_buckets_they_touch(spark, limits, monkeypatch):
     n, rng = 400, random.Random(6)
     pairs = {(t, t - 1) for t in range(2, n + 1)} | {(rng.randrange(2, n + 1), 1) for _ in range(60)} | {(1, n)}
