@@ -25,6 +25,8 @@ KNOT = T.StructType(
 )
 # Offers of one component that are decided at a time when the component is beyond one task.
 BATCH_OFFERS = 1024
+# Rows of a pack, in whole graphs, that are decided together.
+TOGETHER = 20_000
 DECIDED = T.StructType(
     [
         T.StructField("graph_id", LONG, True),
@@ -365,22 +367,28 @@ def _follow_batch(offers, met):
 
 def _admit_packs(tiers, rows):
     """Decide the groups that fit one task, a pack at a time."""
-
-    def kernel(rows):
-        offered = np.argsort(rows["edge_seq"], kind="stable")
-        rows = {name: values[offered] for name, values in rows.items()}
+    return tiers.run(_admit_pack, DECIDED, tiers.small(rows))
+
+
+def _admit_pack(rows):
+    """Graphs of a pack do not meet, so a few are decided at a time: their neighbour sets are by far the largest part of the memory."""
+    offered = np.lexsort((rows["edge_seq"], rows["graph_id"]))
+    rows = {name: values[offered] for name, values in rows.items()}
+    fixed = rows["fixed"].astype(bool)
+    accepted = np.ones(len(fixed), dtype=bool)
+    begins = np.flatnonzero(np.diff(rows["graph_id"], prepend=rows["graph_id"][:1] - 1))
+    cuts = np.unique(begins[np.searchsorted(begins, np.arange(0, begins[-1] + 1, TOGETHER))]) if len(begins) else begins
+    for begin, end in zip(cuts, np.append(cuts[1:], len(fixed))):
+        some = {name: values[begin:end] for name, values in rows.items()}
         graphs, ids = kernels.nodes_of(
-            np.concatenate([rows["graph_id"]] * 2), np.concatenate([rows["dependent_id"], rows["dependency_id"]])
+            np.concatenate([some["graph_id"]] * 2), np.concatenate([some["dependent_id"], some["dependency_id"]])
         )
         find = kernels.finder(graphs, ids)
-        fixed = rows["fixed"].astype(bool)
-        accepted = kernels.admit(
-            len(ids), find(rows["graph_id"], rows["dependent_id"]), find(rows["graph_id"], rows["dependency_id"]), fixed
+        accepted[begin:end] = kernels.admit(
+            len(ids), find(some["graph_id"], some["dependent_id"]), find(some["graph_id"], some["dependency_id"]), fixed[begin:end]
         )
-        return {
-            "graph_id": rows["graph_id"][~fixed],
-            "edge_seq": rows["edge_seq"][~fixed],
-            "accepted": accepted[~fixed],
-        }
-
-    return tiers.run(kernel, DECIDED, tiers.small(rows))
+    return {
+        "graph_id": rows["graph_id"][~fixed],
+        "edge_seq": rows["edge_seq"][~fixed],
+        "accepted": accepted[~fixed],
+    }

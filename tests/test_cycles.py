@@ -155,6 +155,20 @@ def test_admission_equals_one_by_one(spark, limits, plan):
     assert "cycle" in expected.values()
 
 
+def test_a_pack_is_decided_a_few_graphs_at_a_time(monkeypatch):
+    rng, sizes, admit_some = np.random.default_rng(4), [], cycles.kernels.admit
+    n = 90_000
+    pack = {"graph_id": rng.integers(1, 3000, n), "edge_seq": rng.permutation(n), "dependent_id": rng.integers(1, 9, n)}
+    pack |= {"dependency_id": rng.integers(1, 9, n), "fixed": np.zeros(n, dtype=bool)}
+    monkeypatch.setattr(cycles, "TOGETHER", n)
+    whole = cycles._admit_pack(pack)
+    monkeypatch.undo()
+    monkeypatch.setattr(cycles.kernels, "admit", lambda n, late, *rest: sizes.append(len(late)) or admit_some(n, late, *rest))
+    parts = cycles._admit_pack(pack)
+    assert all((whole[name] == parts[name]).all() for name in whole) and not whole["accepted"].all()
+    assert sum(sizes) == n and max(sizes) < 21_000
+
+
 def test_many_random_admissions(spark):
     for seed in range(3):
         rng = random.Random(seed)
