@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from depweave.operators.order import levels
 from depweave.plans import kernels
+from depweave.plans.limits import limit
 from depweave.plans.mergelog import Buckets, MergeLog
 from depweave.plans.packs import Tiers
 from depweave.plans.scratch import Scratch
@@ -216,24 +217,33 @@ def _probe_by_rounds(edges, probes):
     edges = scratch.put(edges.join(target_level, ["graph_id", "target"], "left"), "levelled")[0]
     place = ["graph_id", "block", "node"]
     start = starts.drop("floor").join(floors, ["graph_id", "block"]).withColumnRenamed("dependency_id", "node")
+    search = ["graph_id", "block", "mask"]
     sought = probes.join(starts.drop("floor"), start_key).withColumn("node", F.col("dependent_id"))
+    asked = sought.groupBy(*search).agg(F.count(F.lit(1)).alias("asked"))
+    # A probe knows how many its search has, so answers alone tell when a search may retire.
+    sought, left = scratch.put(sought.join(asked, search), "sought")
+    open_probes = left["rows"]
     wave, seen = scratch.put(start.select(*place, "floor", "mask"), "met/hop=0")
     schema, hop = T.StructType([*wave.schema.fields, T.StructField("hop", LONG, True)]), 0
-    while True:
-        # Probes still without an answer; a search whose probes all have one goes no further.
-        at = wave.select(*place, F.col("mask").alias("at"))
-        unmet = sought.join(at, place, "left").where("mask & coalesce(at, 0L) = 0").drop("at")
-        sought, left = scratch.put(unmet, f"sought-{hop}")
-        if not seen["rows"] or not left["rows"]:
+    answered = T.StructType([*sought.schema.fields, T.StructField("hop", LONG, True)])
+    most = limit(edges.sparkSession, "broadcastRows")
+    while seen["rows"]:
+        # Answers of this hop; a task is met once by a search, so a probe is answered once.
+        at = sized(wave.select(*place, F.col("mask").alias("at")), seen["rows"], most)
+        _, found = scratch.put(sought.join(at, place).where("mask & at <> 0").drop("at"), f"answered/hop={hop}")
+        open_probes -= found["rows"]
+        if not open_probes:
             break
-        live = sought.groupBy("graph_id", "block").agg(F.bit_or("mask").alias("live"))
-        met = scratch.get("met", schema).groupBy(*place).agg(F.bit_or("mask").alias("old"))
+        done = scratch.get("answered", answered).groupBy(*search).agg(F.max("asked").alias("asked"), F.count(F.lit(1)).alias("n"))
+        done = done.where("n = asked").groupBy("graph_id", "block").agg(F.bit_or("mask").alias("done"))
+        live = wave.join(done, ["graph_id", "block"], "left").withColumn("mask", F.expr("mask & ~coalesce(done, 0L)")).where("mask <> 0").drop("done")
+        met = scratch.get("met", schema)
+        if seen["rows"] <= most:
+            # What was met elsewhere is not shuffled for a small wave.
+            met = met.join(F.broadcast(wave.select("graph_id", "block").distinct()), ["graph_id", "block"], "left_semi")
+        met = met.groupBy(*place).agg(F.bit_or("mask").alias("old"))
         step = (
-            wave.withColumnRenamed("node", "source")
-            .join(live, ["graph_id", "block"])
-            .withColumn("mask", F.expr("mask & live"))
-            .where("mask <> 0")
-            .join(edges, ["graph_id", "source"])
+            edges.join(sized(live.withColumnRenamed("node", "source"), seen["rows"], most), ["graph_id", "source"])
             .where(F.coalesce(F.col("target_level") >= F.col("floor"), F.lit(True)))
             .groupBy("graph_id", "block", F.col("target").alias("node"))
             .agg(F.min("floor").alias("floor"), F.bit_or("mask").alias("new"))
@@ -243,5 +253,10 @@ def _probe_by_rounds(edges, probes):
         )
         hop += 1
         wave, seen = scratch.put(step, f"met/hop={hop}")
-    unanswered = sought.select(*PROBE, F.lit(False).alias("found"))
-    return probes.join(unanswered, PROBE, "left").select(*PROBE, F.coalesce("found", F.lit(True)).alias("would_cycle"))
+    found = scratch.get("answered", answered).select(*PROBE, F.lit(True).alias("found"))
+    return probes.join(found, PROBE, "left").select(*PROBE, F.coalesce("found", F.lit(False)).alias("would_cycle"))
+
+
+def sized(rows, n, most):
+    """A broadcast of ``rows`` where the counted ``n`` allows it."""
+    return F.broadcast(rows) if n <= most else rows

@@ -250,3 +250,19 @@ def test_a_search_ends_with_its_hit(spark, monkeypatch):
         assert found == {(a, b): (a, b) != (30, 2) for _, a, b in offers}
         waves = [rows for name, rows in written if name.startswith("met/hop=")]
         assert sum(rows > 0 for rows in waves) - 1 <= hops and len(waves) <= hops + 2
+
+
+def test_open_probes_are_written_once(spark, monkeypatch):
+    """However many hops there are, a probe is written when it is asked and when it is answered."""
+    n, written, put = 12, [], Scratch.put
+
+    def noted(self, df, name, *args, **kw):
+        found = put(self, df, name, *args, **kw)
+        written.append((name, found[1]["rows"]))
+        return found
+
+    _, edges = graph(spark, n, [(t, t - 1) for t in range(2, n + 1)])
+    cand = spark.createDataFrame([(1, 1, n), (1, n, 1), (1, n, 2), (1, 3, 8)], "graph_id long, dependent_id long, dependency_id long")
+    monkeypatch.setattr(Scratch, "put", noted)
+    assert rows(reach.probe_cycles(edges, cand, plan="rounds"), "dependent_id", "would_cycle") == [(1, True), (3, True), (n, False), (n, False)]
+    assert sum(rows for name, rows in written if name.startswith(("sought", "answered"))) == 6
