@@ -7,15 +7,19 @@ of its class after the class before it, times its own within its class.
 * The ``CLUSTERED`` most frequent words are clustered into ``CLASSES`` classes by exchange: each
   word in turn moves to the class that gains most likelihood of the class bigrams, with all
   counts kept up to date, until no word moves or ``SWEEPS`` are done. The exchange works on
-  the bigram counts of these words and of the classes of all others, over the whole training
+  the bigram counts of these words and of the endings of all others, over the whole training
   corpus: a matrix whose size is fixed by the two parameters.
-* All other words, unseen ones too, are in one of ``ENDINGS`` classes by their last three bytes.
-* Transitions are smoothed towards class frequencies, emissions give ``DISCOUNT`` of each seen
-  word to the unseen word of its class.
-
-Scoring is one scan. Words of the frequency table (at most ``FREQUENT`` of them, broadcast)
-are scored in place; a document's other words are looked up by a join with the unigram
-counts and added up per document.
+* Every other training word, however rare, then moves to the class that gains most by the same measure,
+  from its counts with the classes before and after it: first those of the frequency table (at most
+  ``FREQUENT`` words, broadcast), all at once, then the rest, all at once; words that have not moved yet stand as one of ``ENDINGS``
+  classes by their last three bytes. A word's counts are one row of a grouped table, so words are judged by Spark tasks.
+* The class bigrams are counted over all tokens with every word in its final class. What ties two
+  words beyond the frequency table is counted by a join with their classes.
+* Unseen words have one class per ending. ``DISCOUNT`` of each word that moved by itself goes to the unseen word of
+  its ending, with a like share of its class's transitions.
+
+Scoring is one scan that looks up the words of the frequency table and leaves a document as its
+units; the other words' classes and counts come by a join, one row per word of a document, and go back to the document's units.
 
 Defined results: a NULL text is empty and has one token, its end; repeated rows are scored each; an
 empty training set leaves uniform transitions and the unseen word of each class. Words are
@@ -24,6 +28,7 @@ told apart by a 58-bit hash and their ending.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from depweave.llm import rolling
@@ -35,6 +40,8 @@ CLASSES = 64
 ENDINGS = 64
 FREQUENT = 1 << 17
 SWEEPS = 8
+# Class counts that are compared at a time.
+JUDGED = 1 << 15
 DISCOUNT = 0.7
 PRIOR = 20.0
 HELD_WORDS = 1 << 21
@@ -110,9 +117,6 @@ def exchange(pairs, n_words, n_classes, sweeps=SWEEPS):
     cells = np.zeros((total, total))
     np.add.at(cells, (label[:, None], label[None, :]), pairs)
 
-    def nlogn(x):
-        return x * np.log(np.maximum(x, 1e-9))
-
     def by_class(values):
         return np.bincount(label, weights=values, minlength=total)
 
@@ -154,8 +158,12 @@ def exchange(pairs, n_words, n_classes, sweeps=SWEEPS):
 class ClassModel:
     """What scoring needs besides the rare words: fixed-size tables."""
 
-    def __init__(self, frequent, counts, clustered, label, cells, endings_total, endings_types, n_tokens, n_types):
-        """``frequent`` is sorted; ``clustered`` holds the places of the clustered words in it."""
+    def __init__(self, frequent, counts, clustered, label, cells, endings_total, endings_types, n_tokens, n_types, kept=None, members=None):
+        """``frequent`` is sorted; ``clustered`` holds the places of the clustered words in it.
+
+        ``kept`` is what is left of their counts after the discount, ``members`` its sum per class, with words
+        that are not in ``frequent``; by default nothing is taken from clustered words and they are all of their class.
+        """
         self.frequent, self.n_tokens, self.n_types = frequent, int(n_tokens), int(n_types)
         n_classes = len(cells)
         self.end = n_classes - 1
@@ -163,37 +171,129 @@ class ClassModel:
         follow = cells.sum(axis=0)
         prior = (follow + 1) / (follow.sum() + n_classes)
         self.transition = np.log10((cells + PRIOR * prior) / (cells.sum(axis=1, keepdims=True) + PRIOR))
-        self.ending_total = np.maximum(endings_total, 1).astype(float)
+        self.ending_total = np.where(endings_total > 0, endings_total, 1).astype(float)
         self.unseen = np.log10(np.where(endings_types > 0, DISCOUNT * endings_types / self.ending_total, 1.0))
         self.log_total = np.log10(self.ending_total)
         self.word_class = self.first_ending + (frequent & np.uint64(ENDINGS - 1)).astype(np.int64)
         self.emission = np.log10(np.maximum(counts - DISCOUNT, 1e-9)) - self.log_total[self.word_class - self.first_ending]
         if len(clustered):
             self.word_class[clustered] = label
-            members = np.bincount(label, weights=counts[clustered], minlength=self.first_ending)
-            self.emission[clustered] = np.log10(counts[clustered] / members[label])
+            kept = counts[clustered] if kept is None else kept
+            members = np.bincount(label, weights=kept, minlength=self.first_ending) if members is None else members
+            self.emission[clustered] = np.log10(kept / members[label])
+        self.log_members = np.log10(np.maximum(members, 1e-9)) if members is not None else np.zeros(self.first_ending)
         self.log_count = np.log10(counts + 1.0)
 
-    def score(self, words, edges):
-        """Per row: tokens, known tokens, base sum of log10(c + 1), score, and the rare words by row."""
+    def look_up(self, words, edges):
+        """Per row: tokens, known tokens, base sum of log10(c + 1), emissions of known words; units and edges; the rare words of all rows.
+
+        A unit is a class, or -1 - (64 * place + ending) of a word that is not in the table, by its place among the row's rare words.
+        """
         n_rows, rows = len(edges) - 1, np.repeat(np.arange(len(edges) - 1), np.diff(edges))
         at = find(self.frequent, words)
         known = at >= 0
-        classes = np.where(known, self.word_class[at] if len(self.frequent) else 0, self.first_ending + (words & np.uint64(ENDINGS - 1)).astype(np.int64))
-        units, unit_edges = with_ends(classes, edges, self.end)
-        before = np.concatenate([[self.end], units[:-1]])
-        steps = np.concatenate([[0.0], np.cumsum(self.transition[before, units])])
-        score = steps[unit_edges[1:]] - steps[unit_edges[:-1]]
-        base = np.zeros(n_rows)
+        emitted, base = np.zeros(n_rows), np.zeros(n_rows)
+        units = np.zeros(len(words), dtype=np.int64)
         if known.any():
-            score += np.bincount(rows[known], weights=self.emission[at[known]], minlength=n_rows)
+            units[known] = self.word_class[at[known]]
+            emitted += np.bincount(rows[known], weights=self.emission[at[known]], minlength=n_rows)
             base += np.bincount(rows[known], weights=self.log_count[at[known]], minlength=n_rows)
         n_known = np.bincount(rows[known], minlength=n_rows)
-        return np.diff(unit_edges), n_known, base, score, words[~known], rows[~known]
+        rare_words, rare_rows, each = _distinct(rows[~known], words[~known])
+        rare_edges = np.searchsorted(rare_rows, np.arange(n_rows + 1))
+        place = each - rare_edges[rows[~known]]
+        units[~known] = -1 - (place * ENDINGS + (words[~known] & np.uint64(ENDINGS - 1)).astype(np.int64))
+        units, unit_edges = with_ends(units, edges, self.end)
+        return np.diff(unit_edges), n_known, base, emitted, units, unit_edges, rare_words, rare_edges
+
+    def finish(self, units, lengths, n_rare, of, place, label, counts):
+        """Per row: known rare tokens, their base sum, and the score of all transitions and of the rare words.
+
+        ``units`` are those of ``look_up``; entry i says that rare word ``place[i]`` of row ``of[i]`` has a class and a count.
+        """
+        rows = np.repeat(np.arange(len(lengths)), lengths)
+        first = np.cumsum(n_rare) - n_rare
+        classes, seen = np.full(int(n_rare.sum()), -1), np.zeros(int(n_rare.sum()))
+        classes[first[of] + place], seen[first[of] + place] = label, counts
+        asked = np.flatnonzero(units < 0)
+        code = -1 - units[asked].astype(np.int64)
+        at, ending, owner = first[rows[asked]] + code // ENDINGS, code % ENDINGS, rows[asked]
+        found = classes[at] >= 0
+        units = units.astype(np.int64)
+        units[asked] = np.where(found, classes[at], self.first_ending + ending)
+        emission = np.where(found, np.log10(np.maximum(seen[at] - DISCOUNT, 1e-9)) - self.log_members[np.maximum(classes[at], 0)], self.unseen[ending])
+        before = np.concatenate([[self.end], units[:-1]])
+        score = np.bincount(rows, weights=self.transition[before, units], minlength=len(lengths))
+        score += np.bincount(owner, weights=emission, minlength=len(lengths))
+        known = np.bincount(owner[found], minlength=len(lengths))
+        return known, np.bincount(owner, weights=np.log10(seen[at] + 1.0), minlength=len(lengths)), score
+
+
+def nlogn(x):
+    return x * np.log(np.maximum(x, 1e-9))
+
+
+def best_classes(firsts, keys, counts, cells, n_classes=CLASSES):
+    """The class among the first ``n_classes`` that gains most by each word, and the words' counts.
+
+    Word i has the entries from ``firsts[i]`` on. An entry counts the class ``key`` after the word, or the class
+    ``key - len(cells)`` before it. ``cells`` counts class pairs without these words, or with them in other classes.
+    """
+    n, k = len(cells), slice(0, n_classes)
+    base = np.concatenate([cells[k].T, cells[:, k]])
+    of_base, with_one = nlogn(base), nlogn(base + 1) - nlogn(base)
+    row, column = cells.sum(axis=1)[k], cells.sum(axis=0)[k]
+    ends = np.append(firsts[1:], len(keys))
+    times = np.add.reduceat(np.where(keys < n, counts, 0), firsts) if len(firsts) else np.zeros(0, dtype=np.int64)
+    label, low = np.zeros(len(firsts), dtype=np.int64), 0
+    while low < len(firsts):
+        high = max(low + 1, int(np.searchsorted(ends, firsts[low] + JUDGED, side="right")))
+        part = slice(firsts[low], ends[high - 1])
+        key, count = keys[part], counts[part]
+        gain = with_one[key]
+        more = np.flatnonzero(count > 1)
+        gain[more] = nlogn(base[key[more]] + count[more, None]) - of_base[key[more]]
+        gain = np.add.reduceat(gain, firsts[low:high] - firsts[low], axis=0)
+        c = times[low:high, None]
+        gain -= nlogn(row + c) - nlogn(row) + nlogn(column + c) - nlogn(column)
+        label[low:high] = np.argmax(gain, axis=1)
+        low = high
+    return label, times
+
+
+def moved(stats, cells):
+    """Classes of words from ``stats`` (word, key, n), see ``best_classes``.
+
+    Rows (kind 0, word, n, class), and (kind 1, cell, n, NULL) with the bigrams of these words and moved classes or ends.
+    """
+    n, end = len(cells), len(cells) - 1
+    sums = stats.repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    lists = sums.groupBy("word").agg(F.collect_list(F.struct(F.col("key").cast("int").alias("key"), "n")).alias("seen"))
+    shared = stats.sparkSession.sparkContext.broadcast(cells)
+
+    def judged(batches):
+        bigrams = np.zeros(n * n, dtype=np.int64)
+        for batch in batches:
+            seen = batch.column("seen")
+            entries = seen.flatten()
+            keys, counts = entries.field("key").to_numpy().astype(np.int64), entries.field("n").to_numpy()
+            lengths = np.diff(seen.offsets.to_numpy())
+            label, times = best_classes(np.cumsum(lengths) - lengths, keys, counts, shared.value)
+            own, other = np.repeat(label, lengths), keys % n
+            kept = (other < CLASSES) | (other == end)
+            pair = np.where(keys < n, own * n + other, other * n + own)[kept]
+            bigrams += np.bincount(pair, weights=counts[kept], minlength=n * n).astype(np.int64)
+            yield pa.record_batch({"kind": np.zeros(len(label), dtype=np.int32), "word": batch.column("word"), "n": times, "class": label.astype(np.int32)})
+        some = np.flatnonzero(bigrams)
+        yield pa.record_batch(
+            {"kind": np.ones(len(some), dtype=np.int32), "word": some, "n": bigrams[some], "class": pa.nulls(len(some), pa.int32())}
+        )
+
+    return lists.mapInArrow(judged, "kind int, word bigint, n bigint, class int")
 
 
 def learn(texts, scratch):
-    """Fit on all rows of ``texts`` (column text); returns the model and the unigram table (word, n)."""
+    """Fit on all rows of ``texts`` (column text); returns the model and the words it does not hold (word, n, class)."""
     texts = texts.select(whole().alias("text"))
 
     def words(batches):
@@ -236,82 +336,177 @@ def learn(texts, scratch):
     matrix[bigrams.column("pair").to_numpy()] = bigrams.column("n").to_numpy()
     del bigrams
     label, cells = exchange(matrix.reshape(n_units, n_units), n_clustered, CLASSES)
-    clustered_words = frequent[clustered].view(np.int64).tolist()
-    ending = (F.col("word").bitwiseAND(F.lit(ENDINGS - 1))).alias("ending")
-    by_ending = unigrams.groupBy(ending).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
-    totals, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for row in by_ending:
-        totals[row["ending"]], types[row["ending"]] = row["n"], row["types"]
-    own = np.array(clustered_words, dtype=np.int64).view(np.uint64) & np.uint64(ENDINGS - 1)
-    totals -= np.bincount(own.astype(np.int64), weights=counts[clustered], minlength=ENDINGS)
-    types -= np.bincount(own.astype(np.int64), minlength=ENDINGS)
-    model = ClassModel(frequent, counts, clustered, label[:n_clustered], cells, totals, types, seen["tokens"] + n_texts, seen["rows"] + (n_texts > 0))
+    n, end = len(cells), len(cells) - 1
+    ending_of = (frequent & np.uint64(ENDINGS - 1)).astype(np.int64)
+    classes, rest = CLASSES + ending_of, np.ones(len(frequent), dtype=bool)
+    classes[clustered], rest[clustered] = label[:n_clustered], False
+    table = texts.sparkSession.sparkContext.broadcast((frequent, classes, rest))
+
+    def contexts_of(words, edges):
+        frequent, classes, rest = table.value
+        at = find(frequent, words)
+        units, _ = with_ends(_classes_at(classes, at, words), edges, end)
+        at, _ = with_ends(at, edges, -1)
+        before = np.concatenate([[end], units[:-1]])
+        own = np.flatnonzero(at >= 0)
+        own = own[rest[at[own]]]
+        return np.concatenate([at[own] * 2 * n + units[own + 1], at[own] * 2 * n + n + before[own]]).astype(np.uint64)
+
+    def contexts(batches):
+        yield from _counted(batches, contexts_of, "key")
+
+    stats = texts.mapInArrow(contexts, "key bigint, n bigint").selectExpr(f"key div {2 * n} AS word", f"key % {2 * n} AS key", "n")
+    found = moved(stats, cells).where("kind = 0").select("word", "class").toArrow()
+    classes = classes.copy()
+    classes[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    rare, cells = _rare_classes(texts, frequent, classes, scratch)
+    # Words that moved by themselves, by class and ending.
+    types = np.zeros((CLASSES, ENDINGS))
+    np.add.at(types, (classes[rest], ending_of[rest]), 1)
+    ending = F.col("word").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")
+    for row in rare.groupBy("class", ending).agg(F.count(F.lit(1)).alias("types")).collect():
+        types[row["class"], row["ending"]] += row["types"]
+    members = cells.sum(axis=0)[:CLASSES]
+    share = DISCOUNT * types / np.maximum(members, 1)[:, None]
+    # A class's transitions, what unseen words take of those into it and what they share of those out of it.
+    into, out_of = np.eye(n), np.eye(n)
+    into[:CLASSES, CLASSES:end] = share
+    into[np.arange(CLASSES), np.arange(CLASSES)] -= share.sum(axis=1)
+    out_of[CLASSES:end, :CLASSES] = share.T
+    cells = out_of @ cells @ into
+    of_ending = types.sum(axis=0)
+    model = ClassModel(
+        frequent, counts, np.arange(len(frequent)), classes, cells, DISCOUNT * of_ending, of_ending, seen["tokens"] + n_texts, seen["rows"] + (n_texts > 0),
+        kept=counts - DISCOUNT * rest, members=members - DISCOUNT * types.sum(axis=1),
+    )
     model.n_texts = n_texts
-    return model, unigrams
+    return model, rare
+
+
+def _classes_at(classes, at, words):
+    """Classes by place in the frequency table; those of their ending for words that are not in it."""
+    out = CLASSES + (words & np.uint64(ENDINGS - 1)).astype(np.int64)
+    out[at >= 0] = classes[at[at >= 0]]
+    return out
+
 
+def _rare_classes(texts, frequent, classes, scratch):
+    """(word, n, class) of all training words outside the frequency table, and the bigram counts of all final classes."""
+    n, end = CLASSES + ENDINGS + 1, CLASSES + ENDINGS
+    table = texts.sparkSession.sparkContext.broadcast((frequent, classes))
 
-def score(docs, model, unigrams, keep=("doc_id",)):
+    def rows_of(kind, a, b, count):
+        return pa.record_batch({"kind": np.full(len(a), kind, dtype=np.int32), "a": a, "b": b, "n": count})
+
+    def scanned(batches):
+        frequent, classes = table.value
+        cells = np.zeros(n * n, dtype=np.int64)
+        for batch in batches:
+            for _, words, edges in word_slabs(batch.column("text")):
+                at = find(frequent, words)
+                units, _ = with_ends(_classes_at(classes, at, words), edges, end)
+                at, _ = with_ends(at, edges, 0)
+                names, _ = with_ends(words.view(np.int64), edges, 0)
+                before = np.concatenate([[end], units[:-1]])
+                cells += np.bincount(before * n + units, minlength=n * n)
+                own = np.flatnonzero(at < 0)
+                if not len(own):
+                    continue
+                some, each = np.unique(names[own], return_inverse=True)
+                keys, count = np.unique(np.concatenate([each * 2 * n + units[own + 1], each * 2 * n + n + before[own]]), return_counts=True)
+                yield rows_of(1, some[keys // (2 * n)], keys % (2 * n), count)
+                # Rare words next to each other: ends lie between rows.
+                next_to = np.flatnonzero(np.diff(own) == 1)
+                keys, count = np.unique(each[next_to] * len(some) + each[next_to + 1], return_counts=True)
+                yield rows_of(2, some[keys // len(some)], some[keys % len(some)], count)
+        some = np.flatnonzero(cells)
+        yield rows_of(0, some, np.zeros(len(some), dtype=np.int64), cells[some])
+
+    def matrix(rows):
+        out = np.zeros(n * n)
+        cell, count = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
+        out[cell] = count
+        return out.reshape(n, n)
+
+    seen = scratch.put(texts.mapInArrow(scanned, "kind int, a bigint, b bigint, n bigint"), "contexts", partition_by=["kind"])[0]
+    cells = matrix(seen.where("kind = 0").groupBy(F.col("a").alias("cell")).agg(F.sum("n").alias("n")).toArrow())
+    judged = moved(seen.where("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("key"), "n"), cells)
+    judged = scratch.put(judged, "rare", partition_by=["kind"])[0]
+    rare = judged.where("kind = 0").select("word", "n", "class")
+    bigrams = judged.where("kind = 1").select(F.col("word").alias("cell"), "n")
+    pairs = seen.where("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    left, right = (rare.select(F.col("word").alias(c), F.col("class").cast("long").alias(f"{c}_class")) for c in ("a", "b"))
+    pairs = pairs.join(left, "a").join(right, "b").select((F.col("a_class") * n + F.col("b_class")).alias("cell"), "n")
+    # Pairs with a word that stood as its ending are those counted here.
+    cells[CLASSES:end], cells[:, CLASSES:end] = 0, 0
+    cells += matrix(bigrams.unionByName(pairs).groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
+    scratch.drop("contexts")
+    return rare, cells
+
+
+def score(docs, model, rare, keep=("doc_id",)):
     """Columns ``keep``, n_tokens, n_known, train_tokens, base_score and score of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     end_known, end_log = int(model.n_texts > 0), float(np.log10(model.n_texts + 1.0))
+    size = float(np.log10(model.n_tokens + model.n_types + 1.0))
 
-    def scored(batches):
+    def looked_up(batches):
         model = shared.value
         for batch in batches:
             for first, words, edges in word_slabs(batch.column("text")):
-                n = len(edges) - 1
-                tokens, known, base, score, rare, rows = model.score(words, edges)
-                keys, counts = _summed_rows(rows, rare)
-                offsets = np.searchsorted(keys[0], np.arange(n + 1)).astype(np.int32)
-                part = batch.slice(first, n)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys[1].view(np.int64)), pa.array(counts)], ["word", "n"]))
-                yield pa.record_batch({"row": part.column("row"), **{c: part.column(c) for c in keep}, "tokens": tokens, "known": known, "base": base, "local": score, "rare": lists})
+                tokens, known, base, emitted, units, unit_edges, rare_words, rare_edges = model.look_up(words, edges)
+                part = batch.slice(first, len(edges) - 1)
+                units = pa.ListArray.from_arrays(pa.array(unit_edges.astype(np.int32)), pa.array(units.astype(np.int32)))
+                asked = pa.ListArray.from_arrays(pa.array(rare_edges.astype(np.int32)), pa.array(rare_words.view(np.int64)))
+                yield pa.record_batch(
+                    {"row": part.column("row"), **{c: part.column(c) for c in keep}, "tokens": tokens, "known": known, "base": base, "emitted": emitted,
+                     "n_rare": np.diff(rare_edges), "units": units, "rare": asked}
+                )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, whole().alias("text"))
-    local = rows.mapInArrow(scored, f"row bigint, {kinds}, tokens bigint, known bigint, base double, local double, rare array<struct<word:bigint,n:bigint>>")
+    fields = "tokens bigint, known bigint, base double, emitted double, n_rare bigint, units array<int>, rare array<bigint>"
+    local = rows.mapInArrow(looked_up, f"row bigint, {kinds}, {fields}")
     local = Scratch(docs.sparkSession, "classes").put(local, "local")[0]
-    totals = F.array(*[F.lit(float(t)) for t in model.log_total])
-    unseen = F.array(*[F.lit(float(u)) for u in model.unseen])
-    asked = local.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    looked = asked.join(unigrams, "word", "left")
-    ending = F.col("word").bitwiseAND(F.lit(ENDINGS - 1)).cast("int")
-    emission = F.when(F.col("n").isNull(), F.get(unseen, ending)).otherwise(F.log10(F.col("n") - DISCOUNT) - F.get(totals, ending))
-    sums = looked.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("r_base"),
-        F.sum(F.col("times") * emission).alias("r_score"),
-    )
-    size = float(np.log10(model.n_tokens + model.n_types + 1.0))
-
-    def zero(name):
-        return F.coalesce(F.col(name), F.lit(0))
-
-    return local.join(sums, "row", "left").select(
-        *keep,
-        F.col("tokens").alias("n_tokens"),
-        (F.col("known") + zero("r_known") + end_known).cast("long").alias("n_known"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("r_base") + end_log - F.col("tokens") * size).alias("base_score"),
-        (F.col("local") + zero("r_score")).alias("score"),
-    )
+    asked = local.select("row", F.posexplode("rare").alias("place", "word"))
+    found = asked.join(rare, "word").groupBy("row").agg(F.collect_list(F.struct("place", "class", "n")).alias("found"))
+    joined = local.drop("rare").join(found, "row", "left")
 
-
-def _summed_rows(rows, words):
-    """((row, word), times) of distinct words per row, by row."""
+    def finished(batches):
+        model = shared.value
+        for batch in batches:
+            units, found = batch.column("units"), batch.column("found")
+            entries, sizes = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            known, base, score = model.finish(
+                units.flatten().to_numpy(), np.diff(units.offsets.to_numpy()), batch.column("n_rare").to_numpy(), np.repeat(np.arange(len(sizes)), sizes),
+                *(entries.field(c).to_numpy() for c in ("place", "class", "n")),
+            )
+            tokens = batch.column("tokens").to_numpy()
+            yield pa.record_batch(
+                {**{c: batch.column(c) for c in keep}, "n_tokens": tokens, "n_known": batch.column("known").to_numpy() + known + end_known,
+                 "train_tokens": np.full(len(tokens), model.n_tokens), "base_score": batch.column("base").to_numpy() + base + end_log - tokens * size,
+                 "score": batch.column("emitted").to_numpy() + score}
+            )
+
+    return joined.mapInArrow(finished, f"{kinds}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _distinct(rows, words):
+    """The distinct (row, word), by row: words, rows, and which of them each one given is."""
     order = np.lexsort((words, rows))
-    rows, words = rows[order], words[order]
+    by_row, by_word = rows[order], words[order]
     new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (words[1:] != words[:-1])
-    first = np.flatnonzero(new)
-    return (rows[first], words[first]), np.diff(np.append(first, len(rows)))
+    new[1:] = (by_row[1:] != by_row[:-1]) | (by_word[1:] != by_word[:-1])
+    each = np.empty(len(rows), dtype=np.int64)
+    each[order] = np.cumsum(new) - 1
+    return by_word[new], by_row[new], each
 
 
 class ClassLanguageModel:
     """Fit on one table of texts, score another."""
 
     def __init__(self, texts):
-        self.model, self.unigrams = learn(texts, Scratch(texts.sparkSession, "class-model"))
+        self.model, self.rare = learn(texts, Scratch(texts.sparkSession, "class-model"))
 
     def score(self, docs, keep=("doc_id",)):
-        return score(docs, self.model, self.unigrams, keep)
+        return score(docs, self.model, self.rare, keep)

@@ -70,3 +70,56 @@ def test_held_out_texts_beat_the_base(spark):
     rows = queries.op4_class_model(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows)
     assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)
+
+
+def learned(spark, table_of, rows, monkeypatch, frequent, clustered):
+    monkeypatch.setattr(class_model, "FREQUENT", frequent)
+    monkeypatch.setattr(class_model, "CLUSTERED", clustered)
+    model = class_model.ClassLanguageModel(table_of(rows))
+    rare = {r["word"]: (r["n"], r["class"]) for r in model.rare.collect()}
+    return model.model, rare
+
+
+def test_every_training_word_has_an_exchanged_class(spark, table_of, awkward, monkeypatch):
+    model, rare = learned(spark, table_of, awkward[:50], monkeypatch, 50, 20)
+    counts = Counter(t for r in awkward[:50] for t in (r[1] or "").encode().lower().split())
+    assert len(rare) > 500 and len(rare) + len(model.frequent) == len(counts)
+    assert sorted([n for n, _ in rare.values()] + np.rint(10**model.log_count - 1).astype(int).tolist()) == sorted(counts.values())
+    assert (model.word_class < class_model.CLASSES).all() and all(0 <= c < class_model.CLASSES for _, c in rare.values())
+    # All words, the unseen words and the end, after any class; classes without words keep their smoothing share.
+    label = np.array([c for _, c in rare.values()])
+    emission = np.log10(np.array([n for n, _ in rare.values()]) - class_model.DISCOUNT) - model.log_members[label]
+    words, given = np.concatenate([model.word_class, label]), np.concatenate([model.emission, emission])
+    for before in (0, model.first_ending, model.end):
+        after = 10 ** model.transition[before]
+        empty = after[: model.first_ending][np.bincount(words, minlength=64) == 0].sum()
+        unseen = (after[model.first_ending : model.end] * 10**model.unseen).sum()
+        assert (after[words] * 10**given).sum() + unseen + after[model.end] + empty == pytest.approx(1, abs=1e-6)
+
+
+def test_class_bigrams_count_every_token_in_its_final_class(spark, table_of, awkward):
+    texts = table_of(awkward).select(class_model.whole().alias("text"))
+    rows = [r.text for r in texts.collect()]
+    ((_, words, edges),) = class_model.word_slabs(class_model.pa.array(rows))
+    frequent = np.unique(words)[::9]
+    rare, cells = class_model._rare_classes(texts, frequent, np.arange(len(frequent)) % 64, class_model.Scratch(spark, "test"))
+    final = {int(w): i % 64 for i, w in enumerate(frequent)}
+    final.update({r["word"] % 2**64: r["class"] for r in rare.collect()})
+    assert set(final) == set(words.tolist())
+    end, want = len(cells) - 1, np.zeros_like(cells)
+    units, _ = class_model.with_ends(np.array([final[w] for w in words.tolist()]), edges, end)
+    np.add.at(want, (np.concatenate([[end], units[:-1]]), units), 1)
+    assert np.array_equal(cells, want)
+
+
+def test_rare_words_go_by_their_neighbours_not_their_ending(spark, table_of, monkeypatch):
+    rows = []
+    for i in range(400):
+        rows += [(2 * i, f"the a{i}x runs home the dog runs", "en", "a"), (2 * i + 1, f"we go b{i}x fast go slowly fast", "en", "a")]
+    model, rare = learned(spark, table_of, rows, monkeypatch, 20, 8)
+    assert len(rare) == 800
+    ((_, words, edges),) = class_model.word_slabs(class_model.pa.array([f"a{i}x" for i in range(400)] + [f"b{i}x" for i in range(400)]))
+    label = {rare[w][1] for w in words[:400].view(np.int64).tolist()}, {rare[w][1] for w in words[400:].view(np.int64).tolist()}
+    ((_, words, edges),) = class_model.word_slabs(class_model.pa.array(["dog slowly"]))
+    dog, slowly = model.word_class[class_model.find(model.frequent, words)]
+    assert dog != slowly and label == ({dog}, {slowly})
