@@ -31,11 +31,11 @@ STEP = T.StructType([T.StructField(c, LONG, True) for c in ("kind", "block", *KE
 LEVELLED = T.StructType([T.StructField(c, LONG, True) for c in (*KEY, "level")])
 
 
-def levels_by_blocks(tasks, edges):
+def levels_by_blocks(tasks, edges, steps="steps"):
     """(graph_id, task_id, level) of distinct ``tasks``; NULL for a task that is never released.
 
     ``edges`` (graph_id, dependent_id, dependency_id, weight): a level is the largest sum of a dependency's level
-    and the weight. A dependency that is not among the tasks never completes.
+    and the weight. A dependency that is not among the tasks never completes. The rounds are written in the folder ``steps``.
     """
     spark = tasks.sparkSession
     scratch = Scratch(spark, "blocks")
@@ -65,17 +65,17 @@ def levels_by_blocks(tasks, edges):
             of_round = [F.lit(False)]
         fixed = (F.col("kind") == BLOCK) & (F.col("round") == 0)
         fixed = fixed & F.col("block").isin(list(wanted)) if len(wanted) < n_blocks else fixed
-        rows = scratch.get("steps", schema).where(fixed | ((F.col("kind") == STATE) & reduce(lambda a, b: a | b, of_round)))
+        rows = scratch.get(steps, schema).where(fixed | ((F.col("kind") == STATE) & reduce(lambda a, b: a | b, of_round)))
         return rows.select("kind", "block", "data", F.col("block").cast("int").alias(PACK))
 
     while True:
-        table, seen = scratch.put(step, f"steps/round={turn}", partition_by=["kind"], sent=F.count_if(F.col("kind") == MESSAGE), hubs=F.count_if(F.col("kind") == HUB))
+        table, seen = scratch.put(step, f"{steps}/round={turn}", partition_by=["kind"], sent=F.count_if(F.col("kind") == MESSAGE), hubs=F.count_if(F.col("kind") == HUB))
         if turn:
             # What this round has read is replaced.
             for old in range(turn):
                 if old not in newest.values():
-                    scratch.drop(f"steps/round={old}/kind={STATE}")
-            scratch.drop(f"steps/round={turn - 1}/kind={MESSAGE}")
+                    scratch.drop(f"{steps}/round={old}/kind={STATE}")
+            scratch.drop(f"{steps}/round={turn - 1}/kind={MESSAGE}")
         if not seen["sent"] and not seen["hubs"]:
             break
         sent = table.where(F.col("kind") == MESSAGE).select("block", *KEY, "n", "level")

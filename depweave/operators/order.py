@@ -1,6 +1,7 @@
 """Levels, the first-in-first-out run order, and what follows from them per graph."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,10 +11,9 @@ from depweave.operators.edges import degrees
 from depweave.operators.identity import task_counts
 from depweave.plans import kernels
 from depweave.plans.limits import limit
-from depweave.plans.mergelog import Buckets, MergeLog
 from depweave.plans.packs import PACK, Tiers, graph_sizes, nullable, packed
 from depweave.plans.scratch import Scratch
-from depweave.plans.skew import running_totals
+from depweave.plans.skew import previous_value, running_totals
 from depweave.schemas import LONG
 
 ORDERED = T.StructType([T.StructField(c, LONG, True) for c in ("graph_id", "task_id", "level", "position")])
@@ -110,7 +110,7 @@ def _ordered(tasks, edges, ranked, plan=None):
     if tiers.any_large:
         large_tasks, large_edges = tiers.large(tasks), tiers.large(edges)
         if ranked:
-            results.append(_rank_placed(_place_by_rounds(large_tasks, large_edges, tiers.most)))
+            results.append(_rank_placed(_place_by_levels(large_tasks, large_edges)))
         else:
             by = levels_by_blocks if plan == "rounds" else levels_by_chains
             levelled = by(large_tasks.select("graph_id", "task_id").distinct(), large_edges.withColumn("weight", F.lit(1).cast("long")))
@@ -132,13 +132,12 @@ def _rank_placed(placed):
     return ranked.unionByName(stuck).select(*ORDERED.fieldNames())
 
 
-def _release(tasks, edges, start, waiting):
+def _release(tasks, edges, start):
     find = kernels.finder(tasks["graph_id"], tasks["task_id"])
     dependent = find(edges["graph_id"], edges["dependent_id"])
     dependency = find(edges["graph_id"], edges["dependency_id"])
     known = dependent >= 0
-    if waiting is None:
-        waiting = np.bincount(dependent[known], minlength=len(tasks["task_id"]))
+    waiting = np.bincount(dependent[known], minlength=len(tasks["task_id"]))
     usable = np.flatnonzero(known & (dependency >= 0))
     usable = usable[np.lexsort((edges["dependent_id"][usable], edges["edge_seq"][usable]))]
     links = kernels.Links(len(tasks["task_id"]), dependency[usable], dependent[usable])
@@ -153,7 +152,7 @@ def _order_pack(tasks, edges):
         roots = np.flatnonzero(waiting == 0)
         return roots[np.lexsort((tasks["task_id"][roots], tasks["seq"][roots]))]
 
-    level, order = _release(tasks, edges, start, None)
+    level, order = _release(tasks, edges, start)
     order = order[np.argsort(tasks["graph_id"][order], kind="stable")]
     graphs = tasks["graph_id"][order]
     position = np.zeros(len(level), dtype=np.int64)
@@ -175,132 +174,124 @@ def _once(tasks):
     return {name: values[order][new] for name, values in tasks.items()}
 
 
-STATE = ["graph_id", "task_id", "needed", "out", "met", "level", "place", "link"]
+def _place_by_levels(tasks, edges):
+    """Place of every task among those of its level, a run of levels of each graph at a time.
 
-
-def _place_by_rounds(tasks, edges, fits):
-    """Release wave after wave; a round reads the edges of its wave and writes the tasks they touch.
-
-    Edges lie in hash buckets of their dependency and carry what their dependent needs, so a round
-    looks nothing else up. What touched tasks have met so far is a `MergeLog`: a task is written when
-    it is touched, never while it waits. The rows written over all rounds are the edges and tasks, times the few
-    ranks of the log. Each round knows from the one before how many edges it will meet, and
-    looks the log up by a broadcast of the touched tasks where these are few. Buckets are written again without used
-    edges whenever half of them has been used. As soon as what is left fits one task, it is finished there.
+    Levels come first, by blocks. A task is then placed by its links from the level just below, so each
+    link is stored once with the level it leads to, and links from further below are left out. The levels of a graph are cut in order into
+    runs of about ``bucketRows`` tasks and links. A round takes the next run of every graph: a grouped Arrow task places all levels of
+    its runs, and a level that is wider than a run by itself is placed by joins. A round reads its own links and the last level placed before.
+    So the number of rounds is the most levels or twice the most runs a graph has, whichever is less, and a graph of up to a run takes one.
     """
     spark = tasks.sparkSession
     scratch = Scratch(spark, "order")
-    key = ["graph_id", "task_id"]
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    edges, seen = scratch.put(edges, "edges")
-    unused = seen["rows"]
-    needed = edges.groupBy("graph_id", F.col("dependent_id").alias("task_id")).agg(F.count(F.lit(1)).alias("needed"))
-    out = edges.groupBy("graph_id", F.col("dependency_id").alias("task_id")).agg(F.count(F.lit(1)).alias("out"))
-    base = tasks.groupBy(*key).agg(F.min("seq").alias("seq")).join(needed, key, "left").join(out, key, "left")
-    base = base.select(*key, "seq", *(F.coalesce(c, none).alias(c) for c in ("needed", "out")))
-    base, seen = scratch.put(base, "base")
-    waiting = seen["rows"]
-    told = base.where("needed > 0").select("graph_id", F.col("task_id").alias("dependent_id"), "needed", "out")
-    # Links to what is not a task end here; those from such a thing stay unmet.
-    store = Buckets(edges.join(told, ["graph_id", "dependent_id"]), ["graph_id", "dependency_id"], unused, scratch, "links-0")
-    unused = store.rows
-    step = base.select(*key, "needed", "out", none.alias("met"), none.alias("level"), F.col("seq").alias("place"), none.alias("link")).where("needed = 0")
-    newest = [F.max(c).alias(c) for c in ("needed", "out", "met", "level")]
-    log = MergeLog(scratch, "log", key, newest, "met < needed")
-    schema = T.StructType([T.StructField(c, LONG, True) for c in (*STATE, "round")] + [T.StructField("ready", T.BooleanType(), True)])
-
-    def finished():
-        return scratch.get("steps", schema).where("ready")
-
-    store_rows = limit(spark, "bucketRows")
-    turn, used, compacted, stale = 0, 0, 0, None
-    while True:
-        ready = F.col("met") == F.col("needed")
-        table, seen = scratch.put(
-            step.withColumn("ready", ready),
-            f"steps/round={turn}",
-            partition_by=["ready"],
-            ready=F.count_if(ready),
-            next=F.sum(F.when(ready, F.col("out"))),
-            **store.masks(ready & (F.col("out") > 0), *key),
-        )
-        if stale:
-            scratch.drop(stale)
-            stale = None
-        messages, waiting = seen["next"], waiting - seen["ready"]
-        if not messages or not waiting:
-            break
-        name = f"steps/round={turn}/ready=false"
-        log.add(table.where("NOT ready").select(*key, "needed", "out", "met", "level"), seen["rows"] - seen["ready"], lambda name=name: scratch.drop(name))
-        wave = table.where("ready")
-        wave = running_totals(wave.select(*key, "level", "place", "link"), ["graph_id"], ["place", "link", "task_id"], known_rows=seen["ready"], rank=F.lit(1))
-        wave = wave.select("graph_id", F.col("task_id").alias("dependency_id"), "rank", F.col("level").alias("reached"))
-        if waiting + unused <= fits:
-            done = finished()
-            rest = base.join(done.select(*key), key, "left_anti")
-            return _finish_in_packs(done, wave, rest, log.rows(), store.table, turn)
-        links = store.read(seen).join(_sized(wave, seen["ready"]), ["graph_id", "dependency_id"])
-        links = links.withColumnRenamed("dependent_id", "task_id")
-        step = links.select(
-            *key, "needed", "out", one.alias("met"), none.alias("known"), (F.col("reached") + 1).alias("level"),
-            F.struct(F.col("rank").alias("place"), F.col("edge_seq").alias("link")).alias("last"),
-        )
-        known = log.rows()
-        if known is not None:
-            # A long log is not shuffled for a few touched tasks.
-            if messages <= limit(spark, "broadcastRows") and log.size() > 4 * messages + store_rows:
-                known = known.join(F.broadcast(links.select(*key)), key, "left_semi")
-            step = step.unionByName(known.select(*key, "needed", "out", none.alias("met"), F.col("met").alias("known"), "level", F.lit(None).cast("struct<place:bigint,link:bigint>").alias("last")))
-        step = step.groupBy(*key).agg(
-            F.max("needed").alias("needed"), F.max("out").alias("out"), F.sum("met").alias("new"), F.max("known").alias("known"),
-            F.max("level").alias("level"), F.max("last").alias("last"),
-        )
-        step = step.where("new > 0").select(*key, "needed", "out", (F.col("new") + F.col("known")).alias("met"), "level", "last.*")
-        turn, used, unused = turn + 1, used + messages, unused - messages
-        if used > unused and used + unused > store_rows:
-            gone = finished().select("graph_id", F.col("task_id").alias("dependency_id"))
-            rest = store.table.drop("_bucket").join(gone, store.keys, "left_anti")
-            # The step that is still to be written reads the present buckets.
-            compacted, used, stale = compacted + 1, 0, f"links-{compacted}"
-            store = Buckets(rest, store.keys, unused, scratch, f"links-{compacted}")
-    done = finished()
-    stuck = base.join(done.select(*key), key, "left_anti").select(*key, *map(_nothing, ("level", "place", "link")))
-    return done.select(*key, "level", "place", "link").unionByName(stuck)
-
-
-def _sized(wave, rows):
-    return F.broadcast(wave) if rows <= limit(wave.sparkSession, "broadcastRows") else wave
-
-
-def _finish_in_packs(done, wave, rest, log, edges, depth):
-    """The rest of the run from the ready ``wave``, when all of it fits one task."""
     key, none = ["graph_id", "task_id"], F.lit(0).cast("long")
-    ready = wave.select("graph_id", F.col("dependency_id").alias("task_id"), "rank", none.alias("waiting"))
-    if log is None:
-        rest = rest.withColumn("met", none)
+    edges = scratch.put(edges, "edges")[0]
+    tasks = scratch.put(tasks.groupBy(*key).agg(F.min("seq").alias("seq")), "tasks")[0]
+    levelled = levels_by_blocks(tasks.select(*key), edges.withColumn("weight", F.lit(1).cast("long")), steps="releases")
+    base, seen = scratch.put(levelled.join(tasks, key), "base", stuck=F.count_if(F.col("level").isNull()))
+    reached = base.select("graph_id", F.col("task_id").alias("dependent_id"), "level").where("level > 0")
+    source = base.select("graph_id", F.col("task_id").alias("dependency_id"), (F.col("level") + 1).alias("level"))
+    # Those of a task that nothing holds back count as links from nothing.
+    closing = edges.join(reached, ["graph_id", "dependent_id"]).join(source, ["graph_id", "dependency_id", "level"])
+    closing = closing.select("graph_id", F.col("dependent_id").alias("task_id"), "level", "dependency_id", F.col("edge_seq").alias("link"))
+    roots = base.where("level = 0").select(*key, "level", _nothing("dependency_id"), F.col("seq").alias("link"))
+    closing = scratch.put(closing.unionByName(roots), "closing")[0]
+    sizes, counted = scratch.put(closing.groupBy("graph_id", "level").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    rows = limit(spark, "bucketRows")
+    runs = running_totals(sizes, ["graph_id"], ["level"], known_rows=counted["rows"], upto=F.col("size"))
+    # A wide level comes first of what ends in the same stretch, as it began before it.
+    runs = runs.select("graph_id", "level", (F.col("size") > rows).alias("wide"), F.expr(f"upto div {rows} * 2 + if(size > {rows}, 0, 1)").alias("run"))
+    starts = runs.withColumn("new", F.expr("if(lag(run) OVER (PARTITION BY graph_id ORDER BY level) = run, 0, 1)")) if counted["rows"] <= limit(spark, "hotRows") else None
+    if starts is None:
+        starts = previous_value(runs, ["graph_id"], ["level"], "run", "before").withColumn("new", F.expr("if(before = run, 0, 1)")).drop("before")
+    turns = running_totals(starts, ["graph_id"], ["level"], known_rows=counted["rows"], turn=F.col("new"))
+    turns = scratch.put(turns.select("graph_id", "level", "wide", (F.col("turn") - 1).cast("int").alias("turn"), (F.col("turn") - 1).cast("int").alias("_turn")), "turns")[0]
+    last = turns.groupBy("graph_id", F.col("_turn").alias("turn")).agg(F.max("level").alias("last"))
+    todo = closing.join(turns.drop("_turn"), ["graph_id", "level"]).join(last, ["graph_id", "turn"])
+    todo = scratch.put(todo.hint("rebalance", "turn", "wide"), "todo", partition_by=["turn", "wide"])[0]
+    sized = {(row.turn, row.wide): row.n for row in todo.groupBy("turn", "wide").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tail, tail_rows = None, 0
+    for turn in range(max((turn for turn, _ in sized), default=-1) + 1):
+        mine = todo.where(F.col("turn") == turn)
+        parts = []
+        if (turn, False) in sized:
+            parts.append(_place_runs(mine.where("NOT wide"), sized[turn, False], tail))
+        if (turn, True) in sized:
+            parts.append(_place_wide(mine.where("wide"), tail, tail_rows))
+        step = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        table, counted = scratch.put(step, f"steps/round={turn}", partition_by=["ends"], ends=F.count_if("ends"))
+        tail, tail_rows = table.where("ends"), counted["ends"]
+    schema = T.StructType([*PLACED.fields, T.StructField("round", LONG, True), T.StructField("ends", T.BooleanType(), True)])
+    stuck = base.where("level IS NULL").select(*key, *map(_nothing, ("level", "place", "link")))
+    if not sized:
+        return stuck
+    placed = scratch.get("steps", schema).select(*PLACED.fieldNames())
+    return placed.unionByName(stuck) if seen["stuck"] else placed
+
+
+RUN = T.StructType([*PLACED.fields, T.StructField("ends", T.BooleanType(), True)])
+
+
+def _place_wide(links, tail, tail_rows):
+    """Places in levels of any width, from the places in the level before each (``tail``)."""
+    key = ["graph_id", "task_id"]
+    came = F.struct(F.coalesce("place", F.lit(0)).alias("place"), "link")
+    if tail is None:
+        links = links.withColumn("place", F.lit(0).cast("long"))
     else:
-        rest = rest.join(log.groupBy(*key).agg(F.max("met").alias("met")), key, "left")
-    rest = rest.select(*key, none.alias("rank"), (F.col("needed") - F.coalesce("met", none)).alias("waiting"))
-    edges = edges.select("graph_id", "dependent_id", "dependency_id", "edge_seq")
-
-    def kernel(tasks, edges):
-        level, order = _release(tasks, edges, lambda _: _queued(tasks), tasks["waiting"].copy())
-        place = np.zeros(len(level), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        keep, late = tasks["waiting"] > 0, level < 0
-        return {
-            "graph_id": tasks["graph_id"][keep],
-            "task_id": tasks["task_id"][keep],
-            "level": nullable(level[keep] + depth, late[keep]),
-            "place": nullable(place[keep], late[keep]),
-            "link": nullable(np.zeros(keep.sum()), late[keep]),
-        }
-
-    one = F.lit(0)
-    packs = packed(kernel, PLACED, 1, ready.unionByName(rest).withColumn(PACK, one), edges.withColumn(PACK, one))
-    return done.select(*key, "level", "place", "link").unionByName(packs)
-
-
-def _queued(tasks):
-    first = np.flatnonzero(tasks["waiting"] == 0)
-    return first[np.argsort(tasks["rank"][first], kind="stable")]
+        below = tail.select("graph_id", F.col("task_id").alias("dependency_id"), "place")
+        links = links.join(_sized(below, tail_rows), ["graph_id", "dependency_id"], "left")
+    last = links.groupBy(*key).agg(F.max("level").alias("level"), F.max(came).alias("last")).select(*key, "level", "last.*")
+    ranked = running_totals(last, ["graph_id"], ["place", "link", "task_id"], rank=F.lit(1))
+    return ranked.select(*key, "level", F.col("rank").alias("place"), F.lit(0).cast("long").alias("link"), F.lit(True).alias("ends"))
+
+
+def _place_runs(links, rows, tail):
+    """Places in all levels of the runs whose ``links`` are given."""
+    spark = links.sparkSession
+    packs = max(-(-rows // limit(spark, "packRows")), min(spark.sparkContext.defaultParallelism, -(-rows // (limit(spark, "packRows") // 25 + 1))), 1)
+    pack = F.pmod(F.xxhash64("graph_id"), F.lit(packs)).cast("int")
+    links = links.select("graph_id", "task_id", "level", "last", F.col("dependency_id").isNull().cast("long").alias("root"), F.coalesce("dependency_id", F.lit(0)).alias("dependency_id"), "link")
+    tables = [links.withColumn(PACK, pack)]
+    if tail is not None:
+        tables.append(tail.select("graph_id", "task_id", "place").withColumn(PACK, pack))
+    return packed(_place_pack, RUN, packs, *tables)
+
+
+def _place_pack(links, tail=None):
+    if not len(links["graph_id"]):
+        return {name: pa.array([], type=pa.bool_() if name == "ends" else pa.int64()) for name in RUN.fieldNames()}
+    if tail is None:
+        tail = {name: np.empty(0, dtype=np.int64) for name in ("graph_id", "task_id", "place")}
+    of_graph = np.isin(tail["graph_id"], links["graph_id"])
+    tail = {name: values[of_graph] for name, values in tail.items()}
+    order = np.lexsort((links["task_id"], links["graph_id"]))
+    graph, task = links["graph_id"][order], links["task_id"][order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (graph[1:] != graph[:-1]) | (task[1:] != task[:-1])
+    one = order[new]
+    n_tail = len(tail["graph_id"])
+    graphs = np.concatenate([tail["graph_id"], graph[new]])
+    find = kernels.finder(graphs, np.concatenate([tail["task_id"], task[new]]))
+    linked = np.flatnonzero(links["root"] == 0)
+    linked = linked[np.lexsort((links["task_id"][linked], links["link"][linked]))]
+    dependent = find(links["graph_id"][linked], links["task_id"][linked])
+    dependency = find(links["graph_id"][linked], links["dependency_id"][linked])
+    waiting = np.bincount(dependent, minlength=len(graphs))
+    # What is there at first, in the order it goes: the level before, or roots by insertion order.
+    first = np.concatenate([np.arange(n_tail), n_tail + np.flatnonzero(links["root"][one] == 1)])
+    roots = one[links["root"][one] == 1]
+    by = np.concatenate([tail["place"], links["link"][roots]]), np.concatenate([tail["task_id"], links["task_id"][roots]])
+    _, order = kernels.release(kernels.Links(len(graphs), dependency, dependent), first[np.lexsort((by[1], by[0]))], waiting)
+    place = np.zeros(len(graphs), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    level = links["level"][one]
+    return {
+        "graph_id": graphs[n_tail:], "task_id": task[new], "level": level, "place": place[n_tail:],
+        "link": np.zeros(len(level), dtype=np.int64), "ends": level == links["last"][one],
+    }
+
+
+def _sized(rows, count):
+    return F.broadcast(rows) if count <= limit(rows.sparkSession, "broadcastRows") else rows

@@ -198,6 +198,18 @@ def test_ranked_rounds_write_tasks_when_touched_only(spark, limits, written):
     assert steps + merged < 14 * len(tasks) / 2
 
 
+def test_ranked_rounds_take_runs_of_levels(spark, limits, written):
+    n = 100
+    # A chain with a task beside each of its tasks, which runs before it or after it.
+    pairs = [(t, t - 2) for t in range(3, n + 1)] + [(t, t - 3) for t in range(5, n + 1, 2)]
+    tdf, edf = graph(spark, n, pairs)
+    with limits(bucketRows=60):
+        found = rows(order.fifo_order(tdf, edf, plan="rounds"), "graph_id", "task_id", "level", "position")
+    assert {(g, t): (level, at) for g, t, level, at in found} == queue_run([(1, t, t) for t in range(1, n + 1)], [(1, i, a, b) for i, (a, b) in enumerate(pairs)])
+    # Fifty levels, three runs of them.
+    assert sum(name.startswith("steps/") for name, _ in written) <= 3
+
+
 def test_blocks_take_a_round_per_change_of_block(spark, limits, written):
     n = 600
     tdf, edf = graph(spark, n, [(t, t - 1) for t in range(2, n + 1)])
