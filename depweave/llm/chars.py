@@ -1,6 +1,7 @@
 """Texts as numpy arrays of code points, in slabs of bounded size."""
 
 import numpy as np
+import pyarrow.compute as pc
 
 SLAB_CHARS = 1 << 20
 SPACE = 32
@@ -47,3 +48,18 @@ def slabs(texts, most=SLAB_CHARS):
         size += len(text) + 1
     if group:
         yield first, group
+
+
+def column_slabs(column, most=SLAB_CHARS):
+    """Consecutive (first, texts) groups of an Arrow column's texts, NULL as None, of at most ``most`` bytes or of one longer text.
+
+    Only one group at a time is made into Python strings, however large the column.
+    """
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
+        if i > first and size + n > most:
+            yield first, column.slice(first, i - first).to_pylist()
+            first, size = i, 0
+        size += n + 1
+    if first < len(column):
+        yield first, column.slice(first).to_pylist()

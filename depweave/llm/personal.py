@@ -29,6 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from depweave.llm import chars
+from depweave.llm.common import tidied
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("rule", "check", "shape", "list", "context", "apart")
 NO_VOTE, AGAINST, FOR = 0, 1, 2
@@ -170,8 +173,8 @@ def _size(kind, start, end):
 def _patterns(batches):
     counts = {}
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            if text:
+        for _, texts in chars.column_slabs(batch.column("text")):
+            for text in filter(None, texts):
                 base, loose = spans_and_candidates(text)
                 for group, is_base in ((base, True), (loose, False)):
                     for start, kind, end in group:
@@ -183,6 +186,13 @@ def _patterns(batches):
     )
 
 
+def _parts(batches, text):
+    """Slices of the batches with their texts, so that a batch's texts and results are never held at once."""
+    for batch in batches:
+        for first, texts in chars.column_slabs(batch.column(text)):
+            yield batch.slice(first, len(texts)), texts
+
+
 class SpanClassifier:
     """Labeler reliabilities and the classifier trained on what they say together."""
 
@@ -252,7 +262,7 @@ def reliabilities(said, counts, rounds=60):
 
 def learn(docs):
     """Count the vote patterns of all texts and train the classifier."""
-    counted = docs.select("text").mapInArrow(_patterns, "pattern array<int>, n long")
+    counted = docs.select("text").mapInArrow(tidied(_patterns), "pattern array<int>, n long")
     table = counted.groupBy("pattern").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     table.sort(key=lambda r: r["pattern"])
     return SpanClassifier([r["pattern"] for r in table], [r["n"] for r in table])
@@ -276,9 +286,9 @@ def find(docs, model, keep=("doc_id",)):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(batches):
-        for batch in batches:
-            both = [accepted_spans(t, shared.value) if t else ([], []) for t in batch.column("_whole").to_pylist()]
-            out = {name: batch.column(name) for name in keep}
+        for part, texts in _parts(batches, "_whole"):
+            both = [accepted_spans(t, shared.value) if t else ([], []) for t in texts]
+            out = {name: part.column(name) for name in keep}
             for number, name in enumerate(KINDS):
                 out[f"n_{name}"] = pa.array([sum(k == number for _, k, _ in base) for base, _ in both], pa.int64())
             out["base_sha256"] = pa.array([hashlib.sha256(spelled(base).encode()).hexdigest() for base, _ in both])
@@ -287,7 +297,7 @@ def find(docs, model, keep=("doc_id",)):
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     numbers = ", ".join(f"n_{name} long" for name in KINDS)
-    return docs.select(*keep, F.col("text").alias("_whole")).mapInArrow(found, f"{kinds}, {numbers}, base_sha256 string, spans string")
+    return docs.select(*keep, F.col("text").alias("_whole")).mapInArrow(tidied(found), f"{kinds}, {numbers}, base_sha256 string, spans string")
 
 
 def mask(docs, model):
@@ -295,16 +305,16 @@ def mask(docs, model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def masked(batches):
-        for batch in batches:
+        for part, whole in _parts(batches, "text"):
             texts = []
-            for text in batch.column("text").to_pylist():
+            for text in whole:
                 parts, done = [], 0
                 for start, kind, end in accepted_spans(text, shared.value)[1] if text else ():
                     if start >= done:
                         parts += [text[done:start], f"[{KINDS[kind]}]"]
                     done = max(done, end)
                 texts.append("".join([*parts, text[done:]]) if parts else text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, part.schema.field("text").type))
 
-    out = docs.mapInArrow(masked, docs.schema)
+    out = docs.mapInArrow(tidied(masked), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

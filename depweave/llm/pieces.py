@@ -33,12 +33,13 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 CHUNK_OR_BREAK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 UNKNOWN_PENALTY = 10.0
-SLAB_CHARS = 1 << 20
+# Lattice arrays, chunk strings and kept solutions grow with these; two workers share an executor with its JVM.
+SLAB_CHARS = 1 << 18
 # Characters whose paths are decoded at a time, so that the gathered bytes stay in the processor's cache.
 DECODED_CHARS = 1 << 16
 MOST_CACHED = 200_000
 # Distinct chunks whose solutions are kept from slab to slab of a task.
-MOST_SOLVED = 400_000
+MOST_SOLVED = 150_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 NO_SCORE = -1e300
 
@@ -354,9 +355,8 @@ def encode(docs, model_file, most=4, keep=("doc_id",)):
     def encoded(batches):
         model = model_of(model_file)
         for batch in batches:
-            texts = [t or "" for t in batch.column("_whole").to_pylist()]
-            for first, group in chars.slabs(texts, SLAB_CHARS):
-                paths = model._encode(group, most)
+            for first, group in chars.column_slabs(batch.column("_whole"), SLAB_CHARS):
+                paths = model._encode([t or "" for t in group], most)
                 flat = [p for doc in paths for p in doc]
                 ids = pa.ListArray.from_arrays(_offsets([len(p[1]) for p in flat]), pa.array(np.concatenate([p[1] for p in flat]), pa.int32()))
                 pairs = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.float64()), ids], ["score", "ids"])
@@ -383,8 +383,8 @@ def round_trips(docs, model_file, most=4, keep=("doc_id",)):
     def checked(batches):
         model = model_of(model_file)
         for batch in batches:
-            whole = [t or "" for t in batch.column("_whole").to_pylist()]
-            for first, texts in chars.slabs(whole, SLAB_CHARS):
+            for first, group in chars.column_slabs(batch.column("_whole"), SLAB_CHARS):
+                texts = [t or "" for t in group]
                 paths = model._encode(texts, most)
                 decoded = iter([t for at, group in chars.slabs(texts, DECODED_CHARS) for t in model.decode_all([i for doc in paths[at : at + len(group)] for _, i in doc])])
                 plain = [t.replace(MARK, " ") for t in texts]
