@@ -250,3 +250,24 @@ def test_contraction_of_trees_diamonds_and_circles(spark):
     tdf, edf = graph(spark, 22, pairs)
     plain = {t: level for (_, t), (level, _) in queue_run([(1, t, t) for t in range(1, 23)], [(1, i, a, b) for i, (a, b) in enumerate(pairs)]).items()}
     assert dict(rows(order.levels(tdf, edf, plan="chains"), "task_id", "level")) == plain
+
+
+def test_chains_within_a_range_of_ids_take_no_rounds(spark, limits, written):
+    n = 3000
+    tdf, edf = graph(spark, n, [(t, t - 1) for t in range(2, n + 1)])
+    with limits(bucketRows=300):
+        found = dict(rows(order.levels(tdf, edf, plan="chains"), "task_id", "level"))
+    assert found == {t: t - 1 for t in range(1, n + 1)}
+    # A chain over ten ranges or fewer: four jumps, and one that sees that nothing moves; two contractions have a start.
+    assert sum(name.startswith("pointers-") for name, _ in written) <= 7
+    # Only pointers that moved are joined again: 12,991 rows, not six times all.
+    assert sum(rows for name, rows in written if name.startswith("pointers-")) < 5 * n
+
+
+def test_contraction_by_ranges_with_circles(spark, limits):
+    pairs = [(t, t - 1) for t in range(2, 13)]
+    pairs += [(13, 17), (14, 13), (15, 14), (16, 15), (17, 16), (18, 17), (19, 18), (20, 21), (21, 20), (22, 12)]
+    tdf, edf = graph(spark, 22, pairs)
+    with limits(bucketRows=3):
+        found = dict(rows(order.levels(tdf, edf, plan="chains"), "task_id", "level"))
+    assert found == {**{t: t - 1 for t in range(1, 13)}, **dict.fromkeys(range(13, 22)), 22: 12}
