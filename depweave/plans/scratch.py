@@ -2,8 +2,9 @@
 
 A driver loop has to cut its lineage every round. Each round is written once as a parquet
 table, which survives the loss of any executor, keeps column pruning, and carries real file
-sizes so that Spark can choose a broadcast join by measured size. Row counts ride along on
-the write as observed metrics, so a round is one job.
+sizes so that Spark can choose a broadcast join by measured size. Tables of numbers are written plain for that:
+sorted ids encode and compress to a small part of what the driver would hold of them to broadcast them. Row counts ride
+along on the write as observed metrics, so a round is one job.
 """
 
 import tempfile
@@ -11,6 +12,11 @@ import uuid
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Files of these columns alone are as large as the rows are in memory.
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def shared_folder(spark):
@@ -49,7 +55,8 @@ class Scratch:
             F.count(F.lit(1)).alias("rows"),
             *[F.coalesce(expr, F.lit(0)).cast("long").alias(key) for key, expr in metrics.items()],
         )
-        counted.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
+        plain = PLAIN if all(isinstance(field.dataType, FIXED_WIDTH) for field in df.schema) else {}
+        counted.write.mode("overwrite").options(**plain).partitionBy(*partition_by).parquet(self.path(name))
         return self.get(name, df.schema), seen.get
 
     def get(self, name, schema):
