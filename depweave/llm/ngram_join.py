@@ -208,8 +208,8 @@ class NgramJoin:
         alone = -F.count(F.lit(1)).over(Window.partitionBy("id")) / prefix
         return firsts.select("token", "id", "n", "position", alone.alias("alone"))
 
-    def overlaps(self, pairs, name):
-        """Exact overlap of each pair (a, b): partial overlaps by fragment, summed."""
+    def overlaps(self, pairs, rows, name):
+        """Exact overlap of each of ``rows`` pairs (a, b): partial overlaps by fragment, summed."""
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
         asked = self.spark.sparkContext.broadcast(merged_sketch(wanted.mapInArrow(_id_sketch, "cells int, counts binary")))
         kind = "id bigint, d1 bigint, fragment int, hashes array<bigint>"
@@ -220,14 +220,17 @@ class NgramJoin:
         left = pieces.select(F.col("id").alias("a"), "fragment", F.col("hashes").alias("of_a"))
         right = pieces.select(F.col("id").alias("b"), "fragment", F.col("hashes").alias("of_b"))
         by_fragment = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+        if rows * FRAGMENTS > limit(self.spark, "broadcastRows"):
+            # Spark takes a pair and its fragments for as large as the pair.
+            by_fragment = by_fragment.hint("merge")
         partial = by_fragment.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
         partial = partial.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
         return partial.groupBy("a", "b").agg(F.sum("common").alias("overlap"))
 
     def _verified(self, pairs, name):
         """Pairs with sizes, overlap (0 if none) and whether they link."""
-        pairs = self.scratch.put(pairs, f"{name}-pairs")[0]
-        common = self.overlaps(pairs.select("a", "b"), name)
+        pairs, seen = self.scratch.put(pairs, f"{name}-pairs")
+        common = self.overlaps(pairs.select("a", "b"), seen["rows"], name)
         found = pairs.join(common, ["a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
         return self.scratch.put(found.withColumn("linked", self._linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))), f"{name}-verified")
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -127,3 +128,16 @@ def test_a_group_without_a_centre_makes_few_pairs(table_of, monkeypatch):
         rows.append(((i * 37) % 1009, " ".join(copy), "en", "a"))
     assert got(table_of(rows), 4, 85) == brute(rows, 4, 85)
     assert sum(tried.values()) < 100 * 99 / 2 / 4
+
+
+def test_fragments_of_many_pairs_are_not_broadcast(table_of, monkeypatch, limits):
+    plans, put, rows = {}, Scratch.put, chains()
+
+    def noted(self, df, name, *args, **metrics):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return put(self, df, name, *args, **metrics)
+
+    monkeypatch.setattr(Scratch, "put", noted)
+    with limits(broadcastRows=8):
+        assert got(table_of(rows), 4, 85) == brute(rows, 4, 85)
+    assert re.search(r"SortMergeJoin \[a#\d+L, fragment#", plans["first-verified"])
