@@ -232,7 +232,9 @@ class NgramJoin:
         pairs, seen = self.scratch.put(pairs, f"{name}-pairs")
         common = self.overlaps(pairs.select("a", "b"), seen["rows"], name)
         found = pairs.join(common, ["a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
-        return self.scratch.put(found.withColumn("linked", self._linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))), f"{name}-verified")
+        verified = self.scratch.put(found.withColumn("linked", self._linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))), f"{name}-verified")
+        self.scratch.drop(f"{name}-pieces")
+        return verified
 
     def _prefix_short(self, common, a, b):
         """Do ``common`` shared prefix shingles rule a link out?
@@ -273,6 +275,8 @@ class NgramJoin:
         heads = members.groupBy("token").agg(F.min(F.struct("alone", "id", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
         heads = heads.where("members > 1").select("token", "members", F.col("head.id").alias("head_id"), F.col("head.n").alias("head_n"))
         members = self.scratch.put(members.drop("alone").join(heads, "token"), "buckets")[0]
+        self.scratch.drop("members")
+        self.scratch.drop("sets")
         # First step: members and heads. It need not find all links.
         first = members.where("id <> head_id").where(100 * F.least("n", "head_n") >= self.percent * F.greatest("n", "head_n"))
         first = first.groupBy(F.col("head_id").alias("a"), F.col("id").alias("b"), F.col("head_n").alias("n_a"), F.col("n").alias("n_b")).agg(F.count(F.lit(1)).alias("common"))
